@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, quality_rules
+from . import line_dedup, mixing, quality_rules, url_filter
 from .common import table
 
+URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
 UP = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 BLANKS_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
@@ -61,8 +62,55 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b
 """
 
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, limit=2.0)
+    return out.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+
+
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
+), s AS (SELECT source, CAST(sum(size) AS BIGINT) AS n FROM d GROUP BY source
+), w AS (SELECT *, [3, 1, 2][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS w FROM s
+), o AS (
+  SELECT *, 2.0::DOUBLE * n AS cap, row_number() OVER (ORDER BY 2.0::DOUBLE * n / w, source NULLS LAST) AS k FROM w
+), v AS (
+  SELECT *, (1.5::DOUBLE * sum(n) OVER () - (sum(cap) OVER (ORDER BY k) - cap)) / (sum(w) OVER () - (sum(w) OVER (ORDER BY k) - w)) AS level FROM o
+), f AS (SELECT min(level) FILTER (WHERE cap / w >= level) AS level FROM v WHERE k = (SELECT min(k) FROM v WHERE cap / w >= level)
+), t AS (SELECT source, n, least(cap, w * coalesce((SELECT level FROM f), cap)) AS target FROM o
+), p AS (
+  SELECT d.*, n, target, CAST(floor(target + 0.5) AS BIGINT) AS wanted,
+         CAST(sum(size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), size ROWS UNBOUNDED PRECEDING) - size AS BIGINT) AS start
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, n AS source_size, round(target, 6) AS target,
+       greatest(0, least(size, wanted - start)) + greatest(0, least(size, wanted - n - start)) AS taken
+FROM p
+"""
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+OP9_SQL = f"""
+WITH r AS (
+  SELECT rule, verdict, split_part(rule, '/', 1) AS rh, substr(rule, instr(rule, '/')) AS rp
+  FROM (VALUES {", ".join(f"('{r}', '{v}')" for r, v in URL_RULES)}) x(rule, verdict)
+), u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), p AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), {UP}) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u
+), j AS (
+  SELECT p.*, rule, verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC NULLS LAST, rule) AS k
+  FROM p LEFT JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)
+)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM j WHERE k = 1
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_mixing": op4_mixing,
     "op5_line_dedup": op5_line_dedup,
+    "op9_url_filter": op9_url_filter,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLES: dict[str, str] = {"op5_line_dedup": OP5_SQL, "op10_quality_rules": OP10_SQL}
+ORACLES: dict[str, str] = {"op4_mixing": OP4_SQL, "op5_line_dedup": OP5_SQL, "op9_url_filter": OP9_SQL, "op10_quality_rules": OP10_SQL}
