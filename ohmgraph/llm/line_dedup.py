@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 from .common import BLANKS, ascii_lower, row_key
 
 
+#: Parts into which the join deals a line's places: one line may stand in a third of all documents.
+SALTS = 32
+
+
 def line_key(line: Column) -> Column:
     """A line without white space at both ends, A-Z lower-cased."""
     return ascii_lower(F.btrim(line, F.lit(BLANKS)))
@@ -41,13 +45,13 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col:
         .groupBy("_h1", "_h2")
         .count()
         .where(F.col("count") >= min_docs)
-        .select("_h1", "_h2")
+        .select("_h1", "_h2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
     )
     marked = (
         keys.select("_k1", "_k2", F.posexplode("_keys").alias("_pos", "_key"))
         .where(F.char_length("_key") >= min_chars)
-        .select("_k1", "_k2", "_pos", *_hashes(F.col("_key")))
-        .join(counted, ["_h1", "_h2"])
+        .select("_k1", "_k2", "_pos", F.pmod("_k1", F.lit(SALTS)).cast("int").alias("_salt"), *_hashes(F.col("_key")))
+        .join(counted, ["_h1", "_h2", "_salt"])
         .groupBy("_k1", "_k2")
         .agg(F.collect_set("_pos").alias("_drop"))
     )
