@@ -39,7 +39,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col:
     ).withColumn("_lines", F.split(F.coalesce("_text", F.lit("")), "\n", -1))
     keys = lines.select("_k1", "_k2", F.transform("_lines", line_key).alias("_keys"))
     counted = (
-        keys.select(F.explode(F.array_distinct("_keys")).alias("_key"))
+        keys.select(F.explode_outer(F.array_distinct("_keys")).alias("_key"))
         .where(F.char_length("_key") >= min_chars)
         .select(*_hashes(F.col("_key")))
         .groupBy("_h1", "_h2")
@@ -48,7 +48,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col:
         .select("_h1", "_h2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
     )
     marked = (
-        keys.select("_k1", "_k2", F.posexplode("_keys").alias("_pos", "_key"))
+        keys.select("_k1", "_k2", F.posexplode_outer("_keys").alias("_pos", "_key"))
         .where(F.char_length("_key") >= min_chars)
         .select("_k1", "_k2", "_pos", F.pmod("_k1", F.lit(SALTS)).cast("int").alias("_salt"), *_hashes(F.col("_key")))
         .join(counted, ["_h1", "_h2", "_salt"])

@@ -66,7 +66,7 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         )
     )
-    gram = lambda i: F.xxhash64(F.col("_words")[i], F.col("_words")[i + 1], F.col("_words")[i + 2])
+    gram = lambda i: F.xxhash64(F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2))
     starts = F.sequence(F.lit(0), F.size("_words") - WINDOW)
     grams = measured.withColumn("_grams", F.when(F.size("_words") >= WINDOW, F.transform(starts, gram))).drop("_words")
     # a window that occurs again stands beside its equal once sorted
