@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, line_dedup, mixing, packing, quality_rules, similarity, toxicity, url_filter
+from . import license_scan, line_dedup, mixing, multi_index, packing, quality_rules, similarity, toxicity, url_filter
 from .common import table
 
 URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
@@ -63,6 +63,10 @@ FROM b
 """
 
 
+def op1_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents")).drop("places")
 
@@ -129,6 +133,7 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM j W
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_multi_index": op1_multi_index,
     "op2_license_scan": op2_license_scan,
     "op3_near_dedup": op3_near_dedup,
     "op4_mixing": op4_mixing,
