@@ -227,7 +227,8 @@ def components_of(docs: DataFrame, n: int = WORDS, similarity: tuple[int, int] =
 
 
 def without_near_copies(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """The documents, with their columns, one of each component; of rows with one doc_id and text one stays too."""
-    kept = components_of(docs, id_col=id_col, **how).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    once = docs.dropDuplicates([id_col, how.get("text_col", "text")])
-    return once.join(kept, F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
+    """The documents, with their columns, one of each component; of rows with one doc_id and text one stays, of rows without doc_id all."""
+    text_col = how.get("text_col", "text")
+    kept = components_of(docs, id_col=id_col, **how).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias(id_col)).distinct()
+    named = docs.join(kept, id_col, "left_semi").dropDuplicates([id_col, text_col])
+    return named.unionByName(docs.where(F.col(id_col).isNull()))
