@@ -34,31 +34,58 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 class Words:
-    """Ids of texts by a tokenizer that never joins text across white space, so words are encoded once and remembered, up to a bound."""
+    """Ids of texts by a tokenizer that lower-cases and never joins text across white space: each word is encoded once and remembered.
 
-    def __init__(self, path: str, most: int = 400_000):
+    A word's ids are those of its letters and then of a full stop or comma after them, so such words share an entry. Two
+    generations of at most `most` words are kept; words that recur move to the younger one.
+    """
+
+    def __init__(self, path: str, most: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.stops = {46: self.fresh([b"."])[0], 44: self.fresh([b","])[0]}
+
+    def fresh(self, words: list[bytes]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+        return [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in found)]
+
+    def learn(self, words: set[bytes]) -> None:
+        known, older, ask, ends = self.known, self.older, set(), []
+        for w in words:
+            if (ids := older.get(w)) is not None:
+                known[w] = ids
+            elif w[-1] in self.stops and w[-2:-1].isalpha():
+                ends.append(w)
+                core = w[:-1]
+                if core not in known and core not in words:
+                    if (ids := older.get(core)) is not None:
+                        known[core] = ids
+                    else:
+                        ask.add(core)
+            else:
+                ask.add(w)
+        new = list(ask)
+        if new:
+            known.update(zip(new, self.fresh(new), strict=True))
+        for w in ends:
+            known[w] = known[w[:-1]] + self.stops[w[-1]]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
-        split = [(t or "").encode().split() for t in texts]  # bytes.split cuts at ASCII white space, where the tokenizer cuts too
-        new = list({w for words in split for w in words if w not in self.known})
-        found = self.known
+        raw = [(t or "").encode() for t in texts]
+        # bytes know ASCII only: they lower A-Z and cut where the tokenizer cuts too; the texts of special tokens stay as they are
+        split = [(b if b"<|" in b else b.lower()).split() for b in raw]
+        new = {w for words in split for w in words if w not in self.known}
         if new:
-            ids = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-            fresh = {w: struct.pack(f"<{len(e.ids)}I", *e.ids) for w, e in zip(new, ids, strict=True)}
-            room = max(0, self.most - len(self.known))
-            if len(fresh) <= room:
-                self.known.update(fresh)
-            else:
-                found = self.known | fresh
-                for w in new[:room]:
-                    self.known[w] = fresh[w]
-        get = found.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+            self.learn(new)
+        get = self.known.__getitem__
+        out = [b"".join(map(get, words)) for words in split]
+        if len(self.known) > self.most:
+            self.known, self.older = {}, self.known
+        return out
 
 
 @dataclass
