@@ -3,42 +3,47 @@
 A sketch has T coordinates. In round i < T each shingle is hashed to one coordinate, and only coordinates that earlier
 rounds left empty take the smallest value; rounds T to 2T-1 put every shingle into one coordinate each, so all get a
 value. Two sketches agree at a coordinate with the sets' Jaccard similarity as probability, with concentration as for
-independent hashes, at a cost of few rounds. Bands of ROWS coordinates give bucket keys; links are confirmed on the full
-sets, 64-bit hashes of all shingles.
-
-Documents with equal sets are one class, whose smallest doc_id stands for it, so copies cost one row each. In each
-bucket the other classes are compared with a pivot, never with one another: a bucket costs its size. Classes that a
-link joined move together; a bucket whose classes are in one component is done. Another round takes another pivot of the
-buckets that still hold several components, until none is left, so every pair in a bucket is compared or already joined.
-The first rounds join groups of copies of any size, and look at few bands. Components come from contracting the links with Spark joins. Tables
-between rounds are written to the shared folder.
+independent hashes, at a cost of few rounds. Bands of ROWS coordinates give bucket keys. At a similarity of 0.8 the
+default bands miss a pair with a probability near one in a million; links are confirmed on the full sets, 64-bit hashes
+of all shingles.
+
+Documents with equal sets are one class, whose smallest doc_id stands for it, so copies cost one row each. Classes that
+buckets connect form a family: a bucket adds one edge a member, never pairs. All links lie within families. A family is
+cut into blocks of bounded size; each task links what a block holds by intersecting sets through an inverted list, and
+walks only what is not yet linked. In families of several blocks, the members with the most links first visit all
+blocks; then whoever is still outside the family's largest component visits all of them, so every pair of a family has
+been compared or was already joined. Visits carry sets in chunks and give links between components, not pairs. Only a
+family of very many mutually unlike members costs much, since nothing cheaper tells that they are not linked.
+Components come from contracting links with Spark joins. Tables between steps are written to the shared folder.
 
 Defined results: null or empty texts, and texts without words, have an empty set, link with nothing and stand alone.
-A text of fewer than N words has one shingle, all its words. Rows with equal doc_id count as one document with the set
-of each; a null doc_id is linked with nothing and is its own component (null), kept.
+A text of fewer than N words has one shingle, all its words. Rows with equal doc_id and different texts share their
+component, for which the smallest of the texts is compared; a null doc_id is linked with nothing and is its own
+component (null), kept.
 """
 
 from __future__ import annotations
 
-import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import discard, written
 
 WORDS = 4
 SIMILARITY = (80, 100)
-T = 128
-ROWS = 4
-#: Bands that the first round looks at, to join what is very alike before all bands are looked at.
-FIRST = 4
-#: Members of a bucket that serve as its pivots in a round, once the first rounds have joined what is alike.
-PIVOTS = (1, 1, 2, 8, 32)
+T = 270
+ROWS = 6
+#: Bounds of a block: members, and hashes of all their sets together.
+MEMBERS, HASHES = 1024, 1 << 21
+#: Members of a family of several blocks that visit all of them first.
+PIVOTS = 16
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -153,59 +158,131 @@ def components(links: DataFrame) -> DataFrame:
         edges = new
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """The pairs (c, p) whose full sets are similar, as links (a, b) of their roots."""
-    num, den = similarity
-    one, other = sets.select("c", F.col("set").alias("_one")), sets.select(F.col("c").alias("p"), F.col("set").alias("_other"))
-    both = pairs.join(one, "c").join(other, "p")
-    common = F.size(F.array_intersect("_one", "_other"))
-    return both.where(den * common >= num * (F.size("_one") + F.size("_other") - common)).select(F.col("root").alias("a"), F.col("p_root").alias("b")).distinct()
+class Lists:
+    """Inverted lists of some sets."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.size = np.array([len(x) for x in sets], np.int64)
+        owner = np.repeat(np.arange(len(sets)), self.size)
+        flat = np.concatenate(sets)
+        order = np.argsort(flat, kind="stable")
+        self.values, self.start = np.unique(flat[order], return_index=True)
+        self.start = np.append(self.start, len(flat))
+        self.owner = owner[order]
+
+    def alike(self, x: np.ndarray, similarity: tuple[int, int]) -> np.ndarray:
+        """Which of the sets are similar to x."""
+        num, den = similarity
+        at = np.searchsorted(self.values, x)
+        at = at[(at < len(self.values)) & (self.values[np.minimum(at, len(self.values) - 1)] == x)]
+        lo, n = self.start[at], self.start[at + 1] - self.start[at]
+        spot = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(at) else np.empty(0, np.int64)
+        common = np.bincount(self.owner[spot], minlength=len(self.size))
+        return den * common >= num * (len(x) + self.size - common)
+
+
+def linked_within(sets: list[np.ndarray], similarity: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """For each set the first of its component, and how many it was found to link with. What is linked leaves the lists."""
+    first, links = np.full(len(sets), -1), np.zeros(len(sets), np.int64)
+    left = np.arange(len(sets))
+    lists = Lists(sets)
+    for s in range(len(sets)):
+        queue = [s] if first[s] < 0 else []
+        first[s] = s if first[s] < 0 else first[s]
+        while queue:
+            x = queue.pop()
+            here = left[lists.alike(sets[x], similarity)]
+            links[x] = max(links[x], len(here) - 1)
+            new = here[first[here] < 0]
+            first[new] = s
+            queue += new.tolist()
+            still = np.flatnonzero(first < 0)
+            if not len(still):
+                return first, links
+            if len(still) <= len(left) // 2:
+                left, lists = still, Lists([sets[i] for i in still])
+    return first, links
+
+
+def within_blocks(rows: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """(family, block, c, root, links) of rows (bundle, family, block, c, set)."""
+
+    def run(held: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for (family, block), part in held.groupby(["family", "block"], sort=False):
+            part = part.sort_values("c")
+            first, links = linked_within([np.asarray(x, np.int64) for x in part["set"]], similarity)
+            c = part["c"].to_numpy()
+            out.append(pd.DataFrame({"family": family, "block": block, "c": c, "root": c[first], "links": links}))
+        return pd.concat(out)
+
+    slim = rows.select("bundle", "family", "block", "c", "set")
+    return slim.groupBy("bundle").applyInPandas(run, "family long, block long, c long, root long, links long")
+
+
+def visits(guests: DataFrame, hosts: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """Links (a, b) between roots of guests and of the members of all blocks of their family; both: family, block, c, root, set.
+
+    Guests come to a block in chunks, so a group holds a block and a chunk of guests.
+    """
+    blocks = hosts.select("family", "block").distinct()
+    chunks = guests.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / MEMBERS), F.ceil(F.sum(F.size("set")) / HASHES)).alias("_chunks"))
+    to = blocks.join(chunks, "family")
+    own = lambda df: df.select(*[F.col(x).alias(x) for x in ("family", "block", "_chunk", "c", "root", "set")]).groupBy("family", "block", "_chunk")
+    coming = guests.drop("block").join(to, "family").withColumn("_chunk", F.pmod(F.xxhash64("c"), F.col("_chunks")).cast("long"))
+    there = hosts.join(chunks, "family").withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_chunks").cast("long") - 1)))
+
+    def run(some: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        found: set[tuple[int, int]] = set()
+        if len(some) and len(held):
+            lists, roots = Lists([np.asarray(x, np.int64) for x in held["set"]]), held["root"].to_numpy()
+            for root, x in zip(some["root"], some["set"], strict=True):
+                for other in np.unique(roots[lists.alike(np.asarray(x, np.int64), similarity)]).tolist():
+                    if other != root:
+                        found.add((root, other))
+        return pd.DataFrame(sorted(found), columns=["a", "b"])
+
+    return own(coming).cogroup(own(there)).applyInPandas(run, "a long, b long").distinct()
+
+
+def moved(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows with their roots after more links between roots."""
+    new = components(links).select(F.col("node").alias("root"), F.col("root").alias("_new"))
+    return rows.join(new, "root", "left").withColumn("root", F.coalesce("_new", "root")).drop("_new")
 
 
 def joined_classes(docs: DataFrame, members: DataFrame, n: int, similarity: tuple[int, int], id_col: str, text_col: str) -> DataFrame | None:
-    """c, root for all classes that share a bucket with another; members: key, first (whether its band is among the FIRST), c, size."""
-    num, den = similarity
-    shared = members.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
-    open_ = written(members.join(shared, "key").withColumn("root", F.col("c")), "buckets")
-    if open_.isEmpty():
+    """c, root for all classes that share a bucket with another; members: key, c."""
+    heads = members.groupBy("key").agg(F.min("c").alias("head"), F.count("*").alias("k")).where("k > 1").drop("k")
+    edges = written(members.join(heads, "key").where("c <> head").select(F.col("c").alias("a"), F.col("head").alias("b")).distinct(), "edges")
+    if edges.isEmpty():
         return None
-    roots = written(open_.select("c").distinct().withColumn("root", F.col("c")), "roots")
-    sets = written(full_sets(docs, n, id_col, text_col, roots.select("c")), "sets")
-    for turn in itertools.count():
-        now = open_.where("first") if turn == 0 else open_
-        order = F.xxhash64(F.lit(turn), "c")
-        # the smallest by a hash, and by chance some more of a bucket's members
-        heads = now.groupBy("key").agg(F.count("*").alias("k"), F.min_by("c", order).alias("head"))
-        some = PIVOTS[min(turn, len(PIVOTS) - 1)] - 1
-        if some:
-            by_chance = (F.col("c") == F.col("head")) | (F.pmod(F.xxhash64(F.lit(-turn), "c"), F.col("k")) < some)
-            picked = now.join(heads, "key").where(by_chance).select("key", F.col("c").alias("p"))
-        else:
-            picked = heads.select("key", F.col("head").alias("p"))
-        at = roots.select(F.col("c").alias("p"), F.col("root").alias("p_root"))
-        pivots = written(picked.join(at, "p"), "pivots")
-        pairs = (
-            now.join(pivots, (now.key == pivots.key) & (now.root != pivots.p_root))
-            .select("c", "p", "root", "p_root")
-            .groupBy("c", "p")
-            .agg(F.first("root").alias("root"), F.first("p_root").alias("p_root"))
-        )
-        links = written(confirmed(pairs, sets, similarity), "links")
-        left = open_ if turn == 0 else open_.join(pivots.select("key", F.col("p").alias("c")), ["key", "c"], "left_anti")
-        gone = [links, pivots, open_]
-        if not links.isEmpty():
-            new = components(links).select(F.col("node").alias("root"), F.col("root").alias("_new"))
-            moved = written(roots.join(new, "root", "left").select("c", F.coalesce("_new", "root").alias("root")), "roots")
-            gone.append(roots)
-            roots = moved
-            left = left.drop("root").join(roots, "c")
-        mixed_ = left.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-        open_ = written(left.join(mixed_, "key").select("key", "first", "c", "size", "root"), "buckets")
-        for old in gone:
-            discard(old)
-        if open_.isEmpty():
-            return roots
-    raise AssertionError
+    hung = components(edges).select(F.col("node").alias("c"), F.col("root").alias("family"))
+    named = written(hung.unionByName(hung.select(F.col("family").alias("c"), "family").distinct()), "families")
+    sets = written(full_sets(docs, n, id_col, text_col, named.select("c")).join(named, "c"), "sets")
+    size = F.size("set")
+    mass = sets.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / MEMBERS), F.ceil(F.sum(size) / HASHES)).cast("long").alias("blocks"))
+    mass = written(mass, "masses")
+    bundles = max(1, math.ceil((sets.agg(F.sum(size)).first()[0] or 0) / HASHES))
+    block = F.pmod(F.xxhash64("c"), F.col("blocks"))
+    bundle = F.when(F.col("blocks") > 1, F.xxhash64("family", "block")).otherwise(F.pmod(F.xxhash64("family"), F.lit(bundles)))
+    rows = sets.join(mass, "family").withColumn("block", block).withColumn("bundle", bundle)
+    roots = written(within_blocks(rows, similarity), "roots")
+    large = mass.where("blocks > 1")
+    if large.isEmpty():
+        return roots.select("c", "root")
+    held = written(roots.join(large, "family").join(sets.select("c", "set"), "c"), "large")
+    # the best-linked of each block first, a bounded number of a family
+    order = W.partitionBy("family", "block").orderBy(F.desc("links"), "c")
+    few = held.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= F.ceil(PIVOTS / F.col("blocks"))).drop("_k", "links", "blocks")
+    now = written(moved(held.drop("links", "blocks"), visits(few, held, similarity)), "large")
+    most = now.groupBy("family", "root").count().groupBy("family").agg(F.max_by("root", F.struct("count", "root")).alias("_most"))
+    outside = now.join(most, "family").where("root <> _most").drop("_most")
+    more = visits(outside, now, similarity)
+    linked = now.select("c", "root").unionByName(more.select(F.col("a").alias("c"), F.col("b").alias("root")))
+    inside = roots.join(large, "family", "left_anti").select("c", "root")
+    ends = components(linked.select(F.col("c").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("c"), "root")
+    return inside.unionByName(ends)
 
 
 def components_of(docs: DataFrame, n: int = WORDS, similarity: tuple[int, int] = SIMILARITY, t: int = T, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -213,7 +290,7 @@ def components_of(docs: DataFrame, n: int = WORDS, similarity: tuple[int, int] =
     about = written(described(docs, n, t, rows, id_col, text_col), "sketches")
     one = about.where("n > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("c"), F.first("bands").alias("bands"))
     classes = written(one, "classes")
-    members = classes.select("c", F.col("n").alias("size"), F.posexplode_outer("bands").alias("band", "key")).select("key", (F.col("band") < FIRST).alias("first"), "c", "size")
+    members = classes.select("c", F.explode_outer("bands").alias("key"))
     roots = joined_classes(docs, members, n, similarity, id_col, text_col)
     named = classes.select("s1", "s2", "n", "c")
     if roots is not None:
