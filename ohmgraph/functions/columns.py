@@ -96,3 +96,10 @@ def feature_source(name: Column) -> Column:
 def ratio(a: Column, b: Column, eps: float = 0.0) -> Column:
     """a / b, 0 where b is (nearly) 0."""
     return F.when(F.abs(b) > eps, a / b).otherwise(0.0)
+
+
+def correlation(a: str, b: str, eps: float = 0.0) -> Column:
+    """Pearson's correlation as an aggregate; 0 where a side does not vary."""
+    spread = F.stddev_pop(a), F.stddev_pop(b)
+    r = F.try_divide(F.covar_pop(a, b), spread[0] * spread[1])
+    return F.when((spread[0] > eps) & (spread[1] > eps), F.coalesce(r, F.lit(0.0))).otherwise(0.0)

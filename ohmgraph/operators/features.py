@@ -190,7 +190,8 @@ def mutation_features(sites: DataFrame, wt: DataFrame, chunk: int = 256, by: str
         return pd.DataFrame(rows, columns=names)
 
     schema = f"{id_col} {kinds[id_col]}, {by} {kinds[by]}, " + ", ".join(f"{f} double" for f in FEATURES)
-    return dealt.groupBy(by, "_part").cogroup(copies.groupBy(by, "_part")).applyInPandas(run, schema)
+    own = lambda df: df.select(*[F.col(c).alias(c) for c in df.columns]).groupBy(by, "_part")  # noqa: E731  both may come from one table
+    return own(dealt).cogroup(own(copies)).applyInPandas(run, schema)
 
 
 def derived_features(df: DataFrame) -> DataFrame:

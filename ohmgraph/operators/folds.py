@@ -100,7 +100,7 @@ def group_folds(df: DataFrame, group: str, k: int = 5, seed: int = 42, id_col: s
             out.append((name, at))
         return pd.DataFrame(out, columns=[group, "fold"])
 
-    dealt = counts.groupBy(F.lit(1)).applyInPandas(deal, f"{group} {kind}, fold int")
+    dealt = counts.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(deal, f"{group} {kind}, fold int")
     return df.select(id_col, group).join(dealt, group).select(id_col, "fold")
 
 

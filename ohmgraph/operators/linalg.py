@@ -159,7 +159,9 @@ def per_graph(nodes: DataFrame, edges: DataFrame, make: Callable[[Graph, np.ndar
             return pd.DataFrame(columns=names)
         return pd.DataFrame(make(*from_rows(n, e))).assign(**{by: key[0]})[names]
 
-    left, right = nodes.select(by, "node").groupBy(by), edges.select(by, "u", "v", "weight").groupBy(by)
+    # own names for both sides: they may come from one table
+    own = lambda df, *cols: df.select(*[F.col(c).alias(c) for c in (by, *cols)]).groupBy(by)
+    left, right = own(nodes, "node"), own(edges, "u", "v", "weight")
     return left.cogroup(right).applyInPandas(run, f"{by} {kind}, {schema}")
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.columns import correlation
 from ..schema import FEATURE_GROUPS
 from ..storage import saved
 from . import folds as cv
@@ -96,10 +97,10 @@ def ridge_predictions(df: DataFrame, cols: list[str], label: str = "ddG", alpha:
     grams = gram_matrices(gram_by_fold(df, cols, label, fold), len(cols) + 2)
     total = sum(grams.values())
     fits = [(k, *ridge_from_gram(total - g if len(grams) > 1 else g, alpha)) for k, g in grams.items()]
-    table = df.sparkSession.createDataFrame([(k, c.tolist(), b) for k, c, b in fits], "_f int, _coef array<double>, _b double")
+    table = df.sparkSession.createDataFrame([(k, c.tolist(), b) for k, c, b in fits], "_of int, _coef array<double>, _b double")
     x = F.array(*[F.col(c).cast("double") for c in cols])
     dot = F.aggregate(F.zip_with(x, "_coef", lambda a, b: a * b), F.col("_b"), lambda a, b: a + b)
-    return df.join(F.broadcast(table), F.col(fold) == F.col("_f")).select(id_col, F.col(fold).alias("fold"), F.col(label).cast("double").alias("y"), dot.alias("yhat"))
+    return df.join(F.broadcast(table), F.col(fold) == F.col("_of")).select(id_col, F.col(fold).alias("fold"), F.col(label).cast("double").alias("y"), dot.alias("yhat"))
 
 
 # ---------------------------------------------------------------- Spark's models
@@ -213,7 +214,7 @@ def spearman(df: DataFrame, a: str, b: str, by: list[str] | None = None) -> Data
     """(by, spearman_r): the correlation of mean ranks; 0 where a side is constant."""
     by = by or []
     r = average_rank(average_rank(df.select(*by, a, b), a, by, "_ra"), b, by, "_rb")
-    return r.groupBy(*by).agg(F.coalesce(F.nanvl(F.corr("_ra", "_rb"), F.lit(0.0)), F.lit(0.0)).alias("spearman_r"))
+    return r.groupBy(*by).agg(correlation("_ra", "_rb").alias("spearman_r"))
 
 
 def incomplete_beta(a: float, b: float, x: float) -> float:
@@ -270,7 +271,7 @@ def evaluate(preds: DataFrame, by: list[str], n_features: int | None = None) ->
         F.avg(r2).alias("cv_r2_mean"), F.stddev_pop(r2).alias("cv_r2_std"), F.sqrt(F.avg("mse")).alias("cv_rmse_mean"), F.avg("mae").alias("cv_mae_mean"),
         F.sum("n").alias("n_samples"), F.count("*").cast("int").alias("n_folds"),
     )
-    pooled = preds.groupBy(*by).agg(F.coalesce(F.nanvl(F.corr("y", "yhat"), F.lit(0.0)), F.lit(0.0)).alias("pearson_r"))
+    pooled = preds.groupBy(*by).agg(correlation("y", "yhat").alias("pearson_r"))
     out = scores.join(pooled, by).join(spearman(preds, "y", "yhat", by), by)
     return out.withColumn("n_features", F.lit(n_features).cast("int"))
 

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
 
-def read_structures(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each ATOM and HETATM line: pdb_id (the file's name), line_no, record, model and the fixed-width fields."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
+def read_structures(spark: SparkSession, path: str, id_pattern: str = r"([^/.]+)[^/]*$") -> DataFrame:
+    """A row for each ATOM and HETATM line: pdb_id, line_no, record, model and the fixed-width fields. id_pattern: what of a file's path is its id, by default its name without extensions."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     lines = files.select("file", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
     kind = F.trim(F.substring("line", 1, 6))
     sorted_ = W.partitionBy("file").orderBy("line_no")
@@ -18,7 +18,7 @@ def read_structures(spark: SparkSession, path: str) -> DataFrame:
     modelled = marked.withColumn("model", F.greatest(F.lit(1), F.sum(F.when(F.col("record") == "MODEL", 1).otherwise(0)).over(sorted_)).cast("int"))
     text = lambda at, n: F.trim(F.substring("line", at, n))
     return modelled.where("record <> 'MODEL'").select(
-        F.upper(F.regexp_extract("file", r"^([^.]*)", 1)).alias("pdb_id"),
+        F.upper(F.regexp_extract("file", id_pattern, 1)).alias("pdb_id"),
         F.col("line_no").cast("long").alias("line_no"),
         "record",
         "model",
