@@ -154,21 +154,22 @@ def all_features(g: Graph, connected: bool, active: np.ndarray, fiedler: np.ndar
     return [float(x) if np.isfinite(x) else 0.0 for x in out]
 
 
-def mutation_features(sites: DataFrame, wt: DataFrame, chunk: int = 256, by: str = "graph_id", id_col: str = "mutation_id") -> DataFrame:
+def mutation_features(sites: DataFrame, wt: DataFrame, chunk: int = 64, by: str = "graph_id", id_col: str = "mutation_id") -> DataFrame:
     """(id, by, 83 features) of sites (id, by, node, factor). wt: wt_properties.
 
-    A graph's mutations are dealt to groups of some `chunk` rows, each with its own copy of the graph's row, so a protein
-    with very many mutations takes many tasks. Equal changes in a group are computed once.
+    Equal changes of a graph are computed once and joined to the mutations that make them. A graph's changes are dealt to
+    groups of some `chunk` rows, each with its own copy of the graph's row, so a protein with very many mutations takes
+    many tasks.
     """
     asked = sites.where("node IS NOT NULL AND factor IS NOT NULL").select(id_col, by, "node", "factor")
-    parts = asked.groupBy(by).agg(F.ceil(F.count("*") / chunk).cast("int").alias("_parts"))
-    dealt = asked.join(parts, by).withColumn("_part", F.pmod(F.xxhash64(id_col), F.col("_parts")).cast("int")).drop("_parts")
+    changes = asked.select(by, "node", "factor").distinct()
+    parts = changes.groupBy(by).agg(F.ceil(F.count("*") / chunk).cast("int").alias("_parts"))
+    dealt = changes.join(parts, by).withColumn("_part", F.pmod(F.xxhash64("node", "factor"), F.col("_parts")).cast("int")).drop("_parts")
     graphs = wt.select(by, "nodes", "u", "v", "w", "eigs", "fiedler", "lp", "components", "active").join(parts, by)
     copies = graphs.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
-    kinds = dict(sites.dtypes)
+    names = [by, "node", "factor", *FEATURES]
 
     def run(key: tuple, some: pd.DataFrame, graph: pd.DataFrame) -> pd.DataFrame:
-        names = [id_col, by, *FEATURES]
         if not len(some) or not len(graph):
             return pd.DataFrame(columns=names)
         row = graph.iloc[0]
@@ -179,19 +180,17 @@ def mutation_features(sites: DataFrame, wt: DataFrame, chunk: int = 256, by: str
         g._spectrum = (np.asarray(row["eigs"], float), np.zeros((n, 0)))
         wild = np.asarray(row["fiedler"], float)
         g.fiedler = lambda like=None: wild  # the stored vector: the same in every group
-        known: dict[tuple, list[float]] = {}
         rows = []
-        for name, node, factor in zip(some[id_col], some["node"], some["factor"], strict=True):
+        for node, factor in zip(some["node"], some["factor"], strict=True):
             k = int(np.searchsorted(nodes, node))
             if k < n and nodes[k] == node:
-                if (k, factor) not in known:
-                    known[k, factor] = all_features(g, row["components"] == 1, np.asarray(row["active"]), wild, k, factor)
-                rows.append([name, key[0], *known[k, factor]])
+                rows.append([key[0], node, factor, *all_features(g, row["components"] == 1, np.asarray(row["active"]), wild, k, factor)])
         return pd.DataFrame(rows, columns=names)
 
-    schema = f"{id_col} {kinds[id_col]}, {by} {kinds[by]}, " + ", ".join(f"{f} double" for f in FEATURES)
+    schema = f"{by} {dict(sites.dtypes)[by]}, node int, factor double, " + ", ".join(f"{f} double" for f in FEATURES)
     own = lambda df: df.select(*[F.col(c).alias(c) for c in df.columns]).groupBy(by, "_part")  # noqa: E731  both may come from one table
-    return own(dealt).cogroup(own(copies)).applyInPandas(run, schema)
+    made = own(dealt).cogroup(own(copies)).applyInPandas(run, schema)
+    return asked.join(made, [by, "node", "factor"]).select(id_col, by, *FEATURES)
 
 
 def derived_features(df: DataFrame) -> DataFrame:

@@ -183,10 +183,10 @@ def r13_r14_pinv_rows(spark, sf_dir):
     n = li.where(F.col("graph_id") % 16 == 0).distinct()
     e = n.select("graph_id", F.col("node").alias("u")).join(n.select("graph_id", F.col("node").alias("v")), "graph_id").where("u < v").withColumn("weight", F.lit(1.0))
     rows = linalg.pinv_entries(n, e)
-    return rounded(G.influence_radius(rows, 0.2).join(G.row_anisotropy(rows), ["graph_id", "i"]), "anisotropy")
+    return rounded(G.influence_radius(rows, 0.18).join(G.row_anisotropy(rows), ["graph_id", "i"]), "anisotropy")
 
 
-R13_SQL = """SELECT l_orderkey AS graph_id, l_linenumber AS i, CAST(CASE WHEN n = 1 THEN 0 WHEN 1.0 / (n - 1) > 0.2 + 1e-9 THEN n - 1 ELSE 0 END AS BIGINT) AS radius,
+R13_SQL = """SELECT l_orderkey AS graph_id, l_linenumber AS i, CAST(CASE WHEN n = 1 THEN 0 WHEN 1.0 / (n - 1) > 0.18 THEN n - 1 ELSE 0 END AS BIGINT) AS radius,
   round(CASE WHEN n = 1 THEN 0 ELSE (n - 2) / (2.0 * sqrt(n - 1)) END, 6) AS anisotropy
 FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) JOIN (SELECT l_orderkey, count(DISTINCT l_linenumber)::DOUBLE AS n FROM lineitem GROUP BY 1) USING (l_orderkey) WHERE l_orderkey % 16 = 0"""
 

