@@ -111,12 +111,14 @@ SELECT CAST(fold AS INTEGER) AS fold, round(sum(a + b * q), 4) AS total, round(m
 
 
 def e12_gram_by_fold(spark, sf_dir):
-    g = models.gram_by_fold(with_folds(spark, sf_dir), ["q", "d"], "ddG")
-    return g.select("fold", "i", "j", F.round("value", 3).alias("value"))
+    """Each sum as a mean over its fold: sums of prices end in halves that rounding could take either way."""
+    g = saved(models.gram_by_fold(with_folds(spark, sf_dir), ["q", "d"], "ddG"), "gram")
+    n = g.where("i = 0 AND j = 0").select("fold", F.col("value").alias("n"))
+    return g.join(n, "fold").select("fold", "i", "j", F.round(F.col("value") / F.col("n"), 6).alias("mean"))
 
 
 E12_SQL = f"""WITH x AS (SELECT mutation_id % 5 AS fold, [1.0::DOUBLE, q, d, ddG] AS a FROM ({ROWS_SQL}))
-SELECT CAST(fold AS INTEGER) AS fold, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(sum(a[i + 1] * a[j + 1]), 3) AS value FROM x, range(4) r(i), range(4) s(j) WHERE i <= j GROUP BY 1, 2, 3"""
+SELECT CAST(fold AS INTEGER) AS fold, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(avg(a[i + 1] * a[j + 1]), 6) AS mean FROM x, range(4) r(i), range(4) s(j) WHERE i <= j GROUP BY 1, 2, 3"""
 
 
 def given_predictions(spark, sf_dir):
