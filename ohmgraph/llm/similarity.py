@@ -42,6 +42,8 @@ T = 270
 ROWS = 6
 #: Bounds of a block: members, and hashes of all their sets together.
 MEMBERS, HASHES = 1024, 1 << 21
+#: Hashes of small families that a task takes together.
+BUNDLE = 1 << 17
 #: Members of a family of several blocks that visit all of them first.
 PIVOTS = 16
 
@@ -263,7 +265,7 @@ def joined_classes(docs: DataFrame, members: DataFrame, n: int, similarity: tupl
     size = F.size("set")
     mass = sets.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / MEMBERS), F.ceil(F.sum(size) / HASHES)).cast("long").alias("blocks"))
     mass = written(mass, "masses")
-    bundles = max(1, math.ceil((sets.agg(F.sum(size)).first()[0] or 0) / HASHES))
+    bundles = max(1, math.ceil((sets.agg(F.sum(size)).first()[0] or 0) / BUNDLE))
     block = F.pmod(F.xxhash64("c"), F.col("blocks"))
     bundle = F.when(F.col("blocks") > 1, F.xxhash64("family", "block")).otherwise(F.pmod(F.xxhash64("family"), F.lit(bundles)))
     rows = sets.join(mass, "family").withColumn("block", block).withColumn("bundle", bundle)
