@@ -1,7 +1,8 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one from ordinary texts, one from the same ordinary content with what toxic texts
-say besides in front of it. Windows of whole words are compressed with both. Where the toxic dictionary makes a window
+Two zstandard dictionaries of raw content are trained: one of ordinary windows, one of the same windows with the stems
+that toxic texts repeat after them (the first has zero bytes there, so that all else lies equally far). A stem is a
+run of characters, not a whole word, so changing endings do not hide it. Windows of whole words are compressed with both. Where the toxic dictionary makes a window
 shorter, the window says what toxic texts say; ordinary windows cost the same either way. How far and how often windows
 of a text get shorter goes through a logistic curve fitted on labelled texts that the dictionaries have not seen.
 
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import math
 import random
+import re
 from collections import Counter
 from dataclasses import dataclass
 
@@ -28,6 +30,16 @@ from pyspark.sql import functions as F
 
 LEVEL = 12
 EDGES = " .,;:!?*$#%&|\"'()[]{}<>"
+#: Zstandard neither compresses a block that hardly gets shorter nor searches its last 8 bytes; blanks around a window lift both.
+HEAD, TAIL = b" " * 16, b" " * 12
+#: Characters of the first pieces of stems, and of a whole stem at most.
+PIECE, STEM = 5, 16
+#: How many times as often a piece stands in toxic texts as in ordinary ones, at least.
+RATIO = 4.0
+#: A stem grows by a character that so great a share of its places has.
+GROWS = 0.75
+#: Windows that one ordinary text gives to the dictionary at most.
+SHARE = 40
 
 
 @dataclass(frozen=True)
@@ -37,8 +49,8 @@ class Limits:
     toxic: int = 2500
     ordinary: int = 6000
     chars: int = 20_000
-    toxic_bytes: int = 320
-    ordinary_bytes: int = 120_000
+    toxic_bytes: int = 16_000
+    ordinary_bytes: int = 30_000
     window: int = 24
 
 
@@ -56,24 +68,75 @@ def windows(text: str, least: int) -> list[bytes]:
     return out
 
 
-def bare_words(text: str) -> set[str]:
-    return {w.strip(EDGES) for w in text.lower().split()}
+def bare(text: str) -> str:
+    """The words without their edges, a blank before and after each."""
+    return f" {' '.join(v for w in text.lower().split() if (v := w.strip(EDGES)))} "
+
+
+def pieces(texts: list[str]) -> tuple[Counter, Counter, int]:
+    """Runs of PIECE characters in bare texts: how often they stand, how many texts repeat them; and all characters."""
+    often, repeated, n = Counter(), Counter(), 1
+    for t in texts:
+        own = Counter(t[i : i + PIECE] for i in range(len(t) - PIECE + 1))
+        often.update(own)
+        repeated.update(p for p, k in own.items() if k >= 2)
+        n += len(t)
+    return often, repeated, n
+
+
+def stems(toxic: list[str], ordinary: list[str]) -> dict[str, float]:
+    """Runs of characters within words that toxic texts repeat and ordinary ones hardly, with their weights."""
+    bad, good = sorted({bare(t) for t in toxic}), sorted({bare(t) for t in ordinary})
+    (n_bad, in_bad, all_bad), (n_good, in_good, all_good) = pieces(bad), pieces(good)
+    weight = {}
+    for p, n in in_bad.items():
+        if " " not in p[1:-1] and n >= max(3, len(bad) / 100):
+            ratio = min(n_bad[p] / all_bad / ((n_good[p] + 1) / all_good), n / (len(bad) + 1) / ((in_good[p] + 0.5) / (len(good) + 1)))
+            if ratio >= RATIO:
+                weight[p] = n * math.log(ratio)
+    whole, found = "\n".join(bad), {}
+    for p in sorted(weight, key=lambda p: (-weight[p], p)):
+        if any(p.strip() in s for s in found):
+            continue
+        s = grown(p, whole)
+        if not any(k.strip() in s or s.strip() in k for k in found):
+            found[s] = weight[p]
+    return found
+
+
+def grown(s: str, whole: str) -> str:
+    """The piece with the characters that nearly always stand beside it, up to the blanks around a word."""
+    at = [m.start() for m in re.finditer(re.escape(s), whole)]
+    while len(s) < STEM:
+        left = Counter() if s[0] == " " else Counter(whole[i - 1] for i in at)
+        right = Counter() if s[-1] == " " else Counter(whole[i + len(s)] for i in at)
+        (a, n_a), (b, n_b) = (max(c.items(), key=lambda x: (x[1], x[0]), default=("", 0)) for c in (left, right))
+        if max(n_a, n_b) < GROWS * len(at) or not at:
+            break
+        if n_a > n_b:
+            at, s = [i - 1 for i in at if whole[i - 1] == a], a + s
+        else:
+            at, s = [i for i in at if whole[i + len(s)] == b], s + b
+    return s
 
 
 def dictionaries(toxic: list[str], ordinary: list[str], limits: Limits) -> tuple[bytes, bytes]:
-    """What the two dictionaries hold. Zstandard finds later content nearer, so the best comes last."""
-    bad, good = Counter(w for t in toxic for w in bare_words(t)), Counter(w for t in ordinary for w in bare_words(t))
-    n_bad, n_good = len(toxic) + 1, len(ordinary) + 1
-    weight = {w: n * math.log((n + 0.5) / n_bad / ((good[w] + 0.1) / n_good)) for w, n in bad.items() if n >= 3 and len(w) >= 4}
-    chosen, seen = [], ""
-    for w in sorted(weight, key=lambda w: (-weight[w], w)):
-        # a word whose beginning is already there adds nothing that a match could use
-        if weight[w] > 6 and w[:5] not in seen and len(f"{seen} {w}".encode()) <= limits.toxic_bytes:
-            chosen.append(w)
-            seen += f" {w}"
-    common = " ".join(reversed([w for w, _ in sorted(good.items(), key=lambda x: (-x[1], x[0]))])).encode()
-    base = common[-limits.ordinary_bytes :] + b" " * 8
-    return base, " ".join(reversed(chosen)).encode() + b" " + base
+    """What the two dictionaries hold: ordinary windows without a stem, and after them the stems. Zstandard finds later content nearer, so the best comes last."""
+    weight, tail = stems(toxic, ordinary), b""
+    for s in sorted(weight, key=lambda s: (-weight[s], s)):
+        if len(tail) + len(s.encode()) <= limits.toxic_bytes:
+            tail = s.encode() + tail
+    told = re.compile("|".join(re.escape(s.strip()) for s in weight) or r"(?!)")
+    order, common, n = list(ordinary), [], 0
+    random.Random(3).shuffle(order)
+    for t in order:
+        if n > limits.ordinary_bytes:
+            break
+        own = [w for w in windows(t, limits.window) if not told.search(w.decode())][:SHARE]
+        common += own
+        n += sum(len(w) + 1 for w in own)
+    base = b" ".join(common)[-limits.ordinary_bytes :] or b" " * 8
+    return base + b"\0" * len(tail), base + tail
 
 
 class Model:
@@ -98,7 +161,7 @@ class Model:
     def measures(self, text: str | None) -> list[float]:
         """How many bytes windows get shorter: the most, the three most, how often by 1, 2, 3 and 4 bytes."""
         base, toxic = self._compressors()
-        gain = sorted((len(base(w)) - len(toxic(w)) for w in windows(text or "", self.window)), reverse=True)
+        gain = sorted((len(base(w)) - len(toxic(w)) for w in (HEAD + w + TAIL for w in windows(text or "", self.window))), reverse=True)
         over = [sum(g >= k for g in gain) for k in (1, 2, 3, 4)]
         n = len(gain)
         return [gain[0], min(gain[0], 3), sum(gain[:3]), *[math.log1p(x) for x in over], math.log1p(n), over[1] / n, over[2] / n]

@@ -140,6 +140,24 @@ def test_toxicity_on_held_out_labels(spark):
     assert len(odd) == len(ODD) and all(0 <= r.score <= 1 for r in odd)
 
 
+def test_toxicity_recalls_stems_in_every_language(spark):
+    d, lab = (spark.read.parquet(f"{DATA}/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    held = d.join(lab, "doc_id").where(toxicity.fold(F.col("doc_id")) == 0)
+    rows = toxicity.score(held.select("lang", "text", "toxic"), toxicity.fit(d, lab)).collect()
+    for lang, least in (("en", 0.85), ("fr", 0.55), ("de", 0.5), ("es", 0.5)):
+        hit = [r.score >= 0.5 for r in rows if r.lang == lang and r.toxic == 1]
+        assert sum(hit) >= least * len(hit) > 0, lang
+    assert sum(r.score >= 0.5 for r in rows if r.toxic == 0) <= 0.02 * len(rows)
+
+
+def test_stems_have_changing_endings():
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice(["ka", "lo", "mi", "tu", "ne", "so"]) for _ in range(rng.randint(1, 4)))
+    plain = [" ".join(word() for _ in range(80)) for _ in range(200)]
+    bad = [t + "".join(f" vexgrum{word()}" for _ in range(4)) for t in plain[:40]]
+    assert any(s.startswith(" vexgrum") for s in toxicity.stems(bad, plain[40:]))
+
+
 def test_toxicity_without_labels(spark):
     lab = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     d = docs(spark, ODD)
