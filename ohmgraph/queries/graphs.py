@@ -104,15 +104,20 @@ def path(spark, sf_dir):
     return n, path_edges(n)
 
 
-def r3_r5_currents_and_power(spark, sf_dir):
+def r3_r5_all_sites(spark, sf_dir):
     """From the first event of a path to its sink, event 5: one unit flows on each edge between."""
     n, e = path(spark, sf_dir)
     volts = linalg.node_voltages(n, e, 0, [5])
     flows = G.edge_currents(e, volts).join(G.edge_power(e, volts).drop("weight"), ["graph_id", "u", "v"])
-    at = G.at_sites(flows, e.where("u < 8").select("graph_id", F.col("u").alias("node")))
+    at = G.at_sites(flows, e.select("graph_id", F.col("u").alias("node")))
     return rounded(at.select("graph_id", "u", "v", "node", "current", "power"), "current", "power")
 
 
+def r3_r5_currents_and_power(spark, sf_dir):
+    """The slice of r3_r5_all_sites that the SQL holds."""
+    return r3_r5_all_sites(spark, sf_dir).where("node < 8")
+
+
 R3_SQL = f"""WITH p AS ({PATH_SQL}), big AS (SELECT graph_id FROM p GROUP BY 1 HAVING max(node) >= 5), e AS (SELECT graph_id, node - 1 AS u, node AS v, step FROM p WHERE node > 0),
 s AS (SELECT DISTINCT graph_id, u AS node FROM e WHERE u < 8)
 SELECT e.graph_id, u, v, s.node, CASE WHEN v <= 5 THEN 1.0::DOUBLE ELSE 0.0 END AS current, CASE WHEN v <= 5 THEN round(step, 6) ELSE 0.0 END AS power
@@ -128,12 +133,17 @@ R6_SQL = """WITH p AS (SELECT l_suppkey, CAST(l_extendedprice AS DOUBLE) / sum(C
 SELECT l_suppkey, round(-sum(p * ln(p)), 6) AS entropy, round(sum(p * p), 6) AS herfindahl FROM p GROUP BY 1"""
 
 
-def r8_hop_shells(spark, sf_dir):
+def r8_all_hop_shells(spark, sf_dir):
     e = edges(spark, sf_dir)
-    seeds = nodes(spark, sf_dir).where(F.col("node") % 7 == 0).select("graph_id", "node")
+    seeds = nodes(spark, sf_dir).select("graph_id", "node")
     return G.hop_shells(e, seeds, 3).groupBy("graph_id", "site", "hop").agg(F.count("*").alias("n"), F.sum("node").alias("total"))
 
 
+def r8_hop_shells(spark, sf_dir):
+    """The slice of r8_all_hop_shells that the SQL holds."""
+    return r8_all_hop_shells(spark, sf_dir).where("site % 7 = 0")
+
+
 R8_SQL = f"""WITH e AS ({edges_sql()}), a AS (SELECT graph_id, u, v FROM e UNION SELECT graph_id, v, u FROM e), s0 AS (SELECT graph_id, node AS site, node FROM ({nodes_sql()}) WHERE node % 7 = 0),
 s1 AS (SELECT DISTINCT s.graph_id, site, a.v AS node FROM s0 s JOIN a ON a.graph_id = s.graph_id AND a.u = s.node EXCEPT SELECT * FROM s0),
 s2 AS (SELECT DISTINCT s.graph_id, site, a.v AS node FROM s1 s JOIN a ON a.graph_id = s.graph_id AND a.u = s.node EXCEPT (SELECT * FROM s0 UNION SELECT * FROM s1)),
@@ -141,12 +151,17 @@ s3 AS (SELECT DISTINCT s.graph_id, site, a.v AS node FROM s2 s JOIN a ON a.graph
 SELECT graph_id, site, hop, count(*) AS n, CAST(sum(node) AS BIGINT) AS total FROM (SELECT *, 1 AS hop FROM s1 UNION ALL SELECT *, 2 FROM s2 UNION ALL SELECT *, 3 FROM s3) GROUP BY ALL"""
 
 
-def r9_shell_mean_resistance(spark, sf_dir):
+def r9_all_shell_means(spark, sf_dir):
     n, e = path(spark, sf_dir)
-    shells = saved(G.hop_shells(e, n.where(F.col("node") % 10 == 4).select("graph_id", "node"), 2), "shells")
+    shells = saved(G.hop_shells(e, n.select("graph_id", "node"), 2), "shells")
     return rounded(G.shell_mean_resistance(shells, linalg.effective_resistance(n, e)), "mean_r")
 
 
+def r9_shell_mean_resistance(spark, sf_dir):
+    """The slice of r9_all_shell_means that the SQL holds."""
+    return r9_all_shell_means(spark, sf_dir).where("site % 10 = 4")
+
+
 R9_SQL = f"""WITH p AS ({PATH_SQL}) SELECT a.graph_id, a.node AS site, abs(a.node - b.node) AS hop, round(avg(abs(a.far - b.far)), 6) AS mean_r
 FROM p a JOIN p b ON a.graph_id = b.graph_id AND abs(a.node - b.node) BETWEEN 1 AND 2 WHERE a.node % 10 = 4 GROUP BY ALL"""
 
@@ -166,26 +181,37 @@ SELECT graph_id, i, round(count(*) / sum(1 / r), 4) AS harmonic_mean, round(quan
   round(count(*) / sum(r), 4) AS centrality FROM s GROUP BY graph_id, i"""
 
 
-def r12_r16_kirchhoff_and_commute(spark, sf_dir):
+def r12_r16_all_sources(spark, sf_dir):
+    """A row a source i: the longest commute from there."""
     n, e = path(spark, sf_dir)
     r = saved(linalg.effective_resistance(n, e), "resistances")
-    c = G.commute_time(r.where("i = 0"), e).groupBy("graph_id").agg(F.max("commute_time").alias("longest"))
+    c = G.commute_time(r, e).groupBy("graph_id", "i").agg(F.max("commute_time").alias("longest"))
     return rounded(G.kirchhoff_index(r).join(c, "graph_id"), "kirchhoff", "longest", digits=4)
 
 
+def r12_r16_kirchhoff_and_commute(spark, sf_dir):
+    """The slice of r12_r16_all_sources that the SQL holds."""
+    return r12_r16_all_sources(spark, sf_dir).where("i = 0").drop("i")
+
+
 R12_SQL = f"""WITH p AS ({PATH_SQL}), k AS (SELECT a.graph_id, sum(abs(a.far - b.far)) / 2 AS k FROM p a JOIN p b ON a.graph_id = b.graph_id GROUP BY 1)
 SELECT graph_id, round(any_value(k), 4) AS kirchhoff, round(2 * sum(CASE WHEN node > 0 THEN 1 / step ELSE 0 END) * max(far), 4) AS longest FROM p JOIN k USING (graph_id) GROUP BY 1"""
 
 
-def r13_r14_pinv_rows(spark, sf_dir):
+def r13_r14_all_pinv_rows(spark, sf_dir):
     """On complete graphs of equal weights, where the pseudoinverse is (I - J/n)/n: the lines of an order."""
     li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("graph_id"), F.col("l_linenumber").alias("node"))
-    n = li.where(F.col("graph_id") % 16 == 0).distinct()
+    n = li.distinct()
     e = n.select("graph_id", F.col("node").alias("u")).join(n.select("graph_id", F.col("node").alias("v")), "graph_id").where("u < v").withColumn("weight", F.lit(1.0))
     rows = linalg.pinv_entries(n, e)
     return rounded(G.influence_radius(rows, 0.18).join(G.row_anisotropy(rows), ["graph_id", "i"]), "anisotropy")
 
 
+def r13_r14_pinv_rows(spark, sf_dir):
+    """The slice of r13_r14_all_pinv_rows that the SQL holds."""
+    return r13_r14_all_pinv_rows(spark, sf_dir).where("graph_id % 16 = 0")
+
+
 R13_SQL = """SELECT l_orderkey AS graph_id, l_linenumber AS i, CAST(CASE WHEN n = 1 THEN 0 WHEN 1.0 / (n - 1) > 0.18 THEN n - 1 ELSE 0 END AS BIGINT) AS radius,
   round(CASE WHEN n = 1 THEN 0 ELSE (n - 2) / (2.0 * sqrt(n - 1)) END, 6) AS anisotropy
 FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) JOIN (SELECT l_orderkey, count(DISTINCT l_linenumber)::DOUBLE AS n FROM lineitem GROUP BY 1) USING (l_orderkey) WHERE l_orderkey % 16 = 0"""
@@ -393,5 +419,8 @@ BOTH = {
     "l6_current_flow_betweenness": (l6_current_flow_betweenness, L6_SQL), "l7_betweenness_topk": (l7_betweenness_topk, L7_SQL), "l8_wt_properties": (l8_wt_properties, L8_SQL), "l9_mutant_pinv": (l9_mutant_pinv, L9_SQL),
     "f1_mutation_features": (f1_mutation_features, None), "f1_feature_identities": (f1_feature_identities, F1_SQL), "f3_derived_features": (f3_derived_features, F3_SQL), "f4_f5_scales": (f4_f5_scales, F4_SQL),
     "f6_aa_substitution": (f6_aa_substitution, F6_SQL), "f7_select_by_importance": (f7_select_by_importance, F7_SQL),
+    # whole results, of which the queries with SQL above are slices
+    "r3_r5_all_sites": (r3_r5_all_sites, None), "r8_all_hop_shells": (r8_all_hop_shells, None), "r9_all_shell_means": (r9_all_shell_means, None),
+    "r12_r16_all_sources": (r12_r16_all_sources, None), "r13_r14_all_pinv_rows": (r13_r14_all_pinv_rows, None),
 }
 
