@@ -367,6 +367,11 @@ F3_SQL = """SELECT l_orderkey * 10 + l_linenumber AS mutation_id, round(q * (t +
 FROM (SELECT *, CAST(l_quantity AS DOUBLE) AS q, CAST(l_tax AS DOUBLE) AS t, CAST(l_discount AS DOUBLE) AS d FROM lineitem)"""
 
 
+def f4_f5_multi_scale(spark, sf_dir):
+    """All mutations at 8 and 6 angstroms, with all ten compared features."""
+    return jobs.multi_scale(mutations(spark, sf_dir), nodes(spark, sf_dir, 24.0))
+
+
 def f4_f5_scales(spark, sf_dir):
     wide = some_features(spark, sf_dir)
     near = wide.withColumns({c: F.col(c) / 2 for c in features.CROSS_SCALE}).where(F.col("mutation_id") % 3 != 0)
@@ -422,5 +427,6 @@ BOTH = {
     # whole results, of which the queries with SQL above are slices
     "r3_r5_all_sites": (r3_r5_all_sites, None), "r8_all_hop_shells": (r8_all_hop_shells, None), "r9_all_shell_means": (r9_all_shell_means, None),
     "r12_r16_all_sources": (r12_r16_all_sources, None), "r13_r14_all_pinv_rows": (r13_r14_all_pinv_rows, None),
+    "f4_f5_multi_scale": (f4_f5_multi_scale, None),
 }
 

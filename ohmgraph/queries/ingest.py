@@ -215,6 +215,10 @@ def u2_dedupe_mutations(spark, sf_dir):
 U2_SQL = f"SELECT * EXCLUDE k FROM (SELECT *, row_number() OVER (PARTITION BY pdb_id, position, wild_type, mutation ORDER BY mutation_id) AS k FROM ({PROTEINS_SQL})) WHERE k = 1"
 
 
+def u3_diverse_sample_of_all(spark, sf_dir):
+    return sampling.diverse_sample(as_proteins(spark, sf_dir), 2648).select("mutation_id", "pdb_id")
+
+
 def u3_diverse_sample(spark, sf_dir):
     """Uneven groups, so that some fall short and are topped up."""
     d = as_proteins(spark, sf_dir).where((F.col("pdb_id") % 3 != 0) | (F.col("mutation_id") % 101 == 0))
@@ -265,6 +269,7 @@ BOTH = {
     "u1_union_datasets": (u1_union_datasets, U1_SQL),
     "u2_dedupe_mutations": (u2_dedupe_mutations, U2_SQL),
     "u3_diverse_sample": (u3_diverse_sample, U3_SQL),
+    "u3_diverse_sample_of_all": (u3_diverse_sample_of_all, None),
     "u4_stratified_sample": (u4_stratified_sample, U4_SQL),
     "u5_keep_available": (u5_keep_available, U5_SQL),
     "u6_distinct_structures": (u6_distinct_structures, U6_SQL),

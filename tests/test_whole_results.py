@@ -2,9 +2,10 @@
 
 import pytest
 
-from ohmgraph.queries import graphs, registry
+from ohmgraph.operators.features import CROSS_SCALE
+from ohmgraph.queries import graphs, ingest, registry
 
-from .conftest import against_sql
+from .conftest import DATA, against_sql
 
 R12_ALL = f"""WITH p AS ({graphs.PATH_SQL}), w AS (SELECT graph_id, sum(CASE WHEN node > 0 THEN 1 / step ELSE 0 END) AS w FROM p GROUP BY 1),
 k AS (SELECT a.graph_id, sum(abs(a.far - b.far)) / 2 AS k FROM p a JOIN p b ON a.graph_id = b.graph_id GROUP BY 1)
@@ -23,6 +24,7 @@ WHOLE = {
     "r9_all_shell_means": without(graphs.R9_SQL, " WHERE a.node % 10 = 4"),
     "r3_r5_all_sites": without(graphs.R3_SQL, " WHERE u < 8"),
     "r12_r16_all_sources": R12_ALL,
+    "u3_diverse_sample_of_all": without(ingest.U3_SQL, " WHERE pdb_id % 3 <> 0 OR mutation_id % 101 = 0"),
 }
 
 
@@ -30,3 +32,15 @@ WHOLE = {
 def test_all_rows_are_answered(spark, name):
     left, right = against_sql(spark, registry.QUERIES[name], WHOLE[name])
     assert left == right
+
+
+def test_both_scales_of_all_mutations(spark):
+    folder = f"{DATA}/sf0.001"
+    one = registry.QUERIES["f1_mutation_features"](spark, folder)
+    both = registry.QUERIES["f4_f5_multi_scale"](spark, folder)
+    rows = {r.mutation_id: r for r in both.collect()}
+    wide = {r.mutation_id: r for r in one.collect()}
+    assert len(CROSS_SCALE) == 10 and set(rows) == set(wide)
+    for i, r in rows.items():
+        for c in CROSS_SCALE:
+            assert r[c] == pytest.approx(wide[i][c], nan_ok=True) and r[f"scale_diff_{c}"] == pytest.approx(r[c] - r[f"{c}_6A"], nan_ok=True) and f"scale_ratio_{c}" in both.columns
