@@ -6,7 +6,7 @@ run of characters, not a whole word, so changing endings do not hide it. Windows
 shorter, the window says what toxic texts say; ordinary windows cost the same either way. How far and how often windows
 of a text get shorter goes through a logistic curve fitted on labelled texts that the dictionaries have not seen.
 
-The fit uses a bounded sample of labelled rows (Limits.toxic, Limits.ordinary, Limits.chars of each text); scoring takes
+The fit uses a bounded sample of labelled rows (Limits.toxic, Limits.ordinary), each with its whole text; scoring takes
 every window of every text, in tasks that share nothing.
 
 Defined results: a null text is empty and has one empty window, whose score is that of a text without a hit. Without any
@@ -44,11 +44,10 @@ SHARE = 40
 
 @dataclass(frozen=True)
 class Limits:
-    """Bounds of the fit: labelled texts of each kind, characters of each, bytes of dictionary, words a window at least."""
+    """Bounds of the fit: labelled texts of each kind, bytes of dictionary, words a window at least."""
 
     toxic: int = 2500
     ordinary: int = 6000
-    chars: int = 20_000
     toxic_bytes: int = 16_000
     ordinary_bytes: int = 30_000
     window: int = 24
@@ -218,10 +217,10 @@ def fit(docs: DataFrame, labels: DataFrame, limits: Limits = Limits(), id_col: s
     some = lambda y, n: known.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(n)
     chosen = some(1, limits.toxic).unionByName(some(0, limits.ordinary))
     rows = (
-        docs.select(F.col(id_col).alias("_id"), F.substring(F.coalesce(text_col, F.lit("")), 1, limits.chars).alias("_t"))
+        docs.select(F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_t"))
         .join(F.broadcast(chosen), "_id")
         .dropDuplicates(["_id"])
-        .collect()  # at most limits.toxic + limits.ordinary rows of limits.chars
+        .collect()  # at most limits.toxic + limits.ordinary rows
     )
     rows.sort(key=lambda r: r._id)
     return fit_texts([r._t for r in rows], [int(r._y) for r in rows], limits)

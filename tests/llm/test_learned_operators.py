@@ -158,6 +158,15 @@ def test_stems_have_changing_endings():
     assert any(s.startswith(" vexgrum") for s in toxicity.stems(bad, plain[40:]))
 
 
+def test_toxicity_trains_on_whole_texts(spark, monkeypatch):
+    texts = ["word " * 6000 + "end"] * 8
+    lab = spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit_texts", lambda t, y, limits: seen.extend(t))
+    toxicity.fit(docs(spark, texts), lab)
+    assert seen and all(t == texts[0] for t in seen)
+
+
 def test_toxicity_without_labels(spark):
     lab = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     d = docs(spark, ODD)
