@@ -16,13 +16,15 @@ are as good as others. A limit on segments that is already met leaves a sequence
 
 from __future__ import annotations
 
-import struct
+import json
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,59 +32,108 @@ from pyspark.sql import functions as F
 LENGTH = 2048
 SEGMENTS = 64
 BATCH = 1 << 20
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+#: Bytes of text that a task encodes together.
+TEXT = 6 << 20
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss long"
 
 
-class Words:
-    """Ids of texts by a tokenizer that lower-cases and never joins text across white space: each word is encoded once and remembered.
+#: The rules of a tokenizer whose texts may be encoded by pieces. It composes and lower-cases letters, drops white space
+#: and joins nothing across the pieces that its split finds.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+END = "</w>"
+#: Letters of ASCII words and words with composed Latin letters, for which those rules are plain; other words are encoded whole.
+LETTERS = "a-z\u00df-\u00f6\u00f8-\u017f"
+PLAIN = "^[\x21-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+$"
+PIECE = f"('s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^0-9{LETTERS}]+)"
 
-    A word's ids are those of its letters and then of a full stop or comma after them, so such words share an entry. Two
-    generations of at most `most` words are kept; words that recur move to the younger one.
+
+def gathered(flat: np.ndarray, start: np.ndarray, length: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of flat at the asked places, one after another, and where each begins and the last ends."""
+    n = length[at]
+    cuts = np.concatenate([[0], np.cumsum(n)])
+    return flat[np.repeat(start[at] - cuts[:-1], n) + np.arange(cuts[-1])], cuts
+
+
+class Ids:
+    """Ids of texts by a tokenizer file.
+
+    If the file has the rules above, the distinct words of a batch of texts are cut into the pieces that its split
+    finds, and each new piece is encoded once, many of them joined by blanks: an id whose entry carries the end mark
+    closes a piece. Two generations of at most `most` pieces are remembered; those that recur move to the younger one.
+    Words with other letters (whose case must stay, for a letter may compose with a mark in one case only) and texts with
+    special tokens are encoded whole. By any other file, all texts are.
     """
 
-    def __init__(self, path: str, most: int = 250_000):
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
-        self.stops = {46: self.fresh([b"."])[0], 44: self.fresh([b","])[0]}
-
-    def fresh(self, words: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        return [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in found)]
-
-    def learn(self, words: set[bytes]) -> None:
-        known, older, ask, ends = self.known, self.older, set(), []
-        for w in words:
-            if (ids := older.get(w)) is not None:
-                known[w] = ids
-            elif w[-1] in self.stops and w[-2:-1].isalpha():
-                ends.append(w)
-                core = w[:-1]
-                if core not in known and core not in words:
-                    if (ids := older.get(core)) is not None:
-                        known[core] = ids
-                    else:
-                        ask.add(core)
-            else:
-                ask.add(w)
-        new = list(ask)
+    def __init__(self, path: str, most: int = 100_000):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.whole, self.most = Tokenizer.from_file(path), most
+        with open(path, encoding="utf-8") as f:
+            rules = json.load(f)
+        split = [p["pattern"] for p in (rules["pre_tokenizer"] or {}).get("pretokenizers", []) if p["type"] == "Split"]
+        self.by_piece = rules["normalizer"] == NORMALIZER and split == [{"Regex": SPLIT}] and rules["model"].get("end_of_word_suffix") == END
+        if self.by_piece:
+            self.signs = "|".join(re.escape(t["content"]) for t in rules["added_tokens"]) or "$."
+            self.pieces = Tokenizer(self.whole.model)
+            self.pieces.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            vocab = self.whole.get_vocab(with_added_tokens=True)
+            self.closes = np.zeros(max(vocab.values()) + 1, bool)
+            self.closes[[i for token, i in vocab.items() if token.endswith(END)]] = True
+            self.known: dict[str, bytes] = {}
+            self.older: dict[str, bytes] = {}
+
+    def encoded(self, texts: list[str]) -> list[bytes]:
+        found = self.whole.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
+
+    def joined(self, new: list[str], run: int = 512) -> Iterator[tuple[str, bytes]]:
+        found = self.pieces.encode_batch_fast([" ".join(new[k : k + run]) for k in range(0, len(new), run)], add_special_tokens=False)
+        for k, e in enumerate(found):
+            ids, own = np.array(e.ids, "<u4"), new[k * run : (k + 1) * run]
+            ends = (4 * (np.flatnonzero(self.closes[ids]) + 1)).tolist()
+            raw = ids.tobytes()
+            yield from zip(own, map(raw.__getitem__, map(slice, [0, *ends], ends)), strict=True)
+
+    def table(self, keys: list[str], encode: Callable) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of all keys, and where each key's begin and how many they are."""
+        known, older = self.known, self.older
+        known[""] = b""  # stands at both ends of what is split
+        new = [k for k in keys if k not in known]
+        if older:
+            known.update((k, older[k]) for k in new if k in older)
+            new = [k for k in new if k not in known]
         if new:
-            known.update(zip(new, self.fresh(new), strict=True))
-        for w in ends:
-            known[w] = known[w[:-1]] + self.stops[w[-1]]
+            known.update(encode(new))
+        ids = list(map(known.__getitem__, keys))
+        length = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        return np.frombuffer(b"".join(ids), "<u4"), np.cumsum(length) - length, length
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def encode(self, texts: pa.Array) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
-        raw = [(t or "").encode() for t in texts]
-        # bytes know ASCII only: they lower A-Z and cut where the tokenizer cuts too; the texts of special tokens stay as they are
-        split = [(b if b"<|" in b else b.lower()).split() for b in raw]
-        new = {w for words in split for w in words if w not in self.known}
-        if new:
-            self.learn(new)
-        get = self.known.__getitem__
-        out = [b"".join(map(get, words)) for words in split]
+        texts = texts.cast(pa.string()).fill_null("")
+        if not self.by_piece:
+            return self.encoded(texts.to_pylist())
+        special = pc.match_substring_regex(texts, self.signs)
+        words = pc.ascii_split_whitespace(pc.if_else(special, "", texts))
+        coded = words.flatten().dictionary_encode()
+        plain = pc.match_substring_regex(coded.dictionary, PLAIN)
+        cut = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(coded.dictionary.filter(plain)), PIECE, r"\1 "))
+        parts = cut.flatten().dictionary_encode()
+        flat, ends = gathered(*self.table(parts.dictionary.to_pylist(), self.joined), parts.indices.to_numpy())
+        others = coded.dictionary.filter(pc.invert(plain)).to_pylist()
+        more, start, length = self.table(others, lambda new: zip(new, self.encoded(new), strict=True))
+        # where each distinct word's ids begin, and how many they are
+        own, rest = np.flatnonzero(plain.to_numpy(zero_copy_only=False)), np.flatnonzero(~plain.to_numpy(zero_copy_only=False))
+        first, n = np.zeros(len(plain), np.int64), np.zeros(len(plain), np.int64)
+        at = ends[cut.offsets.to_numpy()]
+        first[own], n[own] = at[:-1], np.diff(at)
+        first[rest], n[rest] = start + len(flat), length
+        ids, cuts = gathered(np.concatenate([flat, more]), first, n, coded.indices.to_numpy())
+        raw, at = ids.tobytes(), (4 * cuts[words.offsets.to_numpy()]).tolist()
+        out = [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
+        for i in np.flatnonzero(special.to_numpy(zero_copy_only=False)).tolist():
+            out[i] = self.encoded([texts[i].as_py()])[0]
         if len(self.known) > self.most:
             self.known, self.older = {}, self.known
         return out
@@ -182,73 +233,91 @@ def powers(b: Bin) -> list[Bin]:
     return out
 
 
+def slices(example: int, n: int, loss: int, limits: tuple[int, int, int]) -> list[Piece]:
+    """An example from its start in pieces of whole sequences, as far as it exceeds one in tokens or in loss-bearing tokens, and the rest."""
+    tokens, _, losses = limits
+    out, at, silent = [], 0, n - loss  # loss-bearing tokens come last in an example
+    while n - at > tokens or loss > losses:
+        size = min(tokens, max(0, silent - at) + losses)
+        share = max(0, at + size - max(at, silent))
+        out.append(Piece(example, at, size, share))
+        at, loss = at + size, loss - share
+    return [*out, Piece(example, at, n - at, loss)] if n > at else out
+
+
 def pack_batch(lengths: list[int], losses: list[int], limits: tuple[int, int, int], cut: bool) -> list[Bin]:
     """Bins for examples that each may be longer than a bin; cut: whether room may be filled by cutting examples that fit one."""
     full, rest = [], []
     for e, (n, loss) in enumerate(zip(lengths, losses, strict=True)):
-        at = 0
-        while n - at > limits[0]:
-            share = max(0, min(limits[0], at + limits[0] - (n - loss)))
-            full.append(Bin([Piece(e, at, limits[0], share)]))
-            at += limits[0]
-        rest.append(Piece(e, at, n - at, min(loss, n - at)))
+        for p in slices(e, n, loss, limits):
+            if p.length == limits[0]:
+                full.append(Bin([p]))
+            else:
+                rest.append(p)
     placed = place(rest, limits)
     return full + (fill(placed, limits) if cut else placed)
 
 
-def pack(examples: DataFrame, tokenizer: str, end_id: int = 1, length: int = LENGTH, segments: int = SEGMENTS, loss_tokens: int | None = None, cut: bool = True, batch: int = BATCH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Packs each row's text, and end_id after it, all of it loss-bearing: a row a piece.
+def runs(column: pa.Array, most: int = TEXT) -> Iterator[tuple[int, int]]:
+    """Cuts of a column of texts into runs of some bytes; a longer text is a run of its own."""
+    size = pc.fill_null(pc.binary_length(column), 0).to_numpy()
+    at = held = 0
+    for i, n in enumerate(size.tolist()):
+        if held and held + n > most:
+            yield at, i
+            at, held = i, 0
+        held += n
+    if at < len(column):
+        yield at, len(column)
+
 
-    doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. batch: tokens that a task packs together.
+def pack(examples: DataFrame, tokenizer: str, end_id: int = 1, length: int = LENGTH, segments: int = SEGMENTS, loss_tokens: int | None = None, cut: bool = True, batch: int = BATCH, id_col: str = "doc_id", text_col: str = "text", loss_col: str | None = None) -> DataFrame:
+    """Packs each row's text, and end_id after it: a row a piece.
+
+    doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, loss. length, segments and loss_tokens (length by
+    default) limit a sequence; batch: tokens that a task packs together; loss_col: how many of an example's last tokens,
+    the end among them, bear loss (all by default and where it is null).
     """
     limits = (length, segments, loss_tokens or length)
     end = np.array([end_id], "<u4").tobytes()
+    names = [x.split()[0] for x in PIECES.split(", ")]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = _words(tokenizer)
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Ids(tokenizer)  # its memory goes with the task
         number = TaskContext.get().partitionId() << 33
-        ids: list[bytes] = []
-        names: list = []
+        held: list[tuple[int | None, bytes, int | None]] = []
 
-        def flush() -> pd.DataFrame:
+        def flush() -> pa.RecordBatch:
             nonlocal number
-            lengths = [len(x) // 4 for x in ids]
+            lengths = [len(ids) // 4 for _, ids, _ in held]
+            losses = [n if x is None else min(max(x, 0), n) for n, (_, _, x) in zip(lengths, held, strict=True)]
             rows = []
-            for b in pack_batch(lengths, lengths, limits, cut):
+            for b in pack_batch(lengths, losses, limits, cut):
                 at = 0
                 for p in b.pieces:
-                    crc = zlib.crc32(ids[p.example][4 * p.start : 4 * (p.start + p.length)])
-                    rows.append((names[p.example], p.start, p.length, crc, lengths[p.example], number, at))
+                    name, ids, _ = held[p.example]
+                    crc = zlib.crc32(ids[4 * p.start : 4 * (p.start + p.length)])
+                    rows.append((name, p.start, p.length, crc, lengths[p.example], number, at, p.loss))
                     at += p.length
                 number += 1
-            ids.clear()
-            names.clear()
-            out = pd.DataFrame(rows, columns=[x.split()[0] for x in PIECES.split(", ")])
-            return out.astype({"doc_id": "Int64"})
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names)
 
-        held = 0
+        tokens = 0
         for frame in frames:
-            for k in range(0, len(frame), 512):
-                part = frame.iloc[k : k + 512]
-                for name, x in zip(part["doc_id"].astype("Int64").tolist(), words.encode(part["text"].tolist()), strict=True):
-                    names.append(name)
-                    ids.append(x + end)
-                    held += len(x) // 4 + 1
-                    if held >= batch:
+            texts = frame.column("text")
+            for a, b in runs(texts):
+                part = frame.slice(a, b - a)
+                losses = part.column("loss").to_pylist()
+                for name, ids, loss in zip(part.column("doc_id").to_pylist(), known.encode(part.column("text")), losses, strict=True):
+                    held.append((name, ids + end, loss))
+                    tokens += len(ids) // 4 + 1
+                    if tokens >= batch:
                         yield flush()
-                        held = 0
-        if ids:
+                        tokens = 0
+        if held:
             yield flush()
 
-    slim = examples.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return slim.mapInPandas(run, PIECES)
-
-
-_known: dict[str, Words] = {}
-
-
-def _words(path: str) -> Words:
-    """A Python worker's tokenizer and memory of words, kept between its tasks."""
-    if path not in _known:
-        _known[path] = Words(path)
-    return _known[path]
+    loss = F.col(loss_col).cast("long") if loss_col else F.lit(None).cast("long")
+    slim = examples.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), loss.alias("loss"))
+    return slim.mapInArrow(run, PIECES)

@@ -161,6 +161,79 @@ def test_packing(spark):
     assert packing.pack(docs(spark, []), path).count() == 0
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_ids_are_those_of_whole_texts(name):
+    import random
+
+    import numpy as np
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path, rng = public_tokenizers.path(name), random.Random(1)
+    letters = [*"abcXYZ019 '\"-.,<|>é\u0301É\u00a0İß\u030aK\x1c\x85\n\t\u3000日本ſŸ²½ªº_", "st'll're", "<|endoftext|>", "'s", "'LL"]
+    texts = [None, "", *("".join(rng.choice(letters) for _ in range(rng.randrange(40))) for _ in range(4000))]
+    ids, tok = packing.Ids(path, most=300), Tokenizer.from_file(path)
+    got = [x for k in range(0, len(texts), 100) for x in ids.encode(pa.array(texts[k : k + 100]))]
+    assert ids.by_piece == (name == "word_bpe_49k.json")
+    assert got == [np.array(tok.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
+def test_packing_under_three_limits(spark):
+    import public_tokenizers
+    from pyspark.sql import functions as F
+
+    texts = [f"word{i} thing, " * (i % 61) for i in range(150)] + [None, "a b " * 3000]
+    some = docs(spark, texts).withColumn("answer", F.when(F.col("doc_id") % 5 > 0, F.col("doc_id") * 7 % 200))
+    for cut in (True, False):
+        rows = packing.pack(some, public_tokenizers.path("word_bpe_49k.json"), length=256, segments=5, loss_tokens=100, cut=cut, loss_col="answer").collect()
+        pieces, sequences = {}, {}
+        for r in rows:
+            pieces.setdefault(r.doc_id, []).append(r)
+            sequences.setdefault(r.sequence_id, []).append(r)
+        for i, own in pieces.items():
+            n = own[0].doc_tokens
+            bearing = min(n, i * 7 % 200) if i % 5 else n
+            for r in own:
+                assert r.loss == max(0, r.start + r.length - max(r.start, n - bearing)), (i, r)
+            assert sum(r.length for r in own) == n and sum(r.loss for r in own) == bearing
+        assert set(pieces) == set(range(len(texts)))
+        for own in sequences.values():
+            assert sum(r.length for r in own) <= 256 and len(own) <= 5 and sum(r.loss for r in own) <= 100
+        assert max(len(own) for own in sequences.values()) == 5
+
+
+def test_placement_prefers_the_direction_of_the_demands():
+    # the second example turns to the bin whose room is like its demands, though the other one is fuller
+    pieces = [packing.Piece(0, 0, 60, 10), packing.Piece(1, 0, 55, 50), packing.Piece(2, 0, 30, 1)]
+    bins = packing.place(pieces, (100, 8, 60))
+    assert [[p.example for p in b.pieces] for b in bins] == [[0], [1, 2]]
+
+    def by_hand(pieces, limits):
+        rooms, out = [], []
+        for p in sorted(pieces, key=lambda p: (-p.length, p.example, p.start)):
+            need = [p.length / limits[0], 1 / limits[1], p.loss / limits[2]]
+            able = [k for k, room in enumerate(rooms) if room and all(a >= b - 1e-12 for a, b in zip(room, need, strict=True))]
+            if able:
+                score = lambda k: sum(a * b for a, b in zip(rooms[k], need, strict=True)) / (sum(a * a for a in rooms[k]) ** 0.5 + 1e-9)
+                best = min(able, key=lambda k: (-round(score(k), 9), rooms[k][0]))
+            else:
+                rooms.append([1.0] * 3)
+                out.append([])
+                best = len(rooms) - 1
+            out[best].append(p.example)
+            rooms[best] = [a - b for a, b in zip(rooms[best], need, strict=True)]
+            if any(a * c < 0.5 for a, c in zip(rooms[best], limits, strict=True)):
+                rooms[best] = None
+        return out
+
+    import random
+
+    rng = random.Random(5)
+    pieces = [packing.Piece(i, 0, n := rng.randint(1, 400), rng.randint(0, n)) for i in range(200)]
+    assert [[p.example for p in b.pieces] for b in packing.place(pieces, (512, 6, 300))] == by_hand(pieces, (512, 6, 300))
+
+
 def test_packing_keeps_all_limits():
     import random
 
@@ -169,6 +242,6 @@ def test_packing_keeps_all_limits():
     losses = [rng.randint(0, n) for n in lengths]
     for cut in (False, True):
         bins = packing.pack_batch(lengths, losses, (512, 4, 300), cut)
-        assert all(b.used <= 512 and len(b.pieces) <= 4 and sum(p.loss for p in b.pieces) <= 300 or len(b.pieces) == 1 for b in bins)
+        assert all(b.used <= 512 and len(b.pieces) <= 4 and sum(p.loss for p in b.pieces) <= 300 for b in bins)
         assert sum(b.used for b in bins) == sum(lengths)
         assert sum(p.loss for b in bins for p in b.pieces) == sum(losses)
