@@ -9,19 +9,31 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a local folder only where none is set."""
+    """spark.checkpoint.dir of the session. A local folder takes its place only on a local master, where driver and tasks are one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = f"file://{tempfile.mkdtemp(prefix='ohmgraph-')}"
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
-def saved(df: DataFrame, what: str = "step") -> DataFrame:
-    """The table, written once as Parquet and read back, so that later steps neither repeat it nor depend on executors."""
+def saved_at(df: DataFrame, what: str) -> tuple[DataFrame, str]:
+    """The table, written once as Parquet and read back, and where."""
     path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def saved(df: DataFrame, what: str = "step") -> DataFrame:
+    """The table, written once and read back, so that later steps neither repeat it nor depend on executors."""
+    return saved_at(df, what)[0]
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def reuse(spark: SparkSession, path: str, build) -> DataFrame:
