@@ -17,6 +17,7 @@ are as good as others. A limit on segments that is already met leaves a sequence
 from __future__ import annotations
 
 import json
+import os
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -66,6 +67,7 @@ class Ids:
     """
 
     def __init__(self, path: str, most: int = 100_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a Spark task has one core, and each thread keeps memory
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole, self.most = Tokenizer.from_file(path), most
@@ -80,8 +82,13 @@ class Ids:
             vocab = self.whole.get_vocab(with_added_tokens=True)
             self.closes = np.zeros(max(vocab.values()) + 1, bool)
             self.closes[[i for token, i in vocab.items() if token.endswith(END)]] = True
-            self.known: dict[str, bytes] = {}
-            self.older: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def forget(self) -> None:
+        """Gives back what a task has learnt."""
+        self.known, self.older = {}, {}
+        pa.default_memory_pool().release_unused()
 
     def encoded(self, texts: list[str]) -> list[bytes]:
         found = self.whole.encode_batch_fast(texts, add_special_tokens=False)
@@ -283,7 +290,7 @@ def pack(examples: DataFrame, tokenizer: str, end_id: int = 1, length: int = LEN
     names = [x.split()[0] for x in PIECES.split(", ")]
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Ids(tokenizer)  # its memory goes with the task
+        known = tokenizer_of(tokenizer)
         number = TaskContext.get().partitionId() << 33
         held: list[tuple[int | None, bytes, int | None]] = []
 
@@ -303,21 +310,34 @@ def pack(examples: DataFrame, tokenizer: str, end_id: int = 1, length: int = LEN
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names)
 
-        tokens = 0
-        for frame in frames:
-            texts = frame.column("text")
-            for a, b in runs(texts):
-                part = frame.slice(a, b - a)
-                losses = part.column("loss").to_pylist()
-                for name, ids, loss in zip(part.column("doc_id").to_pylist(), known.encode(part.column("text")), losses, strict=True):
-                    held.append((name, ids + end, loss))
-                    tokens += len(ids) // 4 + 1
-                    if tokens >= batch:
-                        yield flush()
-                        tokens = 0
-        if held:
-            yield flush()
+        try:
+            tokens = 0
+            for frame in frames:
+                texts = frame.column("text")
+                for a, b in runs(texts):
+                    part = frame.slice(a, b - a)
+                    losses = part.column("loss").to_pylist()
+                    for name, ids, loss in zip(part.column("doc_id").to_pylist(), known.encode(part.column("text")), losses, strict=True):
+                        held.append((name, ids + end, loss))
+                        tokens += len(ids) // 4 + 1
+                        if tokens >= batch:
+                            yield flush()
+                            tokens = 0
+            if held:
+                yield flush()
+        finally:
+            known.forget()
 
     loss = F.col(loss_col).cast("long") if loss_col else F.lit(None).cast("long")
     slim = examples.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), loss.alias("loss"))
     return slim.mapInArrow(run, PIECES)
+
+
+_open: dict[str, Ids] = {}
+
+
+def tokenizer_of(path: str) -> Ids:
+    """A Python worker's tokenizer, kept between its tasks without what they learnt."""
+    if path not in _open:
+        _open[path] = Ids(path)
+    return _open[path]
