@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import delete, saved_at
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: ASCII white space: \x20 and \x09 to \x0D.
 BLANKS = " \t\n\x0b\f\r"
@@ -35,26 +34,32 @@ def row_key(*cols: Column) -> list[Column]:
     return [F.xxhash64(F.lit(i), *parts).alias(f"_k{i}") for i in (1, 2)]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; where the cluster names none (tests), a local one."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = f"file://{tempfile.mkdtemp(prefix='ohmgraph-')}"
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
+_made: list[str] = []
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
     """Writes df once as Parquet in the shared folder and reads it back: lineage ends there, and lost executors lose nothing."""
-    path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back, path = saved_at(df, what)
     back._written_to = path
+    _made.append(path)
     return back
 
 
 def discard(df: DataFrame) -> None:
     """Deletes what written() wrote, once nothing reads it any more."""
-    spark, path = df.sparkSession, df._written_to
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    delete(df.sparkSession, df._written_to)
+    _made.remove(df._written_to)
+
+
+def made() -> int:
+    """How many tables written() has written and nobody deleted."""
+    return len(_made)
+
+
+def keep_only(since: int, *kept: DataFrame) -> None:
+    """Deletes what written() wrote since there were so many tables, but for those kept; nothing else may read them any more."""
+    names = [df._written_to for df in kept]
+    for path in _made[since:]:
+        if path not in names:
+            delete(kept[0].sparkSession, path)
+    _made[since:] = [path for path in _made[since:] if path in names]

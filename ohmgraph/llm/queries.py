@@ -77,7 +77,7 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, limit=2.0)
-    return out.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+    return out.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", "first_slot")
 
 
 OP4_SQL = r"""
@@ -94,10 +94,21 @@ WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, '')
   SELECT d.*, n, target, CAST(floor(target + 0.5) AS BIGINT) AS wanted,
          CAST(sum(size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), size ROWS UNBOUNDED PRECEDING) - size AS BIGINT) AS start
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), e AS (
+  SELECT source, target, sum(target / total) OVER (ORDER BY source NULLS LAST ROWS UNBOUNDED PRECEDING) AS hi, total,
+         row_number() OVER (ORDER BY source NULLS LAST) - 1 AS nth, count(*) OVER () AS sources, CAST(ceil(total / 256) AS BIGINT) AS slots
+  FROM (SELECT *, sum(target) OVER () AS total FROM t) WHERE target > 0
+), i AS (SELECT *, coalesce(lag(hi) OVER (ORDER BY nth), 0) AS lo, nth = sources - 1 AS ends FROM e
+), g AS (
+  SELECT slot, source FROM (SELECT unnest(range((SELECT max(slots) FROM i))) AS slot) JOIN i
+    ON (CAST(slot AS DOUBLE) * 0.6180339887498949::DOUBLE) % 1.0::DOUBLE >= lo AND (ends OR (CAST(slot AS DOUBLE) * 0.6180339887498949::DOUBLE) % 1.0::DOUBLE < hi)
+  UNION ALL SELECT slots + x.k * sources + nth, source FROM i, range(32) AS x(k)
+), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS rank FROM g
+), m AS (
+  SELECT *, greatest(0, least(size, wanted - start)) + greatest(0, least(size, wanted - n - start)) AS taken FROM p
 )
-SELECT doc_id, size, n AS source_size, round(target, 6) AS target,
-       greatest(0, least(size, wanted - start)) + greatest(0, least(size, wanted - n - start)) AS taken
-FROM p
+SELECT doc_id, size, n AS source_size, round(target, 6) AS target, taken, CASE WHEN taken > 0 THEN slot END AS first_slot
+FROM m LEFT JOIN r ON m.source IS NOT DISTINCT FROM r.source AND start // 256 = rank
 """
 
 

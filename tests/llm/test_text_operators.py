@@ -62,22 +62,111 @@ def test_quality_rules(spark):
     assert quality_rules.ledger(docs(spark, [])).count() == 0
 
 
+def scanned_by_hand(text):
+    """The base places, labels, score and places of a text."""
+    scan, words, found, best = license_scan, license_scan.template_words(text or ""), [], 0.0
+    k, near = scan.K, scan.NEAR
+    base = [(j, v) for p, v in scan.BASE.items() for q in [p.split()] for j in range(len(words)) if words[j : j + len(q)] == q]
+    for t, (label, notice, more) in enumerate(scan.NOTICES):
+        own = scan.template_words(notice)
+        hits = sorted((i - j, i, j) for i in range(len(words) - k + 1) for j in range(len(own) - k + 1) if words[i : i + k] == own[j : j + k])
+        groups = []
+        for d, i, j in hits:
+            if not groups or d - groups[-1][-1][0] > near:
+                groups.append([])
+            groups[-1].append((d, i, j))
+        for g in groups:
+            start, end = min(i for _, i, _ in g), max(i for _, i, _ in g) + k
+            covered = {j + x for _, _, j in g for x in range(k)}
+            around = {p for _, i, _ in g for p in range(max(0, i - near), min(len(words), i + k + near)) if start <= p < end}
+            must = {j for j, w in enumerate(own) if w in scan.TELLING or w in more.split()}
+            if must <= covered and not any(words[p] in scan.TELLING and words[p] not in own for p in around):
+                share = len(covered) / max(len(own), end - start)
+                best = max(best, share)
+                if share >= scan.COVERED:
+                    found.append((start, end, t, label, share, len(covered)))
+    kept, runs = [], []
+    for f in sorted(found):
+        if not runs or f[0] >= max(x[1] for x in runs[-1]):
+            runs.append([])
+        runs[-1].append(f)
+    for run in runs:
+        top = max(run, key=lambda f: (f[4], f[5], -f[2]))
+        kept += [f for f in run if f[3] == top[3] or f[0] >= top[1] or f[1] <= top[0]]
+    labels = {v for _, v in base} | {f[3] for f in kept}
+    phrase = {v: len(p.split()) for p, v in scan.BASE.items()}
+    places = sorted([(j, j + phrase[v], v, 1.0) for j, v in base] + [(f[0], f[1], f[3], f[4]) for f in kept])
+    return len(words), base, ",".join(sorted(labels)), 1.0 if base else best, places
+
+
+LICENSED = {
+    "Under the MIT License, under the mit license": "mit",
+    "cc-by-nc cc by nc 4.0": "cc-by-nc",
+    "Licensed under the Apache License, Version 2.0.": "apache-2",
+    "This is licensed under the GNU General Public License, v3": "gpl",
+    "is licensed under the GNU Public General License": "",
+    "under the terms of the GNU General Public License as published": "gpl",
+    "You can use it under the terms of the GNU Lesser General Public License": "lgpl",
+    "licensed under the GNU Lesser General Public License": "lgpl",
+    "under the terms of the GNU Affero General Public License": "agpl",
+    "licensed under the terms of the GNU Library General Public License": "",
+    "licensed under a Creative Commons Attribution 4.0 International License": "cc-by",
+    "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License": "cc-by-sa",
+    "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License": "cc-by-nc",
+    "licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License": "cc-by-nc-sa",
+    "All rights reserved.": "proprietary",
+    "SPDX-License-Identifier: MIT": "mit",
+    "// SPDX-License-Identifier: Apache-2.0": "apache-2",
+    "SPDX-License-Identifier: WTFPL": "",
+    "Licensed under the GNU General Public License. Or licensed under the GNU Lesser General Public License.": "gpl,lgpl",
+    "Permission is hereby granted, free of charge, to any person who obtains a copy of this software and associated documentation files": "mit",
+    "mit": "",
+}
+
+
 def test_license_scan(spark):
-    texts = ODD + ["Under the MIT License, under the mit license", "cc-by-nc cc by nc 4.0", "Licensed under the Apache License, Version 2.0.", "is licensed under the GNU Public General License", "This is licensed under the GNU General Public License, v3", "mit"]
+    texts = ODD + list(LICENSED)
     out = {r.doc_id: r for r in license_scan.scan(docs(spark, texts)).collect()}
-    phrases = {tuple(k.split()): v for k, v in license_scan.BASE.items()}
     for i, t in enumerate(texts):
-        w = license_scan.template_words(t or "")
-        at = [(j, v) for p, v in phrases.items() for j in range(len(w)) if tuple(w[j : j + len(p)]) == p]
-        r, starts = out[i], [j for j, _ in at]
-        assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(w), len(at), min(starts, default=None), max(starts, default=None))
-        assert r.base_labels == ",".join(sorted({v for _, v in at})) and 0 <= r.score <= 1
-    assert out[len(ODD) + 4].labels == "gpl" and out[len(texts) - 1].labels == ""
+        n, base, labels, score, places = scanned_by_hand(t)
+        r, starts = out[i], [j for j, _ in base]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word) == (n, len(base), min(starts, default=None), max(starts, default=None)), t
+        assert r.base_labels == ",".join(sorted({v for _, v in base})) and r.labels == labels and r.score == pytest.approx(score), t
+        assert [(p.start, p.end, p.label, p.covered) for p in r.places] == [(*p[:3], pytest.approx(p[3])) for p in places], t
+        if t in LICENSED:
+            assert r.labels == LICENSED[t], t
     assert license_scan.scan(docs(spark, [])).count() == 0
     with pytest.raises(ValueError):
         license_scan.templates(spark, {"two words": "x"}, ())
 
 
+def test_license_scan_of_edited_notices(spark):
+    import random
+
+    rng, texts = random.Random(3), []
+    pool = ["lesser", "the", "gnu", "affero", "x", "license", "noncommercial", "of", "under"]
+    for _ in range(150):
+        words = []
+        for _ in range(rng.randint(1, 4)):
+            own = license_scan.template_words(rng.choice(license_scan.NOTICES)[1])
+            for _ in range(rng.randint(0, 3)):
+                at = rng.randrange(len(own))
+                own[at : at + rng.randint(0, 1)] = rng.choice([[], [rng.choice(pool)], [rng.choice(pool)] * 2])
+            words += own + [rng.choice(pool)] * rng.randint(0, 3)
+        texts.append(" ".join(words))
+    out = {r.doc_id: r for r in license_scan.scan(docs(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        _, _, labels, score, places = scanned_by_hand(t)
+        assert (out[i].labels, out[i].score) == (labels, pytest.approx(score)), t
+        assert [(p.start, p.end, p.label) for p in out[i].places] == [p[:3] for p in places], t
+
+
+def test_license_scan_of_repeated_rows(spark):
+    texts = ["under the mit license"] * 3 + [None] * 2 + ["all rights reserved"]
+    out = license_scan.scan(docs(spark, texts, ids=[1, 1, None, 2, 2, None])).collect()
+    assert sorted((r.doc_id or 0, r.n_base, r.labels, len(r.places)) for r in out) == [(0, 0, "proprietary", 1), (0, 1, "mit", 1), (1, 1, "mit", 1), (1, 1, "mit", 1), (2, 0, "", 0), (2, 0, "", 0)]
+
+
 def test_mixing(spark):
     texts = ["w " * (i % 7 * 40) for i in range(60)] + [None, "one"]
     sources = [["a", "b", "c", None][i % 4] for i in range(60)] + ["b", "tiny"]
@@ -98,6 +187,73 @@ def test_mixing(spark):
     assert mixing.mix(docs(spark, [])).count() == 0 and mixing.mixed_documents(docs(spark, [None, ""])).count() == 0
 
 
+def test_mixing_keeps_repeated_rows(spark):
+    texts, ids = ["a b", "a b", None, None, "", ""], [1, 1, 2, 2, None, None]
+    out = mixing.mix(docs(spark, texts, ids=ids)).collect()
+    assert sorted((r.doc_id or 0, r["size"]) for r in out) == [(0, 0), (0, 0), (1, 2), (1, 2), (2, 0), (2, 0)]
+    assert sum(r.taken for r in out) == 6 and all((r.first_slot is None) == (r.taken == 0) for r in out)
+    used = mixing.mixed_documents(docs(spark, texts, ids=ids)).collect()
+    assert sorted(r.text for r in used) == ["a b"] * 3
+
+
+def test_mixing_follows_its_schedule(spark):
+    import hashlib
+    import itertools
+    import math
+
+    texts = [" ".join(f"d{i}w{j}" for j in range(i * 37 % 90)) for i in range(200)]
+    sources = [["a", "b", "b", "b", None][i % 5] for i in range(200)]
+    block = 32
+    sizes = Counter()
+    for t, s in zip(texts, sources, strict=True):
+        sizes[s] += len(t.split())
+    names, goal = ["a", "b", None], mixing.targets(dict(sizes))
+    total = sum(goal.values())
+    ends = list(itertools.accumulate(goal[s] / total for s in names))
+    slots = math.ceil(total / block)
+    at = [sum(e <= i * mixing.GOLDEN % 1.0 for e in ends[:-1]) for i in range(slots)] + [i % 3 for i in range(mixing.SPARE * 3)]
+    want, rank = {}, Counter()
+    stream = {s: [w for i in sorted((i for i in range(200) if sources[i] == s), key=lambda i: hashlib.md5(str(i).encode()).hexdigest()) for w in texts[i].split()] for s in names}
+    given = Counter()
+    for slot, k in enumerate(at):
+        s = names[k]
+        blocks = math.ceil(sizes[s] / block)
+        turn, b = divmod(rank[s], blocks)
+        rank[s] += 1
+        for w in stream[s][b * block : (b + 1) * block]:
+            if given[s] < int(goal[s] + 0.5):
+                given[s] += 1
+                i = int(w[1 : w.index("w")])
+                n, first = want.get((i, turn), (0, slot))
+                want[i, turn] = (n + 1, first)
+    out = mixing.mix(docs(spark, texts, sources), block=block).collect()
+    got = {(r.doc_id, k): (u.n, u.slot) for r in out for k, u in enumerate(r.uses)}
+    assert got == want
+    assert all(r.first_slot == (want[r.doc_id, 0][1] if (r.doc_id, 0) in want else None) for r in out)
+    # every partition of the mix is in its order
+    order = mixing.mixed_documents(docs(spark, texts, sources), block=block)
+    for part in order.select("doc_id").rdd.glom().collect():
+        left, last = {i: [u.slot for k, u in sorted((k, u) for (j, k), u in ((kv, mixing_use(v)) for kv, v in want.items()) if j == i)] for i in {r.doc_id for r in part}}, -1
+        for r in part:
+            slot = left[r.doc_id].pop(0)
+            assert slot >= last
+            last = slot
+
+
+def mixing_use(pair):
+    from pyspark.sql import Row
+
+    return Row(n=pair[0], slot=pair[1])
+
+
+def test_schedule_gives_every_stretch_the_shares(spark):
+    goal = {f"s{i}": float(10 + i % 7) for i in range(40)} | {None: 500.0, "none": 0.0}
+    rows = [r.source for r in mixing.schedule(spark, goal, block=1).orderBy("slot").collect()]
+    assert len(rows) == int(sum(goal.values()) + 0.5) + mixing.SPARE * 41 and "none" not in rows
+    half = Counter(rows[: len(rows) // 4])
+    assert half[None] == pytest.approx(len(rows) // 4 * 500 / sum(goal.values()), abs=8)
+
+
 def test_targets_stop_at_the_limit():
     got = mixing.targets({"a": 10, "b": 1000, None: 1000})
     assert got == {"a": 20.0, "b": pytest.approx(2995 / 3), None: pytest.approx(2995 * 2 / 3)}
@@ -186,7 +342,7 @@ def test_packing_under_three_limits(spark):
     texts = [f"word{i} thing, " * (i % 61) for i in range(150)] + [None, "a b " * 3000]
     some = docs(spark, texts).withColumn("answer", F.when(F.col("doc_id") % 5 > 0, F.col("doc_id") * 7 % 200))
     for cut in (True, False):
-        rows = packing.pack(some, public_tokenizers.path("word_bpe_49k.json"), length=256, segments=5, loss_tokens=100, cut=cut, loss_col="answer").collect()
+        rows = packing.pack(some, public_tokenizers.path("word_bpe_49k.json"), length=256, segments=3, loss_tokens=100, cut=cut, loss_col="answer").collect()
         pieces, sequences = {}, {}
         for r in rows:
             pieces.setdefault(r.doc_id, []).append(r)
@@ -199,8 +355,8 @@ def test_packing_under_three_limits(spark):
             assert sum(r.length for r in own) == n and sum(r.loss for r in own) == bearing
         assert set(pieces) == set(range(len(texts)))
         for own in sequences.values():
-            assert sum(r.length for r in own) <= 256 and len(own) <= 5 and sum(r.loss for r in own) <= 100
-        assert max(len(own) for own in sequences.values()) == 5
+            assert sum(r.length for r in own) <= 256 and len(own) <= 3 and sum(r.loss for r in own) <= 100
+        assert max(len(own) for own in sequences.values()) == 3
 
 
 def test_placement_prefers_the_direction_of_the_demands():
