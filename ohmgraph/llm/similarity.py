@@ -17,9 +17,9 @@ family of very many mutually unlike members costs much, since nothing cheaper te
 Components come from contracting links with Spark joins. Tables between steps are written to the shared folder.
 
 Defined results: null or empty texts, and texts without words, have an empty set, link with nothing and stand alone.
-A text of fewer than N words has one shingle, all its words. Rows with equal doc_id and different texts share their
-component, for which the smallest of the texts is compared; a null doc_id is linked with nothing and is its own
-component (null), kept.
+A text of fewer than N words has one shingle, all its words. Rows with equal doc_id and different texts are one document
+that links with all that one of its texts links with; a null doc_id is linked with nothing and is its own component
+(null), kept.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import discard, written
+from .common import discard, keep_only, made, written
 
 WORDS = 4
 SIMILARITY = (80, 100)
@@ -127,14 +127,14 @@ def described(docs: DataFrame, n: int, t: int, rows: int, id_col: str, text_col:
 
 
 def full_sets(docs: DataFrame, n: int, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
-    """c, set: the full sets of the wanted documents, computed only for those."""
+    """c, set: the full sets of the wanted documents, computed only for those; a doc_id of several texts has several."""
 
     @F.pandas_udf("array<long>")
     def hashed(texts: pd.Series) -> pd.Series:
         return pd.Series([shingles(x, n).view(np.int64) for x in texts])
 
     slim = docs.select(F.col(id_col).cast("long").alias("c"), F.col(text_col).alias("_t")).join(wanted, "c", "left_semi")
-    return slim.groupBy("c").agg(F.min("_t").alias("_t")).select("c", hashed("_t").alias("set"))
+    return slim.distinct().select("c", hashed("_t").alias("set")).where(F.size("set") > 0)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -253,10 +253,28 @@ def moved(rows: DataFrame, links: DataFrame) -> DataFrame:
     return rows.join(new, "root", "left").withColumn("root", F.coalesce("_new", "root")).drop("_new")
 
 
+def bucket_edges(members: DataFrame) -> DataFrame:
+    """(a, b): each member of a bucket hangs under the smallest; members: key, c.
+
+    The join has a row a bucket on its small side, so where one bucket holds a third of all classes Spark may split the
+    other side of it between tasks (spark.sql.adaptive.skewJoin).
+    """
+    heads = members.groupBy("key").agg(F.min("c").alias("head"), F.count("*").alias("k")).where("k > 1").drop("k")
+    return members.join(heads, "key").where("c <> head").select(F.col("c").alias("a"), F.col("head").alias("b")).distinct()
+
+
+def one_root(rows: DataFrame) -> DataFrame:
+    """(c, root) with one root for each c: what several roots of a c hold is joined."""
+    several = rows.groupBy("c").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
+    if several.isEmpty():
+        return rows.distinct()
+    links = rows.join(several.select("c", "a"), "c").select("a", F.col("root").alias("b"))
+    return moved(rows, written(links, "links")).distinct()
+
+
 def joined_classes(docs: DataFrame, members: DataFrame, n: int, similarity: tuple[int, int], id_col: str, text_col: str) -> DataFrame | None:
     """c, root for all classes that share a bucket with another; members: key, c."""
-    heads = members.groupBy("key").agg(F.min("c").alias("head"), F.count("*").alias("k")).where("k > 1").drop("k")
-    edges = written(members.join(heads, "key").where("c <> head").select(F.col("c").alias("a"), F.col("head").alias("b")).distinct(), "edges")
+    edges = written(bucket_edges(members), "edges")
     if edges.isEmpty():
         return None
     hung = components(edges).select(F.col("node").alias("c"), F.col("root").alias("family"))
@@ -266,14 +284,15 @@ def joined_classes(docs: DataFrame, members: DataFrame, n: int, similarity: tupl
     mass = sets.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / MEMBERS), F.ceil(F.sum(size) / HASHES)).cast("long").alias("blocks"))
     mass = written(mass, "masses")
     bundles = max(1, math.ceil((sets.agg(F.sum(size)).first()[0] or 0) / BUNDLE))
-    block = F.pmod(F.xxhash64("c"), F.col("blocks"))
+    block = F.pmod(F.xxhash64("c", F.size("set"), F.get("set", F.lit(0))), F.col("blocks"))
     bundle = F.when(F.col("blocks") > 1, F.xxhash64("family", "block")).otherwise(F.pmod(F.xxhash64("family"), F.lit(bundles)))
-    rows = sets.join(mass, "family").withColumn("block", block).withColumn("bundle", bundle)
+    rows = sets.join(mass, "family").withColumn("block", block).withColumn("bundle", bundle).drop("blocks")
     roots = written(within_blocks(rows, similarity), "roots")
     large = mass.where("blocks > 1")
     if large.isEmpty():
-        return roots.select("c", "root")
-    held = written(roots.join(large, "family").join(sets.select("c", "set"), "c"), "large")
+        return one_root(roots.select("c", "root"))
+    in_block = roots.groupBy("family", "block", "c").agg(F.min("root").alias("root"), F.max("links").alias("links"))
+    held = written(in_block.join(large, "family").join(rows.drop("bundle"), ["family", "block", "c"]), "large")
     # the best-linked of each block first, a bounded number of a family
     order = W.partitionBy("family", "block").orderBy(F.desc("links"), "c")
     few = held.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= F.ceil(PIVOTS / F.col("blocks"))).drop("_k", "links", "blocks")
@@ -281,14 +300,16 @@ def joined_classes(docs: DataFrame, members: DataFrame, n: int, similarity: tupl
     most = now.groupBy("family", "root").count().groupBy("family").agg(F.max_by("root", F.struct("count", "root")).alias("_most"))
     outside = now.join(most, "family").where("root <> _most").drop("_most")
     more = visits(outside, now, similarity)
-    linked = now.select("c", "root").unionByName(more.select(F.col("a").alias("c"), F.col("b").alias("root")))
-    inside = roots.join(large, "family", "left_anti").select("c", "root")
+    several = roots.join(large.select("family"), "family", "left_semi").select("c", "root")
+    linked = now.select("c", "root").unionByName(several).unionByName(more.select(F.col("a").alias("c"), F.col("b").alias("root")))
+    inside = one_root(roots.join(large, "family", "left_anti").select("c", "root"))
     ends = components(linked.select(F.col("c").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("c"), "root")
     return inside.unionByName(ends)
 
 
 def components_of(docs: DataFrame, n: int = WORDS, similarity: tuple[int, int] = SIMILARITY, t: int = T, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept."""
+    since = made()
     about = written(described(docs, n, t, rows, id_col, text_col), "sketches")
     one = about.where("n > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("c"), F.first("bands").alias("bands"))
     classes = written(one, "classes")
@@ -297,11 +318,17 @@ def components_of(docs: DataFrame, n: int = WORDS, similarity: tuple[int, int] =
     named = classes.select("s1", "s2", "n", "c")
     if roots is not None:
         named = named.join(roots, "c", "left").select("s1", "s2", "n", F.coalesce("root", "c").alias("c"))
-    named = written(named, "components")
-    alone = F.col("n") == 0
+    alone = (F.col("n") == 0) | F.col("doc_id").isNull()
     slim = about.select("doc_id", "n", F.when(alone, F.xxhash64("doc_id")).otherwise(F.col("s1")).alias("s1"), "s2")
-    found = slim.join(named, ["s1", "s2", "n"], "left")
-    component = F.when(F.col("doc_id").isNull() | alone, F.col("doc_id")).otherwise(F.col("c"))
+    found = slim.join(named, ["s1", "s2", "n"], "left").select("doc_id", "n", F.when(~alone, F.col("c")).alias("c"))
+    found = written(found, "components")
+    # texts of one document join their components
+    linked = found.where("c IS NOT NULL").groupBy("doc_id").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b")
+    if not linked.isEmpty():
+        links = found.where("c IS NOT NULL").join(linked.select("doc_id", "a"), "doc_id").select("a", F.col("c").alias("b")).distinct()
+        found = written(moved(found.withColumnRenamed("c", "root"), written(links, "links")).withColumnRenamed("root", "c"), "components")
+    keep_only(since, found)
+    component = F.coalesce("c", "doc_id")
     return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 

@@ -118,6 +118,28 @@ def test_near_dedup_null_and_repeated_ids(spark):
     assert similarity.components_of(docs(spark, [])).count() == 0
 
 
+def test_near_dedup_links_all_texts_of_a_document(spark):
+    a, x, b = (" ".join(f"{k}{i}" for i in range(60)) for k in "axb")
+    rows = [(5, a), (5, x), (7, x), (9, x + " x"), (2, a + " a"), (3, b), (11, b + " b"), (11, a + " c"), (20, b + "".join(f" q{i}" for i in range(30)))]
+    for order in (rows, rows[::-1]):
+        out = similarity.components_of(docs(spark, [t for _, t in order], ids=[i for i, _ in order])).collect()
+        assert {r.doc_id: r.component_id for r in out} == {5: 2, 7: 2, 9: 2, 2: 2, 3: 2, 11: 2, 20: 20} and len(out) == len(rows)
+        assert sum(r.kept for r in out) == 2
+    out = similarity.components_of(docs(spark, [a, x, x, x + " x"], ids=[5, 5, 7, 9])).collect()
+    assert {r.doc_id: r.component_id for r in out} == {5: 5, 7: 5, 9: 5}
+    # one doc_id for very many texts
+    many = [f"{a} {i}" for i in range(40)] + [f"{b} {i}" for i in range(40)] + [x]
+    out = similarity.components_of(docs(spark, many, ids=[1] * 79 + [2, 3])).collect()
+    assert {(r.doc_id, r.component_id) for r in out} == {(1, 1), (2, 1), (3, 3)} and len(out) == 81
+
+
+def test_near_copies_of_repeated_rows(spark):
+    a, x = (" ".join(f"{k}{i}" for i in range(60)) for k in "ax")
+    d = docs(spark, [a, a, a + " b", x, x, None, None], ids=[4, 4, 6, 7, 8, 9, 9])
+    kept = similarity.without_near_copies(d, n=5)
+    assert kept.columns == d.columns and sorted(r.doc_id for r in kept.collect()) == [4, 7, 9]
+
+
 def test_sketches_estimate_similarity():
     a, b = np.arange(0, 900, dtype=np.uint64) * np.uint64(7919), np.arange(100, 1000, dtype=np.uint64) * np.uint64(7919)
     sk = similarity.sketches([similarity.mixed(a), similarity.mixed(b), similarity.mixed(a[:1])], 1024)
