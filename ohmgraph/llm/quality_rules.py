@@ -1,8 +1,9 @@
 """Quality rules as a bitmask ledger.
 
 Every rule is evaluated once a document; the ledger keeps its measurements and a mask with a bit for each rule that
-failed. A policy is a versioned mask of the rules that count, applied to the ledger without reading a text again, and
-ablations are bitwise counts over the ledger. DataFrame functions only; nothing is shuffled but the counts of masks.
+failed. It is written once: a policy is a versioned mask of the rules that count, applied to the ledger without reading a
+text again, and ablations are bitwise counts over the ledger. DataFrame functions only; nothing is shuffled but the
+counts of masks.
 
 Defined results: a null text has no words, lines or symbols and fails the rules that ask for words. Rows are judged one
 by one, so null or repeated doc_ids change nothing. Ratios are compared without dividing, so an empty text is no error.
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, UPPER, blank_words
+from .common import BLANKS, UPPER, blank_words, written
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 3
@@ -49,7 +50,7 @@ def mask_of(names) -> int:
 
 
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, the measurements, failed (the mask of failing rules)."""
+    """doc_id, the measurements, failed (the mask of failing rules), written."""
     text = F.coalesce(F.col("_text"), F.lit(""))
     deleted = lambda chars: F.char_length(F.translate(text, chars, ""))
     measured = (
@@ -83,7 +84,7 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     )
     counted = at.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("long"))).drop("_at")
     failed = sum((F.when(fails, F.lit(1 << i)).otherwise(F.lit(0)) for i, fails in enumerate(rules().values())), F.lit(0))
-    return counted.withColumn("failed", failed.cast("long"))
+    return written(counted.withColumn("failed", failed.cast("long")), "ledger")
 
 
 def judged(led: DataFrame, policy: str = "v1") -> DataFrame:

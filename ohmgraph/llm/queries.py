@@ -36,11 +36,11 @@ FROM marked GROUP BY doc_id
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     led = quality_rules.ledger(table(spark, sf_dir, "documents"))
-    cols = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    cols = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "failed", "base_failed", "kept"]
     return quality_rules.judged(led, "v1").select("doc_id", *cols)
 
 
-OP10_SQL = r"""
+OP10_LEDGER = r"""
 WITH docs AS (
   SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
          list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
@@ -52,14 +52,29 @@ WITH docs AS (
 ), m AS (
   SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
          CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
-         length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS n_upper,
+         length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS n_upper, len(l) AS n_lines,
          CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words
   FROM docs LEFT JOIN covered USING (doc_id)
-), b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT (base_failed OR 100 * n_symbols > 30 * n_words OR word_chars > 25 * n_words OR word_chars < 2 * n_words
-            OR 100 * n_upper > 60 * word_chars) AS kept
-FROM b
+), f AS (
+  SELECT *, CAST(1 * CAST(n_words < 50 AS INT) + 2 * CAST(100 * n_repeat_words > 50 * n_words AS INT) + 4 * CAST(100 * n_symbols > 30 * n_words AS INT)
+    + 8 * CAST(100 * n_dup_lines > 60 * n_lines AS INT) + 16 * CAST(word_chars > 25 * n_words AS INT) + 32 * CAST(word_chars < 2 * n_words AS INT)
+    + 64 * CAST(100 * n_upper > 60 * word_chars AS INT) AS BIGINT) AS failed
+  FROM m
+)
+"""
+OP10_SQL = OP10_LEDGER + """
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed, failed & 3 > 0 AS base_failed, failed & 119 = 0 AS kept FROM f
+"""
+
+
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the widest policy rejects, and rejects alone."""
+    return quality_rules.ablation(quality_rules.ledger(table(spark, sf_dir, "documents")), "v2")
+
+
+ABLATION_SQL = OP10_LEDGER + """
+, r AS (SELECT * FROM (VALUES ('few_words', 1), ('repeated_windows', 2), ('symbols', 4), ('duplicate_lines', 8), ('long_words', 16), ('short_words', 32), ('shouting', 64)) x(rule, bit))
+SELECT rule, CAST(count(*) FILTER (WHERE failed & bit > 0) AS BIGINT) AS n_failed, CAST(count(*) FILTER (WHERE failed = bit) AS BIGINT) AS n_only FROM r, f GROUP BY rule
 """
 
 
@@ -162,5 +177,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_personal_data": op8_personal_data,
     "op9_url_filter": op9_url_filter,
     "op10_quality_rules": op10_quality_rules,
+    "quality_ablation": quality_ablation,
 }
-ORACLES: dict[str, str] = {"op4_mixing": OP4_SQL, "op5_line_dedup": OP5_SQL, "op9_url_filter": OP9_SQL, "op10_quality_rules": OP10_SQL}
+ORACLES: dict[str, str] = {"op4_mixing": OP4_SQL, "op5_line_dedup": OP5_SQL, "op9_url_filter": OP9_SQL, "op10_quality_rules": OP10_SQL, "quality_ablation": ABLATION_SQL}

@@ -57,8 +57,11 @@ def test_quality_rules(spark):
         base = len(w) < 50 or 100 * len(cover) > 50 * len(w)
         assert by[i].base_failed == base and (not base or not by[i].kept)
     assert by[len(ODD) + 2].kept
-    rules = {r.rule: r for r in quality_rules.ablation(quality_rules.ledger(docs(spark, texts))).collect()}
-    assert rules["few_words"].n_failed == sum(len((t or "").split()) < 50 for t in texts)
+    bits = list(quality_rules.rules())
+    for policy, names in quality_rules.POLICIES.items():
+        counts = {r.rule: (r.n_failed, r.n_only) for r in quality_rules.ablation(quality_rules.ledger(docs(spark, texts)), policy).collect()}
+        masks = [{n for n in names if r.failed >> bits.index(n) & 1} for r in led]
+        assert counts == {n: (sum(n in m for m in masks), sum(m == {n} for m in masks)) for n in names}
     assert quality_rules.ledger(docs(spark, [])).count() == 0
 
 
