@@ -11,7 +11,8 @@ every window of every text, in tasks that share nothing.
 
 Defined results: a null text is empty and has one empty window, whose score is that of a text without a hit. Without any
 label, or with labels of one kind, each score is the share of toxic labels (0 without labels). Labels that are null or
-neither 0 nor 1 are not used; of repeated labels of a document the larger one counts.
+neither 0 nor 1 are not used; of repeated labels of a document the larger one counts, of texts with one doc_id the
+smallest is learnt from. Rows are scored one by one.
 """
 
 from __future__ import annotations
@@ -219,7 +220,8 @@ def fit(docs: DataFrame, labels: DataFrame, limits: Limits = Limits(), id_col: s
     rows = (
         docs.select(F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_t"))
         .join(F.broadcast(chosen), "_id")
-        .dropDuplicates(["_id"])
+        .groupBy("_id", "_y")
+        .agg(F.min("_t").alias("_t"))  # of rows with one doc_id the smallest text
         .collect()  # at most limits.toxic + limits.ordinary rows
     )
     rows.sort(key=lambda r: r._id)
