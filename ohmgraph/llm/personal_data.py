@@ -1,10 +1,12 @@
 """Personal data: exact patterns, and a character-level bidirectional LSTM with CRF transitions for what they miss.
 
-The tagger is trained in numpy from labelled spans: windows of text with the spans in them. It reads every place of a
-text that holds a digit or an @, since each kind needs one, in overlapping windows. Spans decoded in a window count
-where that window sees them best; spans of all windows are then reconciled over the whole text: pattern spans stay, of
-overlapping others the surest stays. A span that lacks what its kind cannot do without (an @ and a dot, four numbers,
-check digits, ten digits or a bracketed area code) is no span.
+The tagger is trained in numpy from labelled spans: windows of the corpus with the spans that the patterns find there,
+and windows into which personal data are written in ways that no pattern knows (spelled-out addresses, numbers with
+signs in between, phones without a country), next to numbers that are none (dates, prices, versions, digests). It reads
+every place of a text that holds a digit, an @ or a spelled-out one, in overlapping windows. Spans decoded in a window
+count where that window sees them best; spans of all windows are then reconciled over the whole text: pattern spans stay,
+of overlapping others the surest stays. A span that lacks what its kind cannot do without (an @ and a dot, four numbers,
+check digits, ten digits with signs between them) is no span. Spans that the tagger adds have at most LENGTH characters.
 
 Texts are tagged where they lie, in batches; nothing is shuffled. Training takes a bounded sample of windows.
 
@@ -29,7 +31,9 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-TRIGGER = re.compile(r"[0-9@]")
+TRIGGER = re.compile(r"[0-9@]|[(\[][Aa][Tt][)\]]")
+#: Signs that stand for an @ or a dot in a spelled-out address.
+SPELLED_AT, SPELLED_DOT = re.compile(r"\s*[(\[](?:at|@)[)\]]\s*|\s+@\s+", re.I), re.compile(r"\s*[(\[](?:dot|\.)[)\]]\s*|\s+\.\s+", re.I)
 
 
 def luhn(digits: str) -> bool:
@@ -91,9 +95,11 @@ def in_order(spans: list[Span]) -> list[Span]:
 def plausible(kind: str, text: str) -> bool:
     n = digits_of(text)
     if kind == "email":
-        return "@" in text[1:] and "." in text.partition("@")[2].strip(".")
+        user, at, host = SPELLED_AT.sub("@", text).partition("@")
+        return bool(user and at) and "." in SPELLED_DOT.sub(".", host).strip(".")
     if kind == "ip":
-        return len(re.findall("[0-9]+", text)) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in re.findall("[0-9]+", text))
+        parts = re.findall("[0-9]+", text)
+        return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts) and text[:1].isdigit() and text[-1:].isdigit()
     if kind == "card":
         return 14 <= len(n) <= 19 and luhn(n)
     return 10 <= len(n) <= 15 and bool(re.search(r"[()\x20.-]", text)) and not dotted_number(text)
@@ -322,11 +328,12 @@ def single(tagger: Tagger) -> Tagger:
     return out
 
 
-def tagged(texts: list[str], tagger: Tagger | None, sure: float = 0.8) -> list[list[Span]]:
-    """All spans of each text."""
+def tagged(texts: list[str], tagger: Tagger | None, sure: float = 0.8) -> tuple[list[list[Span]], list[list[Span]]]:
+    """The patterns' spans of each text, and all spans."""
     base = [pattern_spans(t) for t in texts]
+    both = list(base)
     if tagger is None:
-        return base
+        return base, both
     starts = [windows_of(t) for t in texts]
     where = [(i, s) for i, own in enumerate(starts) for s in own]
     found: dict[int, list[tuple[float, Span]]] = {}
@@ -347,8 +354,8 @@ def tagged(texts: list[str], tagger: Tagger | None, sure: float = 0.8) -> list[l
         for _, span in sorted(more, key=lambda x: (-x[0], x[1][1], x[1][2])):
             if all(span[2] <= a or b <= span[1] for _, a, b in taken):
                 taken.append(span)
-        base[i] = in_order(taken)
-    return base
+        both[i] = in_order(taken)
+    return base, both
 
 
 # ---------------------------------------------------------------- Spark
@@ -387,26 +394,61 @@ def labelled_windows(docs: DataFrame, limit: int = EXAMPLES, id_col: str = "doc_
     return [(r.w, read_from(r.spans)) for half in halves for r in half]
 
 
-def varied(window: str, spans: list[Span], rng: np.random.Generator) -> tuple[str, list[Span]]:
-    """The window, at times with its phone numbers without their country code."""
-    out, at, made = "", 0, []
-    for kind, a, b in spans:
-        own = window[a:b]
-        if kind == "phone" and "(" in own and rng.random() < 0.5:
-            own = own[own.index("(") :]
-        out += window[at:a]
-        made.append((kind, len(out), len(out) + len(own)))
-        out += own
-        at = b
-    return out + window[at:], made
-
-
-def train_tagger(examples: list[tuple[str, list[Span]]], steps: int = 500) -> Tagger | None:
-    """A tagger from windows with their spans."""
+def with_check_digit(digits: str) -> str:
+    return next(digits + d for d in "0123456789" if luhn(digits + d))
+
+
+def unusual(kind: str, rng: np.random.Generator) -> str:
+    """Personal data of a kind, written as no pattern has it."""
+    pick = lambda *x: x[int(rng.integers(len(x)))]
+    number = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+    word = lambda lo, hi: "".join("abcdefghijklmnopqrstuvwxyz"[i] for i in rng.integers(0, 26, rng.integers(lo, hi)))
+    if kind == "email":
+        user, host, end = word(3, 9) + pick("", "", f".{word(2, 7)}", f"_{number(2)}", number(2)), word(3, 10) + pick("", f"-{word(2, 5)}", number(1)), pick("com", "org", "net", "de", "fr", "es", "edu")
+        at, dot = pick((" (at) ", " (dot) "), (" [at] ", " [dot] "), ("(at)", "(dot)"), ("[at]", "."), (" (at) ", "."), (" @ ", "."), (" @ ", " . "), (" (AT) ", " (DOT) "), ("[@]", "[.]"))
+        return f"{user}{at}{host}{dot}{end}"
+    if kind == "ip":
+        return pick("[.]", " . ", "(.)", "[dot]", " (dot) ").join(str(rng.integers(0, 256)) for _ in range(4))
+    if kind == "card":
+        n = with_check_digit(pick("4", "5", "37") + number(14))[:16]
+        n = with_check_digit(n[:15])
+        return pick(".", "_", "  ", " - ", "/").join(n[k : k + 4] for k in range(0, 16, 4))
+    a, b, c = number(3), number(3), number(4)
+    return pick(f"({a}) {b}-{c}", f"({a}) {b} {c}", f"{a}-{b}-{c}", f"001 {a} {b} {c}", f"00 1 {a} {b} {c}", f"({a}){b}-{c}", f"1-{a}-{b}-{c}")
+
+
+def harmless(rng: np.random.Generator) -> str:
+    """A number or a name with a sign in it that is no personal data."""
+    pick = lambda *x: x[int(rng.integers(len(x)))]
+    number = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+    return pick(
+        f"20{number(2)}-0{number(1)}-1{number(1)}", f"1{number(1)}:{number(2)}:{number(2)}", f"${number(1)},{number(3)}.{number(2)}", f"v{number(1)}.{number(1)}.{number(2)}", number(16),
+        rng.bytes(10).hex(), f"978-{number(1)}-{number(2)}-{number(6)}-{number(1)}", f"{number(2)}.{number(1)}.20{number(2)}", f"#{number(6)}", f"@{pick('home', 'work', 'night')}",
+        f"{number(3)} {number(3)} {number(3)}", f"{number(2)} (at least)", f"{number(4)}-{number(4)}", f"[{number(1)}] [{number(2)}]", f"{number(1)}.{number(2)} . {number(1)}",
+    )
+
+
+def planted(windows: list[str], n: int, rng: np.random.Generator) -> list[tuple[str, list[Span]]]:
+    """n windows of words from the given ones with personal data in between that no pattern finds, or with a harmless number."""
+    kinds, out = [*KINDS, "email", None], []  # spelled-out addresses have the most forms
+    words = [w for x in windows for w in x.split() if not TRIGGER.search(w)] or ["the"]
+    some = lambda k: " ".join(words[i] for i in rng.integers(0, len(words), k))
+    for i in range(n):
+        kind = kinds[i % len(kinds)]
+        own = unusual(kind, rng) if kind else harmless(rng)
+        left = some(int(rng.integers(0, 6)))
+        left = left[-max(0, LENGTH - len(own) - 6) :] + ("" if not left else " ") if len(own) < LENGTH - 6 else ""
+        end = rng.choice(["", ".", ",", "!", ")", "."])
+        text = f"{left}{own}{end} {some(12)}"[:LENGTH]
+        out.append((text, [(kind, len(left), len(left) + len(own))] if kind else []))
+    return out
+
+
+def train_tagger(examples: list[tuple[str, list[Span]]], steps: int = 1000) -> Tagger | None:
+    """A tagger from windows with their spans, and as many with planted ones."""
     if not any(spans for _, spans in examples):
         return None
-    rng = np.random.default_rng(11)
-    made = [varied(w, s, rng) for w, s in examples]
+    made = examples + planted([w for w, _ in examples], len(examples), np.random.default_rng(11))
     x = np.concatenate([padded(w[:LENGTH], [0]) for w, _ in made])
     y = np.stack([tags_of([s for s in spans if s[2] <= LENGTH], 0) for _, spans in made])
     tagger = Tagger()
@@ -423,7 +465,7 @@ def find(docs: DataFrame, tagger: Tagger | None, id_col: str = "doc_id", text_co
             for k in range(0, len(f), 1024):
                 part = f.iloc[k : k + 1024]
                 texts = [t or "" for t in part["t"]]
-                base, both = [pattern_spans(t) for t in texts], tagged(texts, tagger)
+                base, both = tagged(texts, tagger)
                 out = {"doc_id": part["doc_id"].astype("Int64").array}
                 out |= {n: [sum(s[0] == kind for s in b) for b in base] for n, kind in zip(names, KINDS, strict=True)}
                 yield pd.DataFrame(out | {"base": [written_as(b) for b in base], "spans": [written_as(b) for b in both]})

@@ -151,17 +151,43 @@ def test_sketches_estimate_similarity():
 
 
 def test_toxicity_on_held_out_labels(spark):
-    d = spark.read.parquet(f"{DATA}/check_s/documents.parquet").where("doc_id < 12000")
-    lab = spark.read.parquet(f"{DATA}/check_s/labels.parquet")
+    d, lab = (spark.read.parquet(f"{DATA}/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.fit(d, lab)
     held = d.join(lab, "doc_id").where(toxicity.fold(F.col("doc_id")) == 0)
     rows = toxicity.score(held.select("doc_id", "text", "toxic"), model).collect()
-    hit = [(r.score >= 0.5) == bool(r.toxic) for r in rows]
-    assert sum(hit) / len(hit) > 0.95 and all(0 <= r.score <= 1 for r in rows)
+    said, true = [r.score >= 0.5 for r in rows], [r.toxic == 1 for r in rows]
+    both = sum(a and b for a, b in zip(said, true, strict=True))
+    assert sum(a == b for a, b in zip(said, true, strict=True)) > 0.95 * len(rows)
+    assert both >= 0.75 * sum(true) and both >= 0.85 * sum(said) and all(0 <= r.score <= 1 for r in rows)
     odd = toxicity.score(docs(spark, ODD), model).collect()
     assert len(odd) == len(ODD) and all(0 <= r.score <= 1 for r in odd)
 
 
+def test_toxicity_measures_are_compression_lengths():
+    import zstandard
+
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice(["ka", "lo", "mi", "tu", "ne", "so"]) for _ in range(rng.randint(1, 4)))
+    texts = [" ".join(word() for _ in range(60)) + (" you vexgrum, " + word() + " vexgrum") * (i % 4 == 0) for i in range(120)]
+    model = toxicity.fit_texts(texts, [int(i % 4 == 0) for i in range(120)])
+    length = lambda w, d: len(zstandard.ZstdCompressor(level=toxicity.LEVEL, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_checksum=False, write_content_size=False, write_dict_id=False).compress(w))
+    for t in (*texts[:6], "", None):
+        ws = [toxicity.HEAD + w + toxicity.TAIL for w in toxicity.windows(t or "", model.window)]
+        gain = sorted((length(w, model.base) - length(w, model.toxic) for w in ws), reverse=True)
+        m = model.measures(t)
+        assert m[:3] == [gain[0], min(gain[0], 3), sum(gain[:3])] and m[4] == np.log1p(sum(g >= 2 for g in gain)) and m[8] == sum(g >= 2 for g in gain) / len(gain)
+
+
+def test_toxicity_of_repeated_rows(spark):
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice("abcdefgh") * 3 for _ in range(30)) + " vexgrum vexgrum" * (i % 2) for i in range(40)]
+    lab = spark.createDataFrame([(i // 2, i % 2) for i in range(40)] * 2, "doc_id long, toxic int")
+    rows = docs(spark, texts, ids=[i // 2 for i in range(40)])
+    fits = [toxicity.fit(d, lab) for d in (rows, rows.orderBy(F.desc("text")), rows.unionByName(rows))]
+    assert len({(m.base, m.toxic, m.prior) for m in fits}) == 1
+    assert toxicity.score(rows.unionByName(rows), fits[0]).count() == 80
+
+
 def test_toxicity_recalls_stems_in_every_language(spark):
     d, lab = (spark.read.parquet(f"{DATA}/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     held = d.join(lab, "doc_id").where(toxicity.fold(F.col("doc_id")) == 0)
@@ -246,11 +272,51 @@ def test_tagger_learns_and_keeps_base_spans(spark):
         base = plain_spans(t or "")
         assert rows[i].base == personal_data.written_as(base) and set(base) <= set(personal_data.read_from(rows[i].spans))
     assert rows[len(texts) - 1].spans == "" and rows[len(ODD)].n_phone == rows[len(ODD)].n_email == 1
-    x = np.concatenate([personal_data.padded(w, [0]) for w, _ in examples])
-    y = np.stack([personal_data.tags_of(s, 0) for _, s in examples])
-    assert (tagger.decode(x)[0] == y).mean() > 0.93
+    odd = personal_data.find(docs(spark, ["a@b.c"] * 2 + [None] * 2, ids=[1, 1, None, None]), tagger).collect()
+    assert sorted((r.doc_id or 0, r.n_email) for r in odd) == [(0, 0), (0, 0), (1, 1), (1, 1)]
     assert personal_data.train_tagger([]) is None
     assert personal_data.find(docs(spark, []), None).count() == 0
+    # held out: planted windows of another seed and other words
+    held = personal_data.planted(["Sentences of quite ordinary words stand around, and more follow here"], 600, np.random.default_rng(99))
+    for kind in personal_data.KINDS:
+        want = {(i, s) for i, (_, spans) in enumerate(held) for s in spans if s[0] == kind}
+        base, both = personal_data.tagged([w for w, _ in held], tagger)
+        added = {(i, s) for i, (b, m) in enumerate(zip(base, both, strict=True)) for s in m if s not in b and s[0] == kind}
+        assert len(want & added) >= 0.8 * len(want) and len(want & added) >= 0.9 * len(added), kind
+    # written by hand: what is marked by {} and nothing else
+    hits = misses = false = 0
+    for line in BY_HAND:
+        text, spans, at = "", set(), 0
+        for piece in re.split(r"([{}])", line):
+            if piece == "{":
+                at = len(text)
+            elif piece == "}":
+                spans.add((at, len(text)))
+            else:
+                text += piece
+        base, both = personal_data.tagged([text], tagger)
+        added = {(a, b) for k, a, b in set(both[0]) - set(base[0])}
+        hits, misses, false = hits + len(spans & added), misses + len(spans - added), false + len(added - spans)
+    assert hits >= 0.7 * (hits + misses) and false <= 0.1 * (hits + false) + 1, (hits, misses, false)
+
+
+BY_HAND = [
+    "Please write to {maria.lopez (at) northwind (dot) com} before Friday.",
+    "My address is {jsmith [at] example [dot] org}, not the old one.",
+    "Send it to {anna(at)garden-club(dot)net} today",
+    "Contact: {peter @ bakery.de} or come by at 10:30:00.",
+    "The server {192[.]168[.]14[.]3} was seen on 2024-03-17.",
+    "Blocked {10 . 44 . 7 . 201} after version 4.2.1 came out",
+    "From {8(.)8(.)4(.)4} it took 12 (at most 14) hops.",
+    "Card {4111.1111.1111.1111} was declined, order #883920.",
+    "I paid with {5500_0000_0000_0004} and got 1234567890123456 points",
+    "Call {(212) 555-0188} after six, room 402.",
+    "Ring {415-555-0132} or ask for Bob, price $1,299.00.",
+    "Telephone {(030) 901 8200} between 9 and 17.",
+    "Abroad dial {001 212 555 0199} please.",
+    "The year 2023-11-05 and the ISBN 978-3-16-148410-0 say nothing.",
+    "v2.10.3 of 4.0.1 costs $3,400.50 @home",
+]
 
 
 # ---------------------------------------------------------------- queries and pipeline
