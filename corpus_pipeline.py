@@ -1,6 +1,10 @@
 """A corpus from documents to packed training sequences, in five stages.
 
 Each stage works on all that the one before it kept; all but the last return the columns of documents.
+
+Defined results: a null text counts as empty and stays until packing, where it is one end id. Rows without a doc_id are
+documents of their own in every stage. Of rows equal in doc_id and text near-dedup keeps one; of rows that share only a
+doc_id all stay or none. An empty table gives an empty one. Columns beyond those of documents travel along.
 """
 
 from __future__ import annotations
@@ -9,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ohmgraph.llm import line_dedup, mixing, packing, similarity, toxicity
-from ohmgraph.llm.common import table, written
+from ohmgraph.llm.common import keep_only, made, table, written
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -52,6 +56,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    since = made()
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
+        keep_only(since, docs)  # what the stage and the one before it wrote goes
     return STAGES[-1][1](spark, docs, sf_dir)
