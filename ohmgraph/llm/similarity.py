@@ -103,13 +103,25 @@ def band_keys(sk: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return key.view(np.int64)
 
 
+def parts(frame: pd.DataFrame, text_col: str, most: int = 256, chars: int = 1 << 19) -> Iterator[pd.DataFrame]:
+    """A frame's rows, some at a time: at most so many, and no more characters unless one text has them."""
+    size = frame[text_col].str.len().fillna(0).to_numpy()
+    at = held = 0
+    for i, n in enumerate(size.tolist()):
+        if i > at and (i - at >= most or held + n > chars):
+            yield frame.iloc[at:i]
+            at, held = i, 0
+        held += n
+    if at < len(frame):
+        yield frame.iloc[at:]
+
+
 def described(docs: DataFrame, n: int, t: int, rows: int, id_col: str, text_col: str) -> DataFrame:
     """doc_id, n (shingles), s1 and s2 (128 bits of the set, 0 if empty), bands."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for k in range(0, len(frame), 256):
-                part = frame.iloc[k : k + 256]
+            for part in parts(frame, "text"):
                 sets = [shingles(x, n) for x in part["text"]]
                 size = np.array([len(s) for s in sets], np.int64)
                 some = np.flatnonzero(size)
@@ -129,12 +141,14 @@ def described(docs: DataFrame, n: int, t: int, rows: int, id_col: str, text_col:
 def full_sets(docs: DataFrame, n: int, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
     """c, set: the full sets of the wanted documents, computed only for those; a doc_id of several texts has several."""
 
-    @F.pandas_udf("array<long>")
-    def hashed(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingles(x, n).view(np.int64) for x in texts])
+    def hashed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for part in parts(frame, "_t"):
+                yield pd.DataFrame({"c": part["c"], "set": [shingles(x, n).view(np.int64) for x in part["_t"]]})
 
     slim = docs.select(F.col(id_col).cast("long").alias("c"), F.col(text_col).alias("_t")).join(wanted, "c", "left_semi")
-    return slim.distinct().select("c", hashed("_t").alias("set")).where(F.size("set") > 0)
+    once = slim.withColumns({"_h": F.xxhash64("_t"), "_g": F.xxhash64(F.lit(1), "_t")}).dropDuplicates(["c", "_h", "_g"])
+    return once.select("c", "_t").mapInPandas(hashed, "c long, set array<long>").where(F.size("set") > 0)
 
 
 def components(links: DataFrame) -> DataFrame:
