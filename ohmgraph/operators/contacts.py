@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -10,15 +10,21 @@ from ..functions.columns import aa3_to_aa1, conductance
 from ..storage import saved
 
 
-def residue_nodes(atoms: DataFrame, chain: str | None = None) -> DataFrame:
+def graph_key(pdb_id: str, chain: str) -> Column:
+    """Names the graph of one chain; a mutation without a chain means chain A."""
+    return F.concat_ws(":", F.col(pdb_id), F.coalesce(F.col(chain), F.lit("A")))
+
+
+def residue_nodes(atoms: DataFrame, chain: str | None = None, per_chain: bool = False) -> DataFrame:
     """One node for each residue of a structure's first model that has a CA atom, numbered in file order.
 
-    HETATM lines are no residues. Of alternate locations the fullest counts.
+    A graph is a whole structure, its one chain asked for, or (per_chain) each of its chains. HETATM lines are no
+    residues. Of alternate locations the fullest counts.
     """
     graph = ["graph_id"]
     ca = atoms.where("record = 'ATOM' AND atom = 'CA' AND x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL")
     ca = ca.where(F.col("chain") == chain) if chain else ca
-    ca = ca.withColumn("graph_id", F.concat_ws(":", "pdb_id", F.lit(chain)) if chain else F.col("pdb_id"))
+    ca = ca.withColumn("graph_id", graph_key("pdb_id", "chain") if chain or per_chain else F.col("pdb_id"))
     place = ["chain", "resseq", "icode"]
     first = ca.withColumn("_m", F.min("model").over(W.partitionBy(*graph))).where("model = _m")
     best = W.partitionBy(*graph, *place).orderBy(F.desc_nulls_last("occupancy"), "altloc", "line_no")
@@ -30,21 +36,22 @@ def residue_nodes(atoms: DataFrame, chain: str | None = None) -> DataFrame:
 def contact_edges(nodes: DataFrame, cutoff: float = 8.0, method: str = "exponential", tau: float = 5.0) -> DataFrame:
     """Pairs of nodes of a graph that are nearer than cutoff: graph_id, u < v, distance, weight.
 
-    A range join: nodes fall into cubes of the cutoff's size and only meet nodes of the cubes around theirs, so the work
-    grows with the contacts and not with the square of a graph. Pairs without a conductance (distance 0 under an inverse
+    A range join: nodes fall into cubes of the cutoff's size and only meet nodes of their own cube and of the half of the
+    cubes around it that come later, so the work grows with the contacts and each pair of cubes meets once. Pairs without a conductance (distance 0 under an inverse
     square) are no edges.
     """
     cube = [F.floor(F.col(c) / cutoff).alias(f"c{c}") for c in "xyz"]
     here = nodes.select("graph_id", F.col("node").alias("u"), *[F.col(c).alias(f"u{c}") for c in "xyz"], *cube)
-    step = F.array(*[F.struct(*[F.lit(i).alias(n) for i, n in zip((a, b, c), ("da", "db", "dc"), strict=True)]) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)])
+    step = F.array(*[F.struct(*[F.lit(i).alias(n) for i, n in zip((a, b, c), ("da", "db", "dc"), strict=True)]) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if (a, b, c) >= (0, 0, 0)])
     near = (
         nodes.select("graph_id", F.col("node").alias("v"), *[F.col(c).alias(f"v{c}") for c in "xyz"], *cube, F.inline(step))
         .withColumns({f"c{c}": F.col(f"c{c}") + F.col(d) for c, d in zip("xyz", ("da", "db", "dc"), strict=True)})
-        .drop("da", "db", "dc")
     )
     square = sum(((F.col(f"u{c}") - F.col(f"v{c}")) * (F.col(f"u{c}") - F.col(f"v{c}")) for c in "xyz"), F.lit(0.0))
-    met = here.join(near, ["graph_id", "cx", "cy", "cz"]).where((F.col("u") < F.col("v"))).withColumn("distance", F.sqrt(square))
-    edges = met.where(F.col("distance") < cutoff).select("graph_id", "u", "v", "distance", conductance(F.col("distance"), method, tau).alias("weight"))
+    own = (F.col("da") == 0) & (F.col("db") == 0) & (F.col("dc") == 0)
+    met = here.join(near, ["graph_id", "cx", "cy", "cz"]).where(~own | (F.col("u") < F.col("v"))).withColumn("distance", F.sqrt(square))
+    ends = [F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")]
+    edges = met.where(F.col("distance") < cutoff).select("graph_id", *ends, "distance", conductance(F.col("distance"), method, tau).alias("weight"))
     return edges.where("weight IS NOT NULL")
 
 

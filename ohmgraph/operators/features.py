@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -113,12 +115,27 @@ def rings_around(g: Graph, k: int, hops: int = 3) -> list[np.ndarray]:
     return out
 
 
-def all_features(g: Graph, connected: bool, active: np.ndarray, fiedler: np.ndarray, k: int, factor: float) -> list[float]:
-    """The features of a change by a factor at site k, in the order of FEATURES."""
+@dataclass
+class Site:
+    """What all changes at one site share."""
+
+    k: int
+    active: np.ndarray
+    sinks: np.ndarray
+    rings: list[np.ndarray]
+    wild: State
+
+
+def site_of(g: Graph, connected: bool, active: np.ndarray, fiedler: np.ndarray, k: int) -> Site:
     active = active[active != k]
     sinks = active if len(active) else np.delete(np.arange(g.n), k)
     rings = rings_around(g, k)
-    w = State(g, k, sinks, active, rings, connected, fiedler)
+    return Site(k, active, sinks, rings, State(g, k, sinks, active, rings, connected, fiedler))
+
+
+def all_features(g: Graph, connected: bool, site: Site, factor: float) -> list[float]:
+    """The features of a change by a factor at a site, in the order of FEATURES."""
+    k, active, sinks, rings, w = site.k, site.active, site.sinks, site.rings, site.wild
     m = State(g.changed(k, factor), k, sinks, active, rings, connected, w.fiedler_vector)
     dr, n = m.r - w.r, g.n
     d = lambda name: getattr(m, name) - getattr(w, name)
@@ -164,7 +181,7 @@ def mutation_features(sites: DataFrame, wt: DataFrame, chunk: int = 64, by: str
     asked = sites.where("node IS NOT NULL AND factor IS NOT NULL").select(id_col, by, "node", "factor")
     changes = asked.select(by, "node", "factor").distinct()
     parts = changes.groupBy(by).agg(F.ceil(F.count("*") / chunk).cast("int").alias("_parts"))
-    dealt = changes.join(parts, by).withColumn("_part", F.pmod(F.xxhash64("node", "factor"), F.col("_parts")).cast("int")).drop("_parts")
+    dealt = changes.join(parts, by).withColumn("_part", F.pmod(F.xxhash64("node"), F.col("_parts")).cast("int")).drop("_parts")
     graphs = wt.select(by, "nodes", "u", "v", "w", "eigs", "fiedler", "lp", "components", "active").join(parts, by)
     copies = graphs.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
     names = [by, "node", "factor", *FEATURES]
@@ -177,14 +194,15 @@ def mutation_features(sites: DataFrame, wt: DataFrame, chunk: int = 64, by: str
         n = len(nodes)
         g = Graph(n, np.asarray(row["u"]), np.asarray(row["v"]), np.asarray(row["w"], float))
         g._lp = np.frombuffer(row["lp"]).reshape(n, n)
-        g._spectrum = (np.asarray(row["eigs"], float), np.zeros((n, 0)))
-        wild = np.asarray(row["fiedler"], float)
-        g.fiedler = lambda like=None: wild  # the stored vector: the same in every group
+        g._spectrum = (np.asarray(row["eigs"], float), None)
+        g._fiedler = wild = np.asarray(row["fiedler"], float)  # the stored vector: the same in every group
+        connected, active = row["components"] == 1, np.asarray(row["active"], int)
         rows = []
-        for node, factor in zip(some["node"], some["factor"], strict=True):
+        for node, own in some.groupby("node"):
             k = int(np.searchsorted(nodes, node))
             if k < n and nodes[k] == node:
-                rows.append([key[0], node, factor, *all_features(g, row["components"] == 1, np.asarray(row["active"]), wild, k, factor)])
+                site = site_of(g, connected, active, wild, k)
+                rows += [[key[0], node, f, *all_features(g, connected, site, f)] for f in own["factor"]]
         return pd.DataFrame(rows, columns=names)
 
     schema = f"{by} {dict(sites.dtypes)[by]}, node int, factor double, " + ", ".join(f"{f} double" for f in FEATURES)
@@ -193,10 +211,24 @@ def mutation_features(sites: DataFrame, wt: DataFrame, chunk: int = 64, by: str
     return asked.join(made, [by, "node", "factor"]).select(id_col, by, *FEATURES)
 
 
+def with_active_sites(wt: DataFrame, sites: DataFrame, by: str = "graph_id") -> DataFrame:
+    """wt_properties with the active sites (by, node) that are given for some graphs."""
+    given = sites.groupBy(by).agg(F.sort_array(F.collect_set("node")).alias("_given"))
+    place = F.transform("_given", lambda n: (F.array_position("nodes", n) - 1).cast("int"))
+    known = F.filter(place, lambda p: p >= 0)
+    return wt.join(given, by, "left").withColumn("active", F.when(F.size(known) > 0, known).otherwise(F.col("active"))).drop("_given")
+
+
 def derived_features(df: DataFrame) -> DataFrame:
-    """The products of features, and fold changes from wild values and their changes, as column expressions."""
-    log2 = lambda name: F.log2(F.greatest(F.col(f"{name}_wt") + F.col(f"delta_{name}"), F.lit(EPS)) / F.greatest(F.col(f"{name}_wt"), F.lit(EPS)))
+    """The products of features and their five fold changes, from wild values, their changes, n (the graph's nodes) and factor.
+
+    The mean resistance to the active sites is that of all sinks, so its fold change holds where there is an active site.
+    """
     c = F.col
+    log2 = lambda new, old: F.log2(F.greatest(new, F.lit(EPS)) / F.greatest(old, F.lit(EPS)))
+    changed = lambda old, change: log2(old + c(change), old)
+    kf = c("effective_graph_resistance_wt") * c("n") * (c("n") - 1) / 2
+    mean = (c("n") - 1) / (c("n") * c("resistance_centrality_wt"))
     return df.withColumns(
         {
             "conductance_R_active_product": c("conductance_degree_wt") * c("R_active_site_wt"),
@@ -204,7 +236,11 @@ def derived_features(df: DataFrame) -> DataFrame:
             "current_R_product_wt": c("max_edge_current_wt") * c("R_active_site_wt"),
             "voltage_conductance_product_wt": c("voltage_wt") * c("conductance_degree_wt"),
             "power_deltaR_product": c("power_local_fraction_wt") * c("delta_R_active_site"),
-            "voltage_fold_change": log2("voltage"),
+            "R_active_fold_change": changed(c("R_active_site_wt"), "delta_R_active_site"),
+            "kirchhoff_fold_change": changed(kf, "delta_kirchhoff"),
+            "conductance_degree_fold_change": log2(c("conductance_degree_wt") * c("factor"), c("conductance_degree_wt")),
+            "R_global_fold_change": changed(mean, "delta_R_global_mean"),
+            "voltage_fold_change": log2(F.abs(c("voltage_wt") + c("delta_voltage")), F.abs(c("voltage_wt"))),
         }
     )
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import saved
 from .contacts import both_ways
 
 TINY = 1e-15
@@ -56,13 +59,20 @@ def herfindahl(df: DataFrame, col: str, by: list[str], out: str = "herfindahl")
 
 
 def hop_shells(edges: DataFrame, seeds: DataFrame, hops: int = 3, by: str = "graph_id") -> DataFrame:
-    """(by, site, hop, node): the nodes whose shortest way from a site has hop edges. Each hop is one join of the last ring."""
-    arcs = both_ways(edges, by, ())
-    seen = seeds.select(by, F.col("node").alias("site"), "node").distinct().withColumn("hop", F.lit(0))
+    """(by, site, hop, node): the nodes whose shortest way from a site has hop edges.
+
+    Each hop is one join of the last ring, which is saved. A ring's neighbours lie in the ring before it, in itself or in
+    the next one, so two rings tell which are new.
+    """
+    arcs = saved(both_ways(edges, by, ()), "arcs")
+    last = saved(seeds.select(by, F.col("node").alias("site"), "node").distinct(), "ring")
+    seen, out = last, []
     for hop in range(1, hops + 1):
-        ring = seen.where(F.col("hop") == hop - 1).drop("hop").join(arcs, [by, "node"]).select(by, "site", F.col("other").alias("node")).distinct()
-        seen = seen.unionByName(ring.join(seen, [by, "site", "node"], "left_anti").withColumn("hop", F.lit(hop)))
-    return seen.where("hop > 0")
+        near = last.join(arcs, [by, "node"]).select(by, "site", F.col("other").alias("node")).distinct()
+        ring = saved(near.join(seen, [by, "site", "node"], "left_anti"), "ring")
+        out.append(ring.withColumn("hop", F.lit(hop)))
+        last, seen = ring, ring.unionByName(last)
+    return reduce(DataFrame.unionByName, out)
 
 
 def shell_mean_resistance(shells: DataFrame, resistances: DataFrame, by: str = "graph_id") -> DataFrame:

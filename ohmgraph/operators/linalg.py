@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -24,6 +26,7 @@ class Graph:
     w: np.ndarray
     _spectrum: tuple[np.ndarray, np.ndarray] | None = None
     _lp: np.ndarray | None = None
+    _fiedler: np.ndarray | None = None
 
     def laplacian(self) -> np.ndarray:
         a = np.zeros((self.n, self.n))
@@ -56,7 +59,7 @@ class Graph:
         """The second eigenvector. Its largest entry (the first such) is positive; or it points the way of another vector."""
         if self.n < 2:
             return np.zeros(self.n)
-        x = self.spectrum()[1][:, 1]
+        x = self._fiedler if self._fiedler is not None else self.spectrum()[1][:, 1]
         if like is not None:
             return -x if x @ like < 0 else x
         top = np.flatnonzero(np.abs(x) >= np.abs(x).max() - 1e-12)[0]
@@ -96,30 +99,34 @@ class Graph:
         return float(((flow @ (2 * np.arange(n) - n + 1)).sum() - (n - 1)) / ((n - 1) * (n - 2)))
 
     def path_betweenness(self) -> np.ndarray:
-        """Shortest-path betweenness with the weights as lengths."""
-        n, total = self.n, np.zeros(self.n)
-        length = np.full((n, n), np.inf)
-        length[self.u, self.v] = length[self.v, self.u] = self.w
-        for s in range(n):
-            dist, paths, done, order = np.full(n, np.inf), np.zeros(n), np.zeros(n, bool), []
-            before = np.zeros((n, n), bool)
+        """Shortest-path betweenness with the weights as lengths, by a heap over lists of neighbours."""
+        total, near = np.zeros(self.n), [[] for _ in range(self.n)]
+        for u, v, w in zip(self.u.tolist(), self.v.tolist(), self.w.tolist(), strict=True):
+            near[u].append((v, w))
+            near[v].append((u, w))
+        for s in range(self.n):
+            dist, paths, before = [math.inf] * self.n, [0.0] * self.n, [[] for _ in range(self.n)]
+            done, order, heap = [False] * self.n, [], [(0.0, s)]
             dist[s], paths[s] = 0.0, 1.0
-            while True:
-                at = int(np.where(done, np.inf, dist).argmin())
-                if done[at] or not np.isfinite(dist[at]):
-                    break
+            while heap:
+                d, at = heapq.heappop(heap)
+                if done[at]:
+                    continue
                 done[at] = True
                 order.append(at)
-                way = dist[at] + length[at]
-                shorter, equal = ~done & (way < dist), ~done & (way == dist) & np.isfinite(way)
-                before[shorter] = False
-                before[shorter | equal, at] = True
-                paths[shorter] = 0.0
-                paths[shorter | equal] += paths[at]
-                dist[shorter] = way[shorter]
-            depend = np.zeros(n)
+                for to, w in near[at]:
+                    way = d + w
+                    if way < dist[to]:
+                        dist[to], paths[to], before[to] = way, paths[at], [at]
+                        heapq.heappush(heap, (way, to))
+                    elif way == dist[to] and not done[to]:
+                        paths[to] += paths[at]
+                        before[to].append(at)
+            depend = [0.0] * self.n
             for x in reversed(order[1:]):
-                depend += np.where(before[x], paths / paths[x] * (1 + depend[x]), 0.0)
+                share = (1 + depend[x]) / paths[x]
+                for y in before[x]:
+                    depend[y] += paths[y] * share
                 total[x] += depend[x]
         return total
 
@@ -129,8 +136,23 @@ class Graph:
         return np.lexsort((np.arange(self.n), -b))[:k]
 
     def changed(self, k: int, factor: float) -> Graph:
+        """The graph after a change at k. Where that keeps its components, only eigenvalues are solved for anew: the
+        pseudoinverse comes from this one's, and the second vector by inverse iteration from this one's if it is alone."""
         at = (self.u == k) | (self.v == k)
-        return Graph(self.n, self.u, self.v, np.where(at, self.w * factor, self.w))
+        new = Graph(self.n, self.u, self.v, np.where(at, self.w * factor, self.w))
+        if factor > 0 and self._fiedler is not None and self.n > 3:
+            matrix = new.laplacian()
+            eigs = np.linalg.eigvalsh(matrix)
+            top = max(eigs[-1], 0.0)
+            alone = eigs[1] > 1e-6 * top and eigs[2] - eigs[1] > 1e-4 * top
+            if alone:
+                new._lp = self.changed_inverse(k, factor)
+                shifted, x = matrix - (eigs[1] - 1e-9 * top) * np.eye(self.n), self._fiedler
+                for _ in range(3):
+                    x = np.linalg.solve(shifted, x)
+                    x /= np.linalg.norm(x)
+                new._spectrum, new._fiedler = (eigs, None), x
+        return new
 
     def changed_inverse(self, k: int, factor: float) -> np.ndarray:
         """The pseudoinverse after a change at k, by a low-rank update as wide as k has neighbours."""
@@ -222,6 +244,16 @@ def node_voltages(nodes: DataFrame, edges: DataFrame, source: int, sinks: list[i
     return per_graph(nodes, edges, make, "node int, voltage double", by)
 
 
+def terminal_voltages(nodes: DataFrame, edges: DataFrame, terminals: DataFrame, by: str = "graph_id") -> DataFrame:
+    """(by, run, node, voltage) for terminals (by, run, node, current): currents that flow in (positive) and out, and sum to 0 in a run.
+
+    A graph may have many runs, each with its own sources and sinks; the pseudoinverse is computed once.
+    """
+    entries = pinv_entries(nodes, edges, by)
+    met = terminals.select(by, "run", F.col("node").alias("i"), "current").join(entries, [by, "i"])
+    return met.groupBy(by, "run", F.col("j").alias("node")).agg(F.sum(F.col("current") * F.col("value")).alias("voltage"))
+
+
 def current_flow_betweenness(nodes: DataFrame, edges: DataFrame, by: str = "graph_id") -> DataFrame:
     def make(g: Graph, i: np.ndarray) -> dict:
         connected = g.null_modes() == 1

@@ -71,15 +71,41 @@ def test_path_betweenness_counts_pairs():
     assert path(6).most_between(3).tolist() == [2, 3, 1]
 
 
+def test_betweenness_equals_counting_shortest_paths():
+    g = random_graph(12, 4)
+    g.w = np.random.default_rng(1).integers(1, 4, len(g.u)).astype(float)  # with ties
+    near = np.full((12, 12), np.inf)
+    near[g.u, g.v] = near[g.v, g.u] = g.w
+    dist = near.copy()
+    np.fill_diagonal(dist, 0)
+    for k in range(12):
+        dist = np.minimum(dist, dist[:, [k]] + dist[[k]])
+    ways = lambda s, t: 1 if s == t else sum(ways(s, v) for v in range(12) if np.isfinite(near[v, t]) and dist[s, v] + near[v, t] == dist[s, t])
+    count = np.array([[ways(s, t) for t in range(12)] for s in range(12)])
+    want = [sum(count[s, k] * count[k, t] / count[s, t] for s in range(12) for t in range(12) if len({s, t, k}) == 3 and dist[s, k] + dist[k, t] == dist[s, t]) for k in range(12)]
+    assert np.allclose(g.path_betweenness(), want)
+
+
+def test_changed_graphs_agree_with_full_solutions():
+    for seed in range(4):
+        g = random_graph(25, seed)
+        wild = g.fiedler()
+        g._fiedler = wild
+        for k, factor in ((0, 0.3), (7, 2.5), (24, 1.001)):
+            fast, full = g.changed(k, factor), Graph(g.n, g.u, g.v, g.changed(k, factor).w)
+            assert np.allclose(fast.lp, full.lp, atol=1e-10) and np.allclose(fast.eigs, full.eigs, atol=1e-10)
+            assert np.allclose(fast.fiedler(wild), full.fiedler(wild), atol=1e-7)
+
+
 def test_identity_change_changes_nothing():
     g = random_graph()
-    out = dict(zip(FEATURES, f.all_features(g, True, g.most_between(), g.fiedler(), 5, 1.0), strict=True))
+    out = dict(zip(FEATURES, f.all_features(g, True, f.site_of(g, True, g.most_between(), g.fiedler(), 5), 1.0), strict=True))
     assert all(abs(v) < 1e-8 for k, v in out.items() if k.startswith("delta_") or k.endswith("fold_change"))
 
 
 def test_features_of_a_change():
     g = path()
-    out = dict(zip(FEATURES, f.all_features(g, True, np.array([0, 4]), g.fiedler(), 2, 1.7), strict=True))
+    out = dict(zip(FEATURES, f.all_features(g, True, f.site_of(g, True, np.array([0, 4]), g.fiedler(), 2), 1.7), strict=True))
     assert out["conductance_degree_wt"] == 2 and out["conductance_degree_fold_change"] == pytest.approx(math.log2(1.7))
     assert out["delta_R_max"] >= abs(out["delta_R_global_mean"]) and all(map(math.isfinite, out.values()))
     assert sum(map(len, FEATURE_GROUPS.values())) == len(set(FEATURES)) == 83
