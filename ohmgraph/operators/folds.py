@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..storage import saved
 from .sampling import shuffle_key
 
 ID = "mutation_id"
@@ -26,14 +28,49 @@ def ranked(df: DataFrame, by: list[str], bucket: Column, order: list[str], out:
     return kept.withColumn(out, inside).join(offsets, keys).withColumn(out, (F.col(out) + F.col("_before")).cast("long")).drop("_b", "_before")
 
 
-def shuffled_rank(df: DataFrame, by: list[str], seed: int, id_col: str, digits: int = 2) -> DataFrame:
+def shuffled_rank(df: DataFrame, by: list[str], seed: int, id_col: str, digits: int = 3) -> DataFrame:
     return ranked(df.withColumn("_k", shuffle_key(id_col, seed)), by, F.substring("_k", 1, digits), ["_k", id_col], "_rank").drop("_k")
 
 
+def counted_values(df: DataFrame, col: str, by: list[str], size: int = 50_000) -> DataFrame:
+    """(by, value, _n, _before): each distinct value of a group, how many rows have it and how many have a smaller one.
+
+    Rows are counted by value before anything is ranked, so equal values cost one row; ranges of some `size` values are
+    ranked within and offset by the counts before.
+    """
+    values = saved(df.groupBy(*by, F.col(col).alias("value")).agg(F.count("*").alias("_n")), "values")
+    ranges = math.ceil(values.count() / size)
+    cuts = sorted(set(values.approxQuantile("value", [i / ranges for i in range(1, ranges)], 0.2 / ranges))) if ranges > 1 else []
+    cut = F.array_size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("value"))) if cuts else F.lit(0)
+    kept = values.withColumn("_b", F.coalesce(cut, F.lit(-1)))
+    sums = kept.groupBy(*by, "_b").agg(F.sum("_n").alias("_all"))
+    earlier = W.partitionBy(*by).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sums.withColumn("_offset", F.coalesce(F.sum("_all").over(earlier), F.lit(0))).drop("_all")
+    inside = W.partitionBy(*by, "_b").orderBy("value").rowsBetween(W.unboundedPreceding, W.currentRow)
+    ranked = kept.withColumn("_in", F.sum("_n").over(inside) - F.col("_n"))
+    same = [F.col(c).eqNullSafe(F.col(f"_o{c}")) for c in [*by, "_b"]]
+    out = ranked.join(offsets.select(*[F.col(c).alias(f"_o{c}") for c in [*by, "_b"]], "_offset"), same)
+    return out.select(*by, "value", "_n", (F.col("_in") + F.col("_offset")).cast("long").alias("_before"))
+
+
+def percentiles(df: DataFrame, col: str, at: list[float]) -> list[float]:
+    """Exact percentiles, interpolated linearly; only the values around them come to the driver."""
+    values = saved(counted_values(df.where(F.col(col).isNotNull()), col, []), "ranks")
+    n = values.agg(F.sum("_n")).first()[0] or 0
+    if not n:
+        return []
+    spots = [q * (n - 1) for q in at]
+    wanted = sorted({f(x) for x in spots for f in (math.floor, math.ceil)})
+    here = F.exists(F.array(*[F.lit(x) for x in wanted]), lambda x: (x >= F.col("_before")) & (x < F.col("_before") + F.col("_n")))
+    rows = values.where(here).collect()
+    value = {x: float(next(r.value for r in rows if r._before <= x < r._before + r._n)) for x in wanted}
+    return [value[math.floor(x)] + (value[math.ceil(x)] - value[math.floor(x)]) * (x - math.floor(x)) for x in spots]
+
+
 def quantile_strata(df: DataFrame, col: str, n_bins: int = 5, out: str = "stratum", exact: bool = True) -> DataFrame:
     """Bin of a value among linearly interpolated percentiles; bins may stay empty where percentiles are equal."""
     at = [i / n_bins for i in range(1, n_bins)]
-    edges = df.agg((F.percentile(col, at) if exact else F.percentile_approx(col, at)).alias("e")).first().e or []
+    edges = percentiles(df, col, at) if exact else df.agg(F.percentile_approx(col, at).alias("e")).first().e or []
     return df.withColumn(out, sum((F.when(F.col(col) >= e, 1).otherwise(0) for e in edges), F.lit(0)))
 
 
@@ -116,7 +153,7 @@ def spectral_folds(df: DataFrame, k: int = 5, seed: int = 42, id_col: str = ID,
     sums = df.agg(F.count("*").alias("n"), *[f(c).alias(f"{p}{c}") for c in have for f, p in ((F.avg, "m_"), (F.stddev_pop, "s_"))]).first()
     z = {c: (F.col(c) - (sums[f"m_{c}"] or 0.0)) / (sums[f"s_{c}"] if (sums[f"s_{c}"] or 0.0) > 1e-12 else 1.0) for c in have}
     x = VectorAssembler(inputCols=[f"_z{c}" for c in have], outputCol="_x").transform(df.select(id_col, *[v.alias(f"_z{c}") for c, v in z.items()])).select(id_col, "_x")
-    x = x.persist()
+    x = saved(x, "spectral")
     runs = [KMeans(k=max(2, min(k, sums["n"])), seed=seed + i, featuresCol="_x", predictionCol="_c").fit(x) for i in range(restarts)]
     best = min(runs, key=lambda m: m.summary.trainingCost)
     return stratified_folds(best.transform(x).select(id_col, F.col("_c").alias("stratum")), "stratum", k, seed, id_col)

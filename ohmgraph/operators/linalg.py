@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 NULL_MODE = 1e-10  # eigenvalues at most this share of the largest are null modes
 TINY = 1e-15
+#: Pairs of a graph that one task answers.
+PAIRS = 100_000
 
 
 @dataclass
@@ -202,12 +204,22 @@ def effective_resistance(nodes: DataFrame, edges: DataFrame, pairs: DataFrame |
     if pairs is None:
         make = lambda g, i: {"i": np.repeat(i, g.n), "j": np.tile(i, g.n), "r": g.resistances().ravel()}
         return per_graph(nodes, edges, make, "i int, j int, r double", by)
-    rows = laplacian_pinv(nodes, edges, by)
-    spots = nodes.select(by, "node").groupBy(by).agg(F.sort_array(F.collect_list("node")).alias("_nodes"))
-    end = lambda c: rows.join(spots, by).select(by, F.col("i").alias(c), F.col("lp").alias(f"_{c}"), F.col("_nodes").alias(f"_n{c}"))
-    at = lambda row, names, node: F.get(F.col(row), (F.array_position(names, F.col(node)) - 1).cast("int"))
-    met = pairs.join(end("i"), [by, "i"]).join(end("j").drop("_nj"), [by, "j"])
-    return met.select(by, "i", "j", (at("_i", "_ni", "i") + at("_j", "_ni", "j") - 2 * at("_i", "_ni", "j")).alias("r"))
+    graphs = per_graph(nodes, edges, lambda g, i: {"nodes": [i], "lp": [g.lp.tobytes()]}, "nodes array<int>, lp binary", by)
+    parts = pairs.groupBy(by).agg(F.ceil(F.count("*") / PAIRS).alias("_parts"))
+    asked = pairs.select(by, "i", "j").join(parts, by).withColumn("_part", F.pmod(F.xxhash64("i", "j"), F.col("_parts"))).drop("_parts")
+    copies = graphs.join(parts, by).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))).drop("_parts")
+
+    def look_up(key: tuple, some: pd.DataFrame, graph: pd.DataFrame) -> pd.DataFrame:
+        if not len(some) or not len(graph):
+            return pd.DataFrame(columns=[by, "i", "j", "r"])
+        names = np.asarray(graph.iloc[0]["nodes"])
+        lp = np.frombuffer(graph.iloc[0]["lp"]).reshape(len(names), -1)
+        known = some[some["i"].isin(names) & some["j"].isin(names)]
+        i, j = (np.searchsorted(names, known[c]) for c in "ij")
+        return pd.DataFrame({by: key[0], "i": known["i"], "j": known["j"], "r": lp[i, i] + lp[j, j] - 2 * lp[i, j]})
+
+    own = lambda df: df.select(*[F.col(c).alias(c) for c in df.columns]).groupBy(by, "_part")
+    return own(asked).cogroup(own(copies)).applyInPandas(look_up, f"{by} {dict(nodes.dtypes)[by]}, i int, j int, r double")
 
 
 def edge_resistance(nodes: DataFrame, edges: DataFrame, by: str = "graph_id") -> DataFrame:

@@ -196,18 +196,12 @@ def predictions(df: DataFrame, cols: list[str], label: str = "ddG", model: str =
 # ---------------------------------------------------------------- evaluation
 
 
-def average_rank(df: DataFrame, col: str, by: list[str], out: str, ranges: int = 64) -> DataFrame:
-    """Adds out: the mean rank of equal values in a group. Ranks are taken in ranges of values and offset by the counts before."""
-    cuts = sorted(set(df.approxQuantile(col, [i / ranges for i in range(1, ranges)], 0.01))) or [0.0]
-    bucket = F.array_size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(col)))
-    kept = df.withColumn("_b", bucket)
-    counts = kept.groupBy(*by, "_b").agg(F.count("*").alias("_n"))
-    before = W.partitionBy(*by).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    same = F.count("*").over(W.partitionBy(*by, "_b", col))
-    inside = F.rank().over(W.partitionBy(*by, "_b").orderBy(col))
-    ranked = kept.withColumn("_r", inside).withColumn("_t", same).join(F.broadcast(offsets) if not by else offsets, [*by, "_b"])
-    return ranked.withColumn(out, F.col("_before") + F.col("_r") + (F.col("_t") - 1) / 2).drop("_b", "_r", "_t", "_before")
+def average_rank(df: DataFrame, col: str, by: list[str], out: str) -> DataFrame:
+    """Adds out: the mean rank of equal values in a group."""
+    ranks = cv.counted_values(df, col, by).withColumn(out, F.col("_before") + (F.col("_n") + 1) / 2)
+    same = [F.col(c).eqNullSafe(F.col(f"_o{c}")) for c in by] + [F.col(col).eqNullSafe(F.col("_ovalue"))]
+    named = ranks.select(*[F.col(c).alias(f"_o{c}") for c in [*by, "value"]], out)
+    return df.join(named, same).drop(*[f"_o{c}" for c in [*by, "value"]])
 
 
 def spearman(df: DataFrame, a: str, b: str, by: list[str] | None = None) -> DataFrame:
@@ -283,6 +277,15 @@ def evaluate_on_splits(x: DataFrame, folds: DataFrame, cols: list[str], model: s
     return with_p_values(evaluate(named, ["model_type", "cv_strategy"], len(cols)))
 
 
+def with_importances(metrics: DataFrame, x: DataFrame, cols: list[str], model: str, label: str = "ddG", settings: dict | None = None) -> DataFrame:
+    """The metrics with feature_importances, a map of a fit on all rows; null for stacking, which has none."""
+    if model == "stacking":
+        return metrics.withColumn("feature_importances", F.lit(None).cast("map<string,double>"))
+    rows = feature_importances(x, cols, model, label, settings).collect()  # a row a feature
+    pairs = [y for r in rows for y in (F.lit(r.feature), F.lit(r.importance))]
+    return metrics.withColumn("feature_importances", F.create_map(*pairs))
+
+
 def train_and_evaluate(x: DataFrame, cols: list[str], model: str = "ridge", how: str = "kfold", group: str | None = None, k: int = 5, label: str = "ddG", settings: dict | None = None, id_col: str = ID) -> DataFrame:
     """A model on kfold, repeated, group or logo folds. With few rows there are fewer folds; under LEAST rows no result."""
     n = x.count()
@@ -348,7 +351,11 @@ def nested_cv(x: DataFrame, cols: list[str], model: str = "ridge", grid: dict[st
         train, test = outer.where(F.col("fold") != f).drop("fold"), outer.where(F.col("fold") == f).drop("fold")
         within = saved(train.join(cv.kfold(train, inner, True, 42, id_col), id_col), "inner")
         tried = combinations(grid or GRIDS.get(model, {}))
-        r2 = [evaluate(predictions(within, cols, label, model, s, "fold", id_col).withColumn("m", F.lit(0)), ["m"]).first()["cv_r2_mean"] for s in tried]
+        if model == "ridge":  # every penalty is arithmetic on the same sums
+            grams, every = gram_matrices(gram_by_fold(within, cols, label), len(cols) + 2), list(range(len(cols)))
+            r2 = [_fold_r2(grams, s.get("alpha", 1.0), every) for s in tried]
+        else:
+            r2 = [evaluate(predictions(within, cols, label, model, s, "fold", id_col).withColumn("m", F.lit(0)), ["m"]).first()["cv_r2_mean"] for s in tried]
         best = tried[int(np.argmax([-np.inf if v is None else v for v in r2]))]
         parts.append(fit_predict(train, test, cols, label, model, best, id_col).withColumn("fold", F.lit(f)))
     named = together(parts).withColumn("model_type", F.lit(model)).withColumn("cv_strategy", F.lit("nested"))

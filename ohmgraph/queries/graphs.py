@@ -104,7 +104,7 @@ def path(spark, sf_dir):
     return n, path_edges(n)
 
 
-def r3_r5_all_sites(spark, sf_dir):
+def r3_r5_currents_and_power(spark, sf_dir):
     """From the first event of a path to its sink, event 5: one unit flows on each edge between."""
     n, e = path(spark, sf_dir)
     volts = linalg.node_voltages(n, e, 0, [5])
@@ -113,13 +113,8 @@ def r3_r5_all_sites(spark, sf_dir):
     return rounded(at.select("graph_id", "u", "v", "node", "current", "power"), "current", "power")
 
 
-def r3_r5_currents_and_power(spark, sf_dir):
-    """The slice of r3_r5_all_sites that the SQL holds."""
-    return r3_r5_all_sites(spark, sf_dir).where("node < 8")
-
-
 R3_SQL = f"""WITH p AS ({PATH_SQL}), big AS (SELECT graph_id FROM p GROUP BY 1 HAVING max(node) >= 5), e AS (SELECT graph_id, node - 1 AS u, node AS v, step FROM p WHERE node > 0),
-s AS (SELECT DISTINCT graph_id, u AS node FROM e WHERE u < 8)
+s AS (SELECT DISTINCT graph_id, u AS node FROM e)
 SELECT e.graph_id, u, v, s.node, CASE WHEN v <= 5 THEN 1.0::DOUBLE ELSE 0.0 END AS current, CASE WHEN v <= 5 THEN round(step, 6) ELSE 0.0 END AS power
 FROM e JOIN big USING (graph_id) JOIN s ON s.graph_id = e.graph_id AND (s.node = u OR s.node = v)"""
 
@@ -133,37 +128,28 @@ R6_SQL = """WITH p AS (SELECT l_suppkey, CAST(l_extendedprice AS DOUBLE) / sum(C
 SELECT l_suppkey, round(-sum(p * ln(p)), 6) AS entropy, round(sum(p * p), 6) AS herfindahl FROM p GROUP BY 1"""
 
 
-def r8_all_hop_shells(spark, sf_dir):
+def r8_hop_shells(spark, sf_dir):
     e = edges(spark, sf_dir)
     seeds = nodes(spark, sf_dir).select("graph_id", "node")
     return G.hop_shells(e, seeds, 3).groupBy("graph_id", "site", "hop").agg(F.count("*").alias("n"), F.sum("node").alias("total"))
 
 
-def r8_hop_shells(spark, sf_dir):
-    """The slice of r8_all_hop_shells that the SQL holds."""
-    return r8_all_hop_shells(spark, sf_dir).where("site % 7 = 0")
-
-
-R8_SQL = f"""WITH e AS ({edges_sql()}), a AS (SELECT graph_id, u, v FROM e UNION SELECT graph_id, v, u FROM e), s0 AS (SELECT graph_id, node AS site, node FROM ({nodes_sql()}) WHERE node % 7 = 0),
+R8_SQL = f"""WITH e AS ({edges_sql()}), a AS (SELECT graph_id, u, v FROM e UNION SELECT graph_id, v, u FROM e), s0 AS (SELECT graph_id, node AS site, node FROM ({nodes_sql()})),
 s1 AS (SELECT DISTINCT s.graph_id, site, a.v AS node FROM s0 s JOIN a ON a.graph_id = s.graph_id AND a.u = s.node EXCEPT SELECT * FROM s0),
 s2 AS (SELECT DISTINCT s.graph_id, site, a.v AS node FROM s1 s JOIN a ON a.graph_id = s.graph_id AND a.u = s.node EXCEPT (SELECT * FROM s0 UNION SELECT * FROM s1)),
 s3 AS (SELECT DISTINCT s.graph_id, site, a.v AS node FROM s2 s JOIN a ON a.graph_id = s.graph_id AND a.u = s.node EXCEPT (SELECT * FROM s0 UNION SELECT * FROM s1 UNION SELECT * FROM s2))
 SELECT graph_id, site, hop, count(*) AS n, CAST(sum(node) AS BIGINT) AS total FROM (SELECT *, 1 AS hop FROM s1 UNION ALL SELECT *, 2 FROM s2 UNION ALL SELECT *, 3 FROM s3) GROUP BY ALL"""
 
 
-def r9_all_shell_means(spark, sf_dir):
+def r9_shell_mean_resistance(spark, sf_dir):
     n, e = path(spark, sf_dir)
     shells = saved(G.hop_shells(e, n.select("graph_id", "node"), 2), "shells")
-    return rounded(G.shell_mean_resistance(shells, linalg.effective_resistance(n, e)), "mean_r")
-
-
-def r9_shell_mean_resistance(spark, sf_dir):
-    """The slice of r9_all_shell_means that the SQL holds."""
-    return r9_all_shell_means(spark, sf_dir).where("site % 10 = 4")
+    pairs = shells.select("graph_id", F.col("site").alias("i"), F.col("node").alias("j"))
+    return rounded(G.shell_mean_resistance(shells, linalg.effective_resistance(n, e, pairs)), "mean_r")
 
 
 R9_SQL = f"""WITH p AS ({PATH_SQL}) SELECT a.graph_id, a.node AS site, abs(a.node - b.node) AS hop, round(avg(abs(a.far - b.far)), 6) AS mean_r
-FROM p a JOIN p b ON a.graph_id = b.graph_id AND abs(a.node - b.node) BETWEEN 1 AND 2 WHERE a.node % 10 = 4 GROUP BY ALL"""
+FROM p a JOIN p b ON a.graph_id = b.graph_id AND abs(a.node - b.node) BETWEEN 1 AND 2 GROUP BY ALL"""
 
 
 def r10_r11_resistance_rows(spark, sf_dir):
@@ -181,7 +167,7 @@ SELECT graph_id, i, round(count(*) / sum(1 / r), 4) AS harmonic_mean, round(quan
   round(count(*) / sum(r), 4) AS centrality FROM s GROUP BY graph_id, i"""
 
 
-def r12_r16_all_sources(spark, sf_dir):
+def r12_r16_kirchhoff_and_commute(spark, sf_dir):
     """A row a source i: the longest commute from there."""
     n, e = path(spark, sf_dir)
     r = saved(linalg.effective_resistance(n, e), "resistances")
@@ -189,16 +175,13 @@ def r12_r16_all_sources(spark, sf_dir):
     return rounded(G.kirchhoff_index(r).join(c, "graph_id"), "kirchhoff", "longest", digits=4)
 
 
-def r12_r16_kirchhoff_and_commute(spark, sf_dir):
-    """The slice of r12_r16_all_sources that the SQL holds."""
-    return r12_r16_all_sources(spark, sf_dir).where("i = 0").drop("i")
+R12_SQL = f"""WITH p AS ({PATH_SQL}), w AS (SELECT graph_id, sum(CASE WHEN node > 0 THEN 1 / step ELSE 0 END) AS w FROM p GROUP BY 1),
+k AS (SELECT a.graph_id, sum(abs(a.far - b.far)) / 2 AS k FROM p a JOIN p b ON a.graph_id = b.graph_id GROUP BY 1)
+SELECT a.graph_id, a.node AS i, round(any_value(k), 4) AS kirchhoff, round(2 * any_value(w) * max(abs(a.far - b.far)), 4) AS longest
+FROM p a JOIN p b ON a.graph_id = b.graph_id JOIN k ON k.graph_id = a.graph_id JOIN w ON w.graph_id = a.graph_id GROUP BY 1, 2"""
 
 
-R12_SQL = f"""WITH p AS ({PATH_SQL}), k AS (SELECT a.graph_id, sum(abs(a.far - b.far)) / 2 AS k FROM p a JOIN p b ON a.graph_id = b.graph_id GROUP BY 1)
-SELECT graph_id, round(any_value(k), 4) AS kirchhoff, round(2 * sum(CASE WHEN node > 0 THEN 1 / step ELSE 0 END) * max(far), 4) AS longest FROM p JOIN k USING (graph_id) GROUP BY 1"""
-
-
-def r13_r14_all_pinv_rows(spark, sf_dir):
+def r13_r14_pinv_rows(spark, sf_dir):
     """On complete graphs of equal weights, where the pseudoinverse is (I - J/n)/n: the lines of an order."""
     li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("graph_id"), F.col("l_linenumber").alias("node"))
     n = li.distinct()
@@ -207,14 +190,9 @@ def r13_r14_all_pinv_rows(spark, sf_dir):
     return rounded(G.influence_radius(rows, 0.18).join(G.row_anisotropy(rows), ["graph_id", "i"]), "anisotropy")
 
 
-def r13_r14_pinv_rows(spark, sf_dir):
-    """The slice of r13_r14_all_pinv_rows that the SQL holds."""
-    return r13_r14_all_pinv_rows(spark, sf_dir).where("graph_id % 16 = 0")
-
-
 R13_SQL = """SELECT l_orderkey AS graph_id, l_linenumber AS i, CAST(CASE WHEN n = 1 THEN 0 WHEN 1.0 / (n - 1) > 0.18 THEN n - 1 ELSE 0 END AS BIGINT) AS radius,
   round(CASE WHEN n = 1 THEN 0 ELSE (n - 2) / (2.0 * sqrt(n - 1)) END, 6) AS anisotropy
-FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) JOIN (SELECT l_orderkey, count(DISTINCT l_linenumber)::DOUBLE AS n FROM lineitem GROUP BY 1) USING (l_orderkey) WHERE l_orderkey % 16 = 0"""
+FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) JOIN (SELECT l_orderkey, count(DISTINCT l_linenumber)::DOUBLE AS n FROM lineitem GROUP BY 1) USING (l_orderkey)"""
 
 
 def r15_laplacian_rows(spark, sf_dir):
@@ -256,13 +234,22 @@ q AS (SELECT graph_id, sum(d * d) AS q FROM d GROUP BY 1), n AS (SELECT graph_id
 SELECT graph_id, any_value(n) AS n, round(2 * sum(weight), 6) AS first, round(any_value(q) + 2 * sum(weight * weight), 6) AS second FROM e JOIN q USING (graph_id) JOIN n USING (graph_id) GROUP BY 1"""
 
 
+def unit_path(spark, sf_dir):
+    """Paths of unit conductances, whose spectrum is known: a path a user."""
+    n, e = path(spark, sf_dir)
+    return n, e.withColumn("weight", F.lit(1.0))
+
+
+UNIT_SQL = f"SELECT graph_id, node, CAST(count(*) OVER (PARTITION BY graph_id) AS DOUBLE) AS n FROM ({PATH_SQL})"
+
+
 def l4_fiedler(spark, sf_dir):
-    """Of unit length and across the constant vector."""
-    f = linalg.fiedler_vector(nodes(spark, sf_dir, 24.0), edges(spark, sf_dir, 24.0))
-    return rounded(f.groupBy("graph_id").agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.sum(F.col("value") * F.col("value")).alias("square")), "total", "square")
+    """On unit paths, half a cosine wave."""
+    n, e = unit_path(spark, sf_dir)
+    return rounded(linalg.fiedler_vector(n, e), "value", digits=5)
 
 
-L4_SQL = f"SELECT graph_id, count(*) AS n, 0.0::DOUBLE AS total, 1.0::DOUBLE AS square FROM ({nodes_sql(24.0)}) GROUP BY 1"
+L4_SQL = f"SELECT graph_id, node, round(CASE WHEN n < 2 THEN 0 ELSE sqrt(2 / n) * cos(pi() * (node + 0.5) / n) END, 5) + 0.0 AS value FROM ({UNIT_SQL})"
 
 
 def l5_node_voltages(spark, sf_dir):
@@ -278,6 +265,24 @@ L5_SQL = f"""SELECT DISTINCT graph_id, node, CASE node WHEN 3 THEN 1.0::DOUBLE W
 FROM (SELECT graph_id, u AS node FROM ({edges_sql(24.0)}) UNION ALL SELECT graph_id, v FROM ({edges_sql(24.0)}))"""
 
 
+def l5_terminal_voltages(spark, sf_dir):
+    """Two runs in each graph with terminals from a table: the current that leaves each node."""
+    n, e = nodes(spark, sf_dir, 24.0), edges(spark, sf_dir, 24.0)
+    run = F.array(*[F.struct(F.lit(r).alias("run"), F.lit(i).alias("node"), F.lit(c).alias("current")) for r, i, c in ((1, 3, 1.0), (1, 7, -0.5), (1, 11, -0.5), (2, 0, 2.0), (2, 5, -2.0))])
+    ends = n.select("graph_id").distinct().select("graph_id", F.inline(run))
+    volts = saved(linalg.terminal_voltages(n, e, ends), "volts").withColumn("graph_id", F.concat_ws(":", "graph_id", "run"))
+    each = e.withColumn("run", F.explode(F.array(F.lit(1), F.lit(2))))
+    copies = each.select(F.concat_ws(":", "graph_id", "run").alias("graph_id"), "u", "v", "weight")
+    flow = G.edge_currents(copies, volts)
+    out = flow.select("graph_id", F.inline(F.array(F.struct(F.col("u").alias("node"), F.col("current").alias("c")), F.struct(F.col("v").alias("node"), (-F.col("current")).alias("c")))))
+    return rounded(out.groupBy("graph_id", "node").agg(F.sum("c").alias("net")), "net")
+
+
+L5B_SQL = f"""SELECT DISTINCT graph_id || ':' || run AS graph_id, node, CASE WHEN run = 1 AND node = 3 THEN 1.0::DOUBLE WHEN run = 1 AND node IN (7, 11) THEN -0.5::DOUBLE WHEN run = 2 AND node = 0 THEN 2.0::DOUBLE
+WHEN run = 2 AND node = 5 THEN -2.0::DOUBLE ELSE 0.0::DOUBLE END AS net
+FROM (SELECT graph_id, u AS node FROM ({edges_sql(24.0)}) UNION ALL SELECT graph_id, v FROM ({edges_sql(24.0)})), (VALUES (1), (2)) r(run)"""
+
+
 def l6_current_flow_betweenness(spark, sf_dir):
     n, e = path(spark, sf_dir)
     return rounded(linalg.current_flow_betweenness(n, e), "betweenness")
@@ -298,15 +303,23 @@ FROM (SELECT graph_id, node, count(*) OVER (PARTITION BY graph_id) AS n FROM ({P
 
 
 def l8_wt_properties(spark, sf_dir):
-    n, e = nodes(spark, sf_dir, 24.0), edges(spark, sf_dir, 24.0)
+    """On unit paths: spectrum, trace, active sites, an end's potential."""
+    n, e = unit_path(spark, sf_dir)
     w = linalg.wt_properties(n, e)
-    sums = F.aggregate("eigs", F.lit(0.0), lambda a, x: a + x)
-    kf = F.col("n") * F.aggregate(F.filter("eigs", lambda x: x > 1e-8), F.lit(0.0), lambda a, x: a + 1 / x)
-    return w.select("graph_id", "n", F.round(sums, 6).alias("total"), F.size("active").alias("n_active"), "components", (F.abs(kf - F.col("kf")) < 1e-6 * kf).alias("kf_agrees"))
+    out = w.select(
+        "graph_id", "n", "components", F.aggregate("eigs", F.lit(0.0), lambda a, x: a + x).alias("total"), F.get("eigs", F.lit(1)).alias("second"), F.element_at("eigs", -1).alias("last"),
+        "kf", (F.col("trace") * F.col("n")).alias("trace_n"), F.get("lp_diag", F.lit(0)).alias("end"), F.get("fiedler", F.lit(0)).alias("fiedler_end"), F.size("u").alias("n_edges"),
+        F.concat_ws(",", F.col("active").cast("array<string>")).alias("active"), (F.octet_length("lp") / 8).cast("long").alias("entries"),
+    )
+    return rounded(out.where("n > 1"), "total", "second", "last", "kf", "trace_n", "end", "fiedler_end", digits=4)
 
 
-L8_SQL = f"""WITH e AS ({edges_sql(24.0)}), n AS (SELECT graph_id, CAST(count(*) AS INTEGER) AS n FROM ({nodes_sql(24.0)}) GROUP BY 1)
-SELECT graph_id, any_value(n) AS n, round(2 * sum(weight), 6) AS total, 5 AS n_active, 1 AS components, true AS kf_agrees FROM e JOIN n USING (graph_id) GROUP BY 1"""
+L8_SQL = f"""WITH u AS ({UNIT_SQL}), b AS (SELECT graph_id, node, row_number() OVER (PARTITION BY graph_id ORDER BY node * (n - 1 - node) DESC, node) AS rank FROM u),
+a AS (SELECT graph_id, string_agg(CAST(node AS VARCHAR), ',' ORDER BY rank) AS active FROM b WHERE rank <= 5 GROUP BY 1)
+SELECT graph_id, CAST(n AS INTEGER) AS n, 1 AS components, round(2 * (n - 1), 4) AS total, round(2 - 2 * cos(pi() / n), 4) AS second, round(2 - 2 * cos(pi() * (n - 1) / n), 4) AS last,
+  round((n * n * n - n) / 6, 4) AS kf, round((n * n * n - n) / 6, 4) AS trace_n, round((n - 1) / 2 - (n * n - 1) / (6 * n), 4) AS "end", round(sqrt(2 / n) * cos(pi() / (2 * n)), 4) AS fiedler_end,
+  CAST(n - 1 AS INTEGER) AS n_edges, active, CAST(n * n AS BIGINT) AS entries
+FROM (SELECT DISTINCT graph_id, n FROM u WHERE n > 1) JOIN a USING (graph_id)"""
 
 
 def l9_mutant_pinv(spark, sf_dir):
@@ -357,13 +370,17 @@ def f3_derived_features(spark, sf_dir):
     made = li.select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("mutation_id"), q.alias("conductance_degree_wt"), (t + 1).alias("R_active_site_wt"), (d - 0.05).alias("fiedler_component_wt"),
         t.alias("max_edge_current_wt"), (d + 1).alias("voltage_wt"), t.alias("power_local_fraction_wt"), d.alias("delta_R_active_site"), t.alias("delta_voltage"),
+        (q + 2).alias("n"), (d + 0.5).alias("factor"), (t + 2).alias("effective_graph_resistance_wt"), q.alias("delta_kirchhoff"), (d + 1).alias("resistance_centrality_wt"), t.alias("delta_R_global_mean"),
     )
-    names = ["conductance_R_active_product", "fiedler_squared_wt", "current_R_product_wt", "voltage_conductance_product_wt", "power_deltaR_product", "voltage_fold_change"]
+    names = ["conductance_R_active_product", "fiedler_squared_wt", "current_R_product_wt", "voltage_conductance_product_wt", "power_deltaR_product", "voltage_fold_change",
+             "R_active_fold_change", "kirchhoff_fold_change", "conductance_degree_fold_change", "R_global_fold_change"]
     return rounded(features.derived_features(made).select("mutation_id", *names), *names)
 
 
 F3_SQL = """SELECT l_orderkey * 10 + l_linenumber AS mutation_id, round(q * (t + 1), 6) AS conductance_R_active_product, round((d - 0.05) * (d - 0.05), 6) AS fiedler_squared_wt, round(t * (t + 1), 6) AS current_R_product_wt,
-  round((d + 1) * q, 6) AS voltage_conductance_product_wt, round(t * d, 6) AS power_deltaR_product, round(log2((d + 1 + t) / (d + 1)), 6) AS voltage_fold_change
+  round((d + 1) * q, 6) AS voltage_conductance_product_wt, round(t * d, 6) AS power_deltaR_product, round(log2((d + 1 + t) / (d + 1)), 6) + 0.0 AS voltage_fold_change,
+  round(log2((t + 1 + d) / (t + 1)), 6) + 0.0 AS R_active_fold_change, round(log2(((t + 2) * (q + 2) * (q + 1) / 2 + q) / ((t + 2) * (q + 2) * (q + 1) / 2)), 6) AS kirchhoff_fold_change,
+  round(log2(d + 0.5), 6) + 0.0 AS conductance_degree_fold_change, round(log2(((q + 1) / ((q + 2) * (d + 1)) + t) / ((q + 1) / ((q + 2) * (d + 1)))), 6) + 0.0 AS R_global_fold_change
 FROM (SELECT *, CAST(l_quantity AS DOUBLE) AS q, CAST(l_tax AS DOUBLE) AS t, CAST(l_discount AS DOUBLE) AS d FROM lineitem)"""
 
 
@@ -374,14 +391,14 @@ def f4_f5_multi_scale(spark, sf_dir):
 
 def f4_f5_scales(spark, sf_dir):
     wide = some_features(spark, sf_dir)
-    near = wide.withColumns({c: F.col(c) / 2 for c in features.CROSS_SCALE}).where(F.col("mutation_id") % 3 != 0)
+    near = wide.withColumns({c: F.col(c) / 2 for c in features.CROSS_SCALE})
     both = features.cross_scale_features(features.multi_scale_features(near, wide))
     names = ["norton_current_wt_6A", "scale_diff_norton_current_wt", "scale_ratio_norton_current_wt"]
     return rounded(both.select("mutation_id", *names), *names)
 
 
 F4_SQL = """SELECT event_id AS mutation_id, round(x / 2, 6) AS norton_current_wt_6A, round(x / 2, 6) AS scale_diff_norton_current_wt, CASE WHEN x = 0 THEN 0.0 ELSE 2.0::DOUBLE END AS scale_ratio_norton_current_wt
-FROM (SELECT *, value * 10 + user_id AS x FROM events) WHERE event_id % 3 <> 0"""
+FROM (SELECT *, value * 10 + user_id AS x FROM events)"""
 
 
 def f6_aa_substitution(spark, sf_dir):
@@ -424,9 +441,8 @@ BOTH = {
     "l6_current_flow_betweenness": (l6_current_flow_betweenness, L6_SQL), "l7_betweenness_topk": (l7_betweenness_topk, L7_SQL), "l8_wt_properties": (l8_wt_properties, L8_SQL), "l9_mutant_pinv": (l9_mutant_pinv, L9_SQL),
     "f1_mutation_features": (f1_mutation_features, None), "f1_feature_identities": (f1_feature_identities, F1_SQL), "f3_derived_features": (f3_derived_features, F3_SQL), "f4_f5_scales": (f4_f5_scales, F4_SQL),
     "f6_aa_substitution": (f6_aa_substitution, F6_SQL), "f7_select_by_importance": (f7_select_by_importance, F7_SQL),
-    # whole results, of which the queries with SQL above are slices
-    "r3_r5_all_sites": (r3_r5_all_sites, None), "r8_all_hop_shells": (r8_all_hop_shells, None), "r9_all_shell_means": (r9_all_shell_means, None),
-    "r12_r16_all_sources": (r12_r16_all_sources, None), "r13_r14_all_pinv_rows": (r13_r14_all_pinv_rows, None),
-    "f4_f5_multi_scale": (f4_f5_multi_scale, None),
+    # further names of whole results
+    "r3_r5_all_sites": (r3_r5_currents_and_power, R3_SQL), "r8_all_hop_shells": (r8_hop_shells, R8_SQL), "r9_all_shell_means": (r9_shell_mean_resistance, R9_SQL),
+    "r12_r16_all_sources": (r12_r16_kirchhoff_and_commute, R12_SQL), "r13_r14_all_pinv_rows": (r13_r14_pinv_rows, R13_SQL),
+    "f4_f5_multi_scale": (f4_f5_multi_scale, None), "l5_terminal_voltages": (l5_terminal_voltages, L5B_SQL),
 }
-

@@ -215,17 +215,11 @@ def u2_dedupe_mutations(spark, sf_dir):
 U2_SQL = f"SELECT * EXCLUDE k FROM (SELECT *, row_number() OVER (PARTITION BY pdb_id, position, wild_type, mutation ORDER BY mutation_id) AS k FROM ({PROTEINS_SQL})) WHERE k = 1"
 
 
-def u3_diverse_sample_of_all(spark, sf_dir):
-    return sampling.diverse_sample(as_proteins(spark, sf_dir), 2648).select("mutation_id", "pdb_id")
-
-
 def u3_diverse_sample(spark, sf_dir):
-    """Uneven groups, so that some fall short and are topped up."""
-    d = as_proteins(spark, sf_dir).where((F.col("pdb_id") % 3 != 0) | (F.col("mutation_id") % 101 == 0))
-    return sampling.diverse_sample(d, 2648).select("mutation_id", "pdb_id")
+    return sampling.diverse_sample(as_proteins(spark, sf_dir), 2648).select("mutation_id", "pdb_id")
 
 
-U3_SQL = f"""WITH d AS (SELECT * FROM ({PROTEINS_SQL}) WHERE pdb_id % 3 <> 0 OR mutation_id % 101 = 0){SAMPLE_SQL.format(n=2648)},
+U3_SQL = f"""WITH d AS (SELECT * FROM ({PROTEINS_SQL})){SAMPLE_SQL.format(n=2648)},
 r AS (SELECT * FROM p WHERE mutation_id NOT IN (SELECT mutation_id FROM q) ORDER BY k, mutation_id LIMIT (SELECT 2648 - count(*) FROM q))
 SELECT mutation_id, pdb_id FROM q UNION ALL SELECT mutation_id, pdb_id FROM r"""
 
@@ -269,7 +263,7 @@ BOTH = {
     "u1_union_datasets": (u1_union_datasets, U1_SQL),
     "u2_dedupe_mutations": (u2_dedupe_mutations, U2_SQL),
     "u3_diverse_sample": (u3_diverse_sample, U3_SQL),
-    "u3_diverse_sample_of_all": (u3_diverse_sample_of_all, None),
+    "u3_diverse_sample_of_all": (u3_diverse_sample, U3_SQL),
     "u4_stratified_sample": (u4_stratified_sample, U4_SQL),
     "u5_keep_available": (u5_keep_available, U5_SQL),
     "u6_distinct_structures": (u6_distinct_structures, U6_SQL),

@@ -42,15 +42,23 @@ C2_SQL = f"""WITH {STRATA_SQL}, r AS (SELECT mutation_id, (row_number() OVER (OR
 SELECT mutation_id, CAST(fold AS INTEGER) AS fold, CAST(fold AS INTEGER) AS other FROM r"""
 
 
+# Whole groups, the largest first, each to the lightest of five folds.
+GREEDY_SQL = f"""x AS ({ROWS_SQL}), gc AS (SELECT pdb_id, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, pdb_id) AS i FROM x GROUP BY 1),
+w(i, pdb_id, fold, loads) AS (
+  SELECT 0::BIGINT, (SELECT min(pdb_id) FROM gc), 0::BIGINT, list_transform(range(CAST((SELECT least(5, count(*)) FROM gc) AS BIGINT)), lambda v: 0::BIGINT)
+  UNION ALL SELECT gc.i, gc.pdb_id, list_position(w.loads, list_min(w.loads)) - 1, list_transform(w.loads, lambda v, j: CASE WHEN j = list_position(w.loads, list_min(w.loads)) THEN v + gc.n ELSE v END)
+  FROM w JOIN gc ON gc.i = w.i + 1
+), g AS (SELECT pdb_id, fold FROM w WHERE i > 0)"""
+
+
 def c5_group_folds(spark, sf_dir):
-    """Sizes of folds of whole groups: as even as the largest-first rule makes them; no group is split."""
+    """Each group with its fold."""
     x = rows(spark, sf_dir)
     f = folds.group_folds(x, "pdb_id", 5).join(x.select("mutation_id", "pdb_id"), "mutation_id")
-    split = f.groupBy("pdb_id").agg(F.countDistinct("fold").alias("k"), F.min("fold").alias("fold"), F.count("*").alias("n"))
-    return split.groupBy("fold").agg(F.max("k").alias("most"), F.count("*").alias("groups"), F.sum("n").alias("n")).select("most", F.lit(True).alias("whole")).distinct()
+    return f.groupBy("pdb_id", "fold").agg(F.count("*").alias("n"))
 
 
-C5_SQL = "SELECT 1::BIGINT AS most, true AS whole"
+C5_SQL = f"WITH RECURSIVE {GREEDY_SQL} SELECT pdb_id, CAST(fold AS INTEGER) AS fold, gc.n FROM g JOIN gc USING (pdb_id)"
 
 
 def c7_kfold(spark, sf_dir):
@@ -77,14 +85,26 @@ def c9_leave_one_group_out(spark, sf_dir):
 C9_SQL = f"WITH f AS (SELECT mutation_id, pdb_id, dense_rank() OVER (ORDER BY pdb_id) - 1 AS fold FROM ({ROWS_SQL})) " + SIZES_SQL.format(by=", pdb_id")
 
 
+def strata_folds_sql(col):
+    """Folds by strata of a column, shuffled within."""
+    return f"""SELECT mutation_id, (row_number() OVER (ORDER BY stratum, {KEY}, mutation_id) - 1) % 5 AS fold FROM (
+      SELECT mutation_id, CAST(v >= e[1] AS INTEGER) + CAST(v >= e[2] AS INTEGER) + CAST(v >= e[3] AS INTEGER) + CAST(v >= e[4] AS INTEGER) AS stratum
+      FROM (SELECT mutation_id, {col} AS v FROM x), (SELECT quantile_cont({col}, [0.2, 0.4, 0.6, 0.8]) AS e FROM x))"""
+
+
+SPLITS_SQL = f"""{GREEDY_SQL}, z AS (SELECT 'centrality' AS strategy, * FROM ({strata_folds_sql("q")}) UNION ALL SELECT 'propagation', * FROM ({strata_folds_sql("d")})
+UNION ALL SELECT 'kirchhoff_grouped', mutation_id, fold FROM x JOIN g USING (pdb_id))"""
+
+
 def c6_c10_all_splits(spark, sf_dir):
-    """Every strategy deals each row to one of five folds."""
+    """Sizes of all folds, and sums of the ids in them; clusters are not SQL's, but the sizes of the folds over them are."""
     x = rows(spark, sf_dir).select("mutation_id", "pdb_id", F.col("q").alias("resistance_centrality_wt"), F.col("d").alias("propagation_radius"), F.col("t").alias("voltage_wt"), F.col("ddG").alias("conductance_degree_wt"))
     s = folds.precompute_all_splits(x, 5, "pdb_id")
-    return s.groupBy("strategy").agg(F.count("*").alias("n"), F.countDistinct("mutation_id").alias("ids"), F.countDistinct("fold").alias("folds"))
+    return s.groupBy("strategy", "fold").agg(F.count("*").alias("n"), F.countDistinct("mutation_id").alias("different"), F.sum(F.when(F.col("strategy") != "spectral", F.col("mutation_id"))).alias("ids"))
 
 
-C10_SQL = f"SELECT s AS strategy, count(*) AS n, count(DISTINCT mutation_id) AS ids, 5::BIGINT AS folds FROM ({ROWS_SQL}), (VALUES ('centrality'), ('propagation'), ('kirchhoff_grouped'), ('spectral')) t(s) GROUP BY 1"
+C10_SQL = f"""WITH RECURSIVE {SPLITS_SQL} SELECT strategy, CAST(fold AS INTEGER) AS fold, count(*) AS n, count(DISTINCT mutation_id) AS different, CAST(sum(mutation_id) AS BIGINT) AS ids FROM z GROUP BY 1, 2
+UNION ALL SELECT 'spectral', CAST(f AS INTEGER), (n + 4 - f) // 5, (n + 4 - f) // 5, NULL FROM (SELECT count(*) AS n FROM x), range(5) t(f)"""
 
 
 def with_folds(spark, sf_dir, k=5):
@@ -157,34 +177,61 @@ def e2_e13_compare_models(spark, sf_dir):
     return models.compare_models(x, COLS, SMALL | {"stacking": {"gbt": SMALL["gbt"] | {"subsample": 0.8, "leaf": 5}, "rf": SMALL["rf"] | {"leaf": 3}}}, k=3)
 
 
+# Least squares of ddG on q with a penalty, over s (run, fold, q, ddG): the slope of standardised values shrinks by 1 + penalty / n.
+def one_column_sql(penalty):
+    return f"""k AS (SELECT DISTINCT run, fold FROM s),
+f AS (SELECT k.run, k.fold, covar_pop(ddG, q) / (var_pop(q) * (1 + {penalty} / count(*))) AS b, avg(ddG) AS my, avg(q) AS mq FROM s JOIN k ON s.run = k.run AND s.fold <> k.fold GROUP BY ALL),
+p AS (SELECT s.run, s.fold, ddG AS y, my + b * (q - mq) AS yhat FROM s JOIN f ON f.run = s.run AND f.fold = s.fold),
+e AS (SELECT run, fold, 1 - sum((y - yhat) * (y - yhat)) / (var_pop(y) * count(*)) AS r2, avg((y - yhat) * (y - yhat)) AS mse, count(*) AS n FROM p GROUP BY ALL)"""
+
+
+def shown(m, *cols):
+    return rounded(m.select(*cols, "n_samples", "n_folds", "cv_r2_mean", "cv_rmse_mean", "pearson_r"), "cv_r2_mean", "cv_rmse_mean", "pearson_r", digits=4)
+
+
 def e11_multi_cv(spark, sf_dir):
-    m = models.multi_cv_evaluate(saved(rows(spark, sf_dir), "rows"), COLS, "model_type", "ridge", 5)
-    return m.select("cv_strategy", "n_samples", "n_features", "n_folds", (F.col("pearson_r") > 0.5).alias("good"))
+    return shown(models.multi_cv_evaluate(saved(rows(spark, sf_dir), "rows"), ["q"], "model_type", "ridge", 5), "cv_strategy")
 
 
-E11_SQL = f"""SELECT s AS cv_strategy, n AS n_samples, 3 AS n_features, k AS n_folds, true AS good FROM (SELECT count(*) AS n, CAST(count(DISTINCT model_type) AS INTEGER) AS g FROM ({ROWS_SQL})),
-LATERAL (VALUES ('kfold', 5), ('repeated', 15), ('group', g), ('logo', g)) t(s, k)"""
+E11_SQL = f"""WITH x AS ({ROWS_SQL}), s AS (
+  SELECT 'kfold' AS run, (row_number() OVER (ORDER BY {KEY}, mutation_id) - 1) % 5 AS fold, q, ddG FROM x
+  UNION ALL SELECT 'repeated' || r, (row_number() OVER (PARTITION BY r ORDER BY md5((42 + r) || ':' || mutation_id), mutation_id) - 1) % 5, q, ddG FROM x, (VALUES (0), (1), (2)) t(r)
+  UNION ALL SELECT g, dense_rank() OVER (PARTITION BY g ORDER BY model_type) - 1, q, ddG FROM x, (VALUES ('group'), ('logo')) t(g)
+), {one_column_sql(1.0)},
+m AS (SELECT rtrim(run, '012') AS cv_strategy, avg(r2) AS r2, sqrt(avg(mse)) AS rmse, count(*) AS folds FROM e GROUP BY 1), c AS (SELECT run, corr(y, yhat) AS r FROM p GROUP BY 1)
+SELECT cv_strategy, (SELECT count(*) FROM x) AS n_samples, CAST(folds AS INTEGER) AS n_folds, round(r2, 4) AS cv_r2_mean, round(rmse, 4) AS cv_rmse_mean, round(r, 4) AS pearson_r
+FROM m JOIN c ON c.run = CASE cv_strategy WHEN 'repeated' THEN 'kfold' ELSE cv_strategy END"""
 
 
 def e14_models_by_strategies(spark, sf_dir):
-    x = rows(spark, sf_dir).withColumnsRenamed({"q": "resistance_centrality_wt", "d": "propagation_radius", "t": "voltage_wt"})
-    x = saved(x, "rows")
-    cols = ["resistance_centrality_wt", "propagation_radius", "voltage_wt"]
-    splits = folds.precompute_all_splits(x.select("mutation_id", "pdb_id", *cols), 5, "pdb_id")
-    m = models.compare_models_resistance_cv(x, cols, {"ridge": {}, "lasso": {}}, splits)
-    return m.select("model_type", "cv_strategy", "n_samples", "n_folds", (F.col("pearson_r") > 0.5).alias("good"))
+    """Two models of one column on all strategies; folds over clusters are not SQL's."""
+    x = saved(rows(spark, sf_dir).withColumnsRenamed({"q": "resistance_centrality_wt", "d": "propagation_radius", "t": "voltage_wt"}), "rows")
+    splits = folds.precompute_all_splits(x.select("mutation_id", "pdb_id", "resistance_centrality_wt", "propagation_radius", "voltage_wt"), 5, "pdb_id")
+    m = models.compare_models_resistance_cv(x, ["resistance_centrality_wt"], {"ridge": {}, "lasso": {}}, splits)
+    known = F.col("cv_strategy") != "spectral"
+    return shown(m.withColumns({c: F.when(known, F.col(c)) for c in ("cv_r2_mean", "cv_rmse_mean", "pearson_r")}), "model_type", "cv_strategy")
 
 
-E14_SQL = f"""SELECT m AS model_type, s AS cv_strategy, count(*) AS n_samples, 5 AS n_folds, true AS good FROM ({ROWS_SQL}), (VALUES ('ridge'), ('lasso')) a(m),
-(VALUES ('centrality'), ('propagation'), ('kirchhoff_grouped'), ('spectral')) t(s) GROUP BY 1, 2"""
+E14_SQL = f"""WITH RECURSIVE {SPLITS_SQL}, s AS (SELECT strategy AS run, fold, q, ddG FROM z JOIN x USING (mutation_id)), k AS (SELECT DISTINCT run, fold FROM s),
+f AS (SELECT k.run, k.fold, covar_pop(ddG, q) / stddev_pop(q) AS c, stddev_pop(q) AS sd, avg(ddG) AS my, avg(q) AS mq, count(*) AS n FROM s JOIN k ON s.run = k.run AND s.fold <> k.fold GROUP BY ALL),
+p AS (SELECT m, s.run, s.fold, ddG AS y, my + CASE m WHEN 'ridge' THEN c / (1 + 1.0 / n) ELSE sign(c) * greatest(0, abs(c) - 0.1) END * (q - mq) / sd AS yhat FROM s JOIN f ON f.run = s.run AND f.fold = s.fold, (VALUES ('ridge'), ('lasso')) a(m)),
+e AS (SELECT m, run, fold, 1 - sum((y - yhat) * (y - yhat)) / (var_pop(y) * count(*)) AS r2, avg((y - yhat) * (y - yhat)) AS mse, count(*) AS n FROM p GROUP BY ALL), c AS (SELECT m, run, corr(y, yhat) AS r FROM p GROUP BY 1, 2)
+SELECT m AS model_type, run AS cv_strategy, CAST(sum(n) AS BIGINT) AS n_samples, CAST(count(*) AS INTEGER) AS n_folds, round(avg(r2), 4) AS cv_r2_mean, round(sqrt(avg(mse)), 4) AS cv_rmse_mean, round(any_value(r), 4) AS pearson_r
+FROM e JOIN c USING (m, run) GROUP BY 1, 2 UNION ALL SELECT m, 'spectral', (SELECT count(*) FROM x), 5, NULL, NULL, NULL FROM (VALUES ('ridge'), ('lasso')) a(m)"""
 
 
 def e15_nested_cv(spark, sf_dir):
-    m = models.nested_cv(saved(rows(spark, sf_dir), "rows"), COLS, "ridge", {"alpha": [0.1, 10.0]}, 3)
-    return m.select("model_type", "cv_strategy", "n_samples", "n_folds", (F.col("pearson_r") > 0.5).alias("good"))
+    return shown(models.nested_cv(saved(rows(spark, sf_dir), "rows"), ["q"], "ridge", {"alpha": [0.1, 100.0]}, 3), "model_type", "cv_strategy")
 
 
-E15_SQL = f"SELECT 'ridge' AS model_type, 'nested' AS cv_strategy, count(*) AS n_samples, 3 AS n_folds, true AS good FROM ({ROWS_SQL})"
+E15_SQL = f"""WITH x AS ({ROWS_SQL}), o AS (SELECT *, (row_number() OVER (ORDER BY {KEY}, mutation_id) - 1) % 3 AS fold FROM x),
+i AS (SELECT k, o.*, (row_number() OVER (PARTITION BY k ORDER BY {KEY}, mutation_id) - 1) % 3 AS part FROM o, range(3) t(k) WHERE fold <> k),
+f AS (SELECT k, j, covar_pop(ddG, q) / var_pop(q) AS b, avg(ddG) AS my, avg(q) AS mq, count(*) AS n FROM i, range(3) u(j) WHERE part <> j GROUP BY 1, 2),
+v AS (SELECT i.k, j, a, 1 - sum(pow(ddG - my - b / (1 + a / n) * (q - mq), 2)) / (var_pop(ddG) * count(*)) AS r2 FROM i JOIN f ON f.k = i.k AND f.j = i.part, (VALUES (0.1::DOUBLE), (100.0::DOUBLE)) t(a) GROUP BY 1, 2, 3),
+best AS (SELECT k, a FROM (SELECT k, a, row_number() OVER (PARTITION BY k ORDER BY avg(r2) DESC, a) AS r FROM v GROUP BY 1, 2) WHERE r = 1),
+g AS (SELECT k, covar_pop(ddG, q) / (var_pop(q) * (1 + any_value(a) / count(*))) AS b, avg(ddG) AS my, avg(q) AS mq FROM i JOIN best USING (k) GROUP BY 1),
+p AS (SELECT fold, ddG AS y, my + b * (q - mq) AS yhat FROM o JOIN g ON g.k = o.fold), e AS (SELECT fold, 1 - sum((y - yhat) * (y - yhat)) / (var_pop(y) * count(*)) AS r2, avg((y - yhat) * (y - yhat)) AS mse, count(*) AS n FROM p GROUP BY 1)
+SELECT 'ridge' AS model_type, 'nested' AS cv_strategy, CAST(sum(n) AS BIGINT) AS n_samples, CAST(count(*) AS INTEGER) AS n_folds, round(avg(r2), 4) AS cv_r2_mean, round(sqrt(avg(mse)), 4) AS cv_rmse_mean, (SELECT round(corr(y, yhat), 4) FROM p) AS pearson_r FROM e"""
 
 
 def e16_importances(spark, sf_dir):
@@ -206,19 +253,22 @@ SELECT 'd' AS feature_dropped, round(avg(with_q), 5) AS r2_without FROM r UNION
 
 
 def e18_group_ablation(spark, sf_dir):
+    """Without money a fit on q, without size one on d and t; groups without a column or with all are skipped."""
     g = models.group_ablation(with_folds(spark, sf_dir), COLS, {"size": ["q"], "money": ["d", "t"], "absent": ["zz"], "all": COLS})
-    return g.select("group_dropped", "n_features_dropped", ((F.abs("r2_drop") < 1) & (F.col("r2_without") < 1)).alias("sound"))
+    return rounded(g.select("group_dropped", "n_features_dropped", "r2_without"), "r2_without", digits=5)
 
 
-E18_SQL = "SELECT * FROM (VALUES ('size', 1, true), ('money', 2, true)) t(group_dropped, n_features_dropped, sound)"
+E18_SQL = f"""WITH x AS (SELECT *, mutation_id % 5 AS fold FROM ({ROWS_SQL})),
+m AS (SELECT k, 1 + 1.0 / count(*) AS a, avg(ddG) AS my, avg(q) AS mq, avg(d) AS md, avg(t) AS mt, covar_pop(ddG, q) / stddev_pop(q) AS cq, covar_pop(ddG, d) / stddev_pop(d) AS cd, covar_pop(ddG, t) / stddev_pop(t) AS ct,
+  stddev_pop(q) AS sq, stddev_pop(d) AS sd, stddev_pop(t) AS st, corr(d, t) AS r FROM x, range(5) u(k) WHERE fold <> k GROUP BY 1),
+p AS (SELECT fold, ddG AS y, my + cq / a * (q - mq) / sq AS money, my + (a * cd - r * ct) / (a * a - r * r) * (d - md) / sd + (a * ct - r * cd) / (a * a - r * r) * (t - mt) / st AS size FROM x JOIN m ON m.k = x.fold),
+e AS (SELECT fold, 1 - sum(pow(y - money, 2)) / (var_pop(y) * count(*)) AS money, 1 - sum(pow(y - size, 2)) / (var_pop(y) * count(*)) AS size FROM p GROUP BY 1)
+SELECT 'money' AS group_dropped, 2 AS n_features_dropped, round(avg(money), 5) AS r2_without FROM e UNION ALL SELECT 'size', 1, round(avg(size), 5) FROM e"""
 
 
 def e19_conductance_sensitivity(spark, sf_dir):
-    m = jobs.conductance_sensitivity(mutations(spark, sf_dir), nodes(spark, sf_dir, 24.0))
-    return m.select("conductance", "model_type", "n_features", "n_folds")
-
-
-E19_SQL = "SELECT c AS conductance, 'ridge' AS model_type, 83 AS n_features, 5 AS n_folds FROM (VALUES ('exponential'), ('inverse_square'), ('binary')) t(c)"
+    """All metrics for each kind of conductance."""
+    return jobs.conductance_sensitivity(mutations(spark, sf_dir), nodes(spark, sf_dir, 24.0))
 
 
 # ---------------------------------------------------------------- reports
@@ -322,7 +372,7 @@ BOTH = {
     "c8_repeated_kfold": (c8_repeated_kfold, C8_SQL), "c9_leave_one_group_out": (c9_leave_one_group_out, C9_SQL), "c6_c10_all_splits": (c6_c10_all_splits, C10_SQL),
     "e1_standardize": (e1_standardize, E1_SQL), "e4_ridge_one_column": (e4_e12_ridge_one_column, E4_SQL), "e12_gram_by_fold": (e12_gram_by_fold, E12_SQL), "e7_e10_evaluate": (e7_evaluate, E7_SQL), "e9_spearman": (e9_spearman, E9_SQL),
     "e2_e13_compare_models": (e2_e13_compare_models, None), "e8_e11_multi_cv": (e11_multi_cv, E11_SQL), "e14_models_by_strategies": (e14_models_by_strategies, E14_SQL), "e15_nested_cv": (e15_nested_cv, E15_SQL),
-    "e16_importances": (e16_importances, E16_SQL), "e17_feature_ablation": (e17_feature_ablation, E17_SQL), "e18_group_ablation": (e18_group_ablation, E18_SQL), "e19_conductance_sensitivity": (e19_conductance_sensitivity, E19_SQL),
+    "e16_importances": (e16_importances, E16_SQL), "e17_feature_ablation": (e17_feature_ablation, E17_SQL), "e18_group_ablation": (e18_group_ablation, E18_SQL), "e19_conductance_sensitivity": (e19_conductance_sensitivity, None),
     "t1_best_per_key": (t1_best_per_key, T1_SQL), "t2_comparison_table": (t2_comparison_table, T2_SQL), "t3_tiers": (t3_tiers, T3_SQL), "t4_metric_pivot": (t4_metric_pivot, T4_SQL), "t5_dataset_summary": (t5_dataset_summary, T5_SQL),
     "t6_feature_histograms": (t6_feature_histograms, T6_SQL), "t7_feature_target_corr": (t7_feature_target_corr, T7_SQL), "t8_prediction_summary": (t8_prediction_summary, T8_SQL), "t9_top_importances": (t9_top_importances, T9_SQL),
     "t10_importance_by_source": (t10_importance_by_source, T10_SQL),
