@@ -350,3 +350,65 @@ def test_pipeline(spark):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         empty = written(stage(spark, empty, folder), name)
     assert corpus_pipeline.STAGES[-1][1](spark, empty, folder).count() == 0
+
+
+def test_pipeline_by_hand(spark):
+    import hashlib
+    from collections import Counter
+
+    import corpus_pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from ohmgraph.llm import mixing
+
+    folder = f"{DATA}/sf0.001"
+    d, lab = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    blanks, words = " \t\n\x0b\f\r", lambda t: re.findall(r"[^\x20\x09-\x0D]+", t)
+    now = {r.doc_id: r for r in d.collect()}
+    assert len(now) == d.count()
+    stages = dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["toxicity", "line_dedup", "near_dedup", "mixing", "packing"]
+    # toxic documents go
+    score = dict(zip(now, toxicity.fit(d, lab).score([r.text for r in now.values()]), strict=True))
+    texts = {i: r.text or "" for i, r in now.items() if score[i] < 0.5}
+    got = stages["toxicity"](spark, d, folder)
+    assert {r.doc_id for r in got.collect()} == set(texts)  # few labels, so few go or none
+    # common lines go
+    key = lambda x: "".join(c.lower() if "A" <= c <= "Z" else c for c in x.strip(blanks))
+    count = Counter(k for t in texts.values() for k in {key(x) for x in t.split("\n")})
+    texts = {i: "\n".join(x for x in t.split("\n") if not (key(x) and count[key(x)] >= 10)) for i, t in texts.items()}
+    got = stages["line_dedup"](spark, got, folder)
+    assert {(r.doc_id, r.text, r.n_chars) for r in got.collect()} == {(i, t, len(t)) for i, t in texts.items()}
+    # near copies go
+    ids = sorted(texts)
+    _, roots = components_by_hand([texts[i] for i in ids], 5)
+    texts = {i: texts[i] for k, i in enumerate(ids) if roots[k] == k}
+    got = stages["near_dedup"](spark, got, folder)
+    assert {(r.doc_id, r.text) for r in got.collect()} == set(texts.items()) and len(texts) < len(ids)
+    # the mix takes documents up to their source's target, twice at most
+    sizes, uses = Counter(), Counter()
+    for i, t in texts.items():
+        sizes[now[i].source] += len(words(t))
+    goal = mixing.targets(dict(sizes))
+    for s in sizes:
+        left = int(goal[s] + 0.5)
+        for _ in range(2):
+            for i in sorted((i for i in texts if now[i].source == s), key=lambda i: hashlib.md5(str(i).encode()).hexdigest()):
+                own = words(texts[i])
+                n = min(left, len(own))
+                left -= n
+                if n:
+                    uses[i, texts[i] if n == len(own) else " ".join(own[:n])] += 1
+    got = stages["mixing"](spark, got, folder)
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == uses
+    # every use is packed whole
+    tok = Tokenizer.from_file(public_tokenizers.path(corpus_pipeline.TOKENIZER))
+    want = Counter()
+    for (i, t), n in uses.items():
+        want[i] += n * (len(tok.encode(t, add_special_tokens=False).ids) + 1)
+    found, sequences = Counter(), Counter()
+    for r in stages["packing"](spark, got, folder).collect():
+        found[r.doc_id] += r.length
+        sequences[r.sequence_id] += r.length
+    assert found == want and max(sequences.values()) <= 2048
