@@ -59,13 +59,30 @@ def gram_by_fold(df: DataFrame, cols: list[str], label: str, fold: str = "fold")
     return flat.mapInPandas(sums, "fold int, i int, j int, value double").groupBy("fold", "i", "j").agg(F.sum("value").alias("value"))
 
 
-def gram_matrices(gram: DataFrame, p: int) -> dict[int, np.ndarray]:
-    """The matrices on the driver: a few small ones, one a fold."""
-    out: dict[int, np.ndarray] = {}
-    for r in gram.collect():
-        m = out.setdefault(r.fold, np.zeros((p, p)))
-        m[r.i, r.j] = m[r.j, r.i] = r.value
-    return out
+def gram_matrix(rows, p: int) -> np.ndarray:
+    """A matrix from its entries (i, j, value)."""
+    m = np.zeros((p, p))
+    for i, j, value in rows:
+        m[i, j] = m[j, i] = value
+    return m
+
+
+def gram_total(gram: DataFrame, p: int) -> tuple[np.ndarray, int]:
+    """The sum of all folds' matrices, and how many folds there are."""
+    rows = gram.groupBy("i", "j").agg(F.sum("value").alias("value"), F.count("*").alias("n")).collect()
+    return gram_matrix([(r.i, r.j, r.value) for r in rows], p), max((r.n for r in rows), default=0)
+
+
+def by_fold(gram: DataFrame, p: int, make, schema: str) -> DataFrame:
+    """What make(fold, its matrix, that of the rows outside it) gives for each fold, in tasks; with one fold both are the same."""
+    total, folds = gram_total(gram, p)
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        g = gram_matrix(rows[["i", "j", "value"]].itertuples(index=False), p)
+        return pd.DataFrame(make(key[0], g, total - g if folds > 1 else g), columns=names)
+
+    return gram.groupBy("fold").applyInPandas(run, schema)
 
 
 def ridge_from_gram(g: np.ndarray, alpha: float = 1.0, use: list[int] | None = None) -> tuple[np.ndarray, float]:
@@ -94,13 +111,15 @@ def scores_from_gram(g: np.ndarray, coef: np.ndarray, intercept: float) -> tuple
 
 def ridge_predictions(df: DataFrame, cols: list[str], label: str = "ddG", alpha: float = 1.0, fold: str = "fold", id_col: str = ID) -> DataFrame:
     """(id, fold, y, yhat), each row by the fit on the rows outside its fold."""
-    grams = gram_matrices(gram_by_fold(df, cols, label, fold), len(cols) + 2)
-    total = sum(grams.values())
-    fits = [(k, *ridge_from_gram(total - g if len(grams) > 1 else g, alpha)) for k, g in grams.items()]
-    table = df.sparkSession.createDataFrame([(k, c.tolist(), b) for k, c, b in fits], "_of int, _coef array<double>, _b double")
+    def fit(k: int, own: np.ndarray, rest: np.ndarray) -> list[tuple]:
+        coef, b = ridge_from_gram(rest, alpha)
+        return [(k, coef.tolist(), b)]
+
+    gram = saved(gram_by_fold(df, cols, label, fold), "gram")
+    table = saved(by_fold(gram, len(cols) + 2, fit, "_of int, _coef array<double>, _b double"), "fits")
     x = F.array(*[F.col(c).cast("double") for c in cols])
     dot = F.aggregate(F.zip_with(x, "_coef", lambda a, b: a * b), F.col("_b"), lambda a, b: a + b)
-    return df.join(F.broadcast(table), F.col(fold) == F.col("_of")).select(id_col, F.col(fold).alias("fold"), F.col(label).cast("double").alias("y"), dot.alias("yhat"))
+    return df.join(table, F.col(fold) == F.col("_of")).select(id_col, F.col(fold).alias("fold"), F.col(label).cast("double").alias("y"), dot.alias("yhat"))
 
 
 # ---------------------------------------------------------------- Spark's models
@@ -352,11 +371,11 @@ def nested_cv(x: DataFrame, cols: list[str], model: str = "ridge", grid: dict[st
         within = saved(train.join(cv.kfold(train, inner, True, 42, id_col), id_col), "inner")
         tried = combinations(grid or GRIDS.get(model, {}))
         if model == "ridge":  # every penalty is arithmetic on the same sums
-            grams, every = gram_matrices(gram_by_fold(within, cols, label), len(cols) + 2), list(range(len(cols)))
-            r2 = [_fold_r2(grams, s.get("alpha", 1.0), every) for s in tried]
+            every = list(range(len(cols)))
+            r2 = gram_scores(gram_by_fold(within, cols, label), len(cols) + 2, [(s.get("alpha", 1.0), every) for s in tried])
         else:
             r2 = [evaluate(predictions(within, cols, label, model, s, "fold", id_col).withColumn("m", F.lit(0)), ["m"]).first()["cv_r2_mean"] for s in tried]
-        best = tried[int(np.argmax([-np.inf if v is None else v for v in r2]))]
+        best = tried[int(np.argmax([-np.inf if v is None or math.isnan(v) else v for v in r2]))]
         parts.append(fit_predict(train, test, cols, label, model, best, id_col).withColumn("fold", F.lit(f)))
     named = together(parts).withColumn("model_type", F.lit(model)).withColumn("cv_strategy", F.lit("nested"))
     return with_p_values(evaluate(named, ["model_type", "cv_strategy"], len(cols)))
@@ -365,7 +384,7 @@ def nested_cv(x: DataFrame, cols: list[str], model: str = "ridge", grid: dict[st
 def feature_importances(x: DataFrame, cols: list[str], model: str = "ridge", label: str = "ddG", settings: dict | None = None) -> DataFrame:
     """(feature, importance) of a fit on all rows: the trees' importances, or a linear model's coefficients on scaled columns."""
     if model == "ridge":
-        g = gram_matrices(gram_by_fold(x.withColumn("_f", F.lit(0)), cols, label, "_f"), len(cols) + 2)[0]
+        g, _ = gram_total(gram_by_fold(x.withColumn("_f", F.lit(0)), cols, label, "_f"), len(cols) + 2)
         sd = np.sqrt(np.maximum(np.diagonal(g)[1:-1] / g[0, 0] - (g[0, 1:-1] / g[0, 0]) ** 2, 0))
         values = ridge_from_gram(g, (settings or {}).get("alpha", 1.0))[0] * sd
     else:
@@ -378,19 +397,26 @@ def feature_importances(x: DataFrame, cols: list[str], model: str = "ridge", lab
 # ---------------------------------------------------------------- ablation
 
 
-def _fold_r2(grams: dict[int, np.ndarray], alpha: float, use: list[int]) -> float:
-    total = sum(grams.values())
-    return float(np.nanmean([scores_from_gram(g, *ridge_from_gram(total - g, alpha, use))[0] for g in grams.values()]))
+def gram_scores(gram: DataFrame, p: int, tries: list[tuple[float, list[int]]]) -> list[float]:
+    """Mean R² over folds of ridge fits (penalty, columns), each on the rows outside a fold; folds without variance do not count."""
+
+    def score(k: int, own: np.ndarray, rest: np.ndarray) -> list[tuple]:
+        r2 = [scores_from_gram(own, *ridge_from_gram(rest, alpha, use))[0] for alpha, use in tries]
+        return [(t, x) for t, x in enumerate(r2) if not math.isnan(x)]
+
+    means = by_fold(saved(gram, "gram"), p, score, "t int, r2 double").groupBy("t").agg(F.avg("r2").alias("r2")).collect()
+    found = {r.t: r.r2 for r in means}
+    return [found.get(t, math.nan) for t in range(len(tries))]
 
 
 def _without(x: DataFrame, cols: list[str], drops: dict[str, list[str]], model: str, label: str, settings: dict | None, id_col: str) -> tuple[float, dict[str, float]]:
     """Mean R² over folds (column fold) with all columns and without each set of them."""
     if model == "ridge":  # every refit is arithmetic on the same sums
-        grams = gram_matrices(gram_by_fold(x, cols, label), len(cols) + 2)
         alpha = (settings or {}).get("alpha", 1.0)
-        r2 = lambda left: _fold_r2(grams, alpha, [i for i, c in enumerate(cols) if c in left])
-    else:
-        r2 = lambda left: evaluate(predictions(x, left, label, model, settings, "fold", id_col).withColumn("m", F.lit(0)), ["m"]).first()["cv_r2_mean"]
+        tries = [(alpha, [i for i, c in enumerate(cols) if c not in gone]) for gone in [[], *drops.values()]]
+        full, *rest = gram_scores(gram_by_fold(x, cols, label), len(cols) + 2, tries)
+        return full, dict(zip(drops, rest, strict=True))
+    r2 = lambda left: evaluate(predictions(x, left, label, model, settings, "fold", id_col).withColumn("m", F.lit(0)), ["m"]).first()["cv_r2_mean"]
     return r2(cols), {name: r2([c for c in cols if c not in gone]) for name, gone in drops.items()}
 
 
