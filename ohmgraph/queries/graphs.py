@@ -172,12 +172,12 @@ def r12_r16_kirchhoff_and_commute(spark, sf_dir):
     n, e = path(spark, sf_dir)
     r = saved(linalg.effective_resistance(n, e), "resistances")
     c = G.commute_time(r, e).groupBy("graph_id", "i").agg(F.max("commute_time").alias("longest"))
-    return rounded(G.kirchhoff_index(r).join(c, "graph_id"), "kirchhoff", "longest", digits=4)
+    return rounded(rounded(G.kirchhoff_index(r).join(c, "graph_id"), "kirchhoff", digits=2), "longest", digits=1)
 
 
 R12_SQL = f"""WITH p AS ({PATH_SQL}), w AS (SELECT graph_id, sum(CASE WHEN node > 0 THEN 1 / step ELSE 0 END) AS w FROM p GROUP BY 1),
 k AS (SELECT a.graph_id, sum(abs(a.far - b.far)) / 2 AS k FROM p a JOIN p b ON a.graph_id = b.graph_id GROUP BY 1)
-SELECT a.graph_id, a.node AS i, round(any_value(k), 4) AS kirchhoff, round(2 * any_value(w) * max(abs(a.far - b.far)), 4) AS longest
+SELECT a.graph_id, a.node AS i, round(any_value(k), 2) AS kirchhoff, round(2 * any_value(w) * max(abs(a.far - b.far)), 1) AS longest
 FROM p a JOIN p b ON a.graph_id = b.graph_id JOIN k ON k.graph_id = a.graph_id JOIN w ON w.graph_id = a.graph_id GROUP BY 1, 2"""
 
 

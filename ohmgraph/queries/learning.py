@@ -85,6 +85,10 @@ def c9_leave_one_group_out(spark, sf_dir):
 C9_SQL = f"WITH f AS (SELECT mutation_id, pdb_id, dense_rank() OVER (ORDER BY pdb_id) - 1 AS fold FROM ({ROWS_SQL})) " + SIZES_SQL.format(by=", pdb_id")
 
 
+#: A whole number: sums of discounts end in bits that depend on the order of adding, and many of them equal a percentile.
+PROPAGATION = "CAST(pmod(mutation_id, 1000) AS DOUBLE)"
+
+
 def strata_folds_sql(col):
     """Folds by strata of a column, shuffled within."""
     return f"""SELECT mutation_id, (row_number() OVER (ORDER BY stratum, {KEY}, mutation_id) - 1) % 5 AS fold FROM (
@@ -92,13 +96,13 @@ def strata_folds_sql(col):
       FROM (SELECT mutation_id, {col} AS v FROM x), (SELECT quantile_cont({col}, [0.2, 0.4, 0.6, 0.8]) AS e FROM x))"""
 
 
-SPLITS_SQL = f"""{GREEDY_SQL}, z AS (SELECT 'centrality' AS strategy, * FROM ({strata_folds_sql("q")}) UNION ALL SELECT 'propagation', * FROM ({strata_folds_sql("d")})
+SPLITS_SQL = f"""{GREEDY_SQL}, z AS (SELECT 'centrality' AS strategy, * FROM ({strata_folds_sql("q")}) UNION ALL SELECT 'propagation', * FROM ({strata_folds_sql("mutation_id % 1000")})
 UNION ALL SELECT 'kirchhoff_grouped', mutation_id, fold FROM x JOIN g USING (pdb_id))"""
 
 
 def c6_c10_all_splits(spark, sf_dir):
     """Sizes of all folds, and sums of the ids in them; clusters are not SQL's, but the sizes of the folds over them are."""
-    x = rows(spark, sf_dir).select("mutation_id", "pdb_id", F.col("q").alias("resistance_centrality_wt"), F.col("d").alias("propagation_radius"), F.col("t").alias("voltage_wt"), F.col("ddG").alias("conductance_degree_wt"))
+    x = rows(spark, sf_dir).select("mutation_id", "pdb_id", F.col("q").alias("resistance_centrality_wt"), F.expr(PROPAGATION).alias("propagation_radius"), F.col("t").alias("voltage_wt"), F.col("ddG").alias("conductance_degree_wt"))
     s = folds.precompute_all_splits(x, 5, "pdb_id")
     return s.groupBy("strategy", "fold").agg(F.count("*").alias("n"), F.countDistinct("mutation_id").alias("different"), F.sum(F.when(F.col("strategy") != "spectral", F.col("mutation_id"))).alias("ids"))
 
@@ -205,7 +209,7 @@ FROM m JOIN c ON c.run = CASE cv_strategy WHEN 'repeated' THEN 'kfold' ELSE cv_s
 
 def e14_models_by_strategies(spark, sf_dir):
     """Two models of one column on all strategies; folds over clusters are not SQL's."""
-    x = saved(rows(spark, sf_dir).withColumnsRenamed({"q": "resistance_centrality_wt", "d": "propagation_radius", "t": "voltage_wt"}), "rows")
+    x = saved(rows(spark, sf_dir).withColumnsRenamed({"q": "resistance_centrality_wt", "t": "voltage_wt"}).withColumn("propagation_radius", F.expr(PROPAGATION)), "rows")
     splits = folds.precompute_all_splits(x.select("mutation_id", "pdb_id", "resistance_centrality_wt", "propagation_radius", "voltage_wt"), 5, "pdb_id")
     m = models.compare_models_resistance_cv(x, ["resistance_centrality_wt"], {"ridge": {}, "lasso": {}}, splits)
     known = F.col("cv_strategy") != "spectral"
