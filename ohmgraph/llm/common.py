@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +38,34 @@ def row_key(*cols: Column) -> list[Column]:
     return [F.xxhash64(F.lit(i), *parts).alias(f"_k{i}") for i in (1, 2)]
 
 
+def id_fold(doc_id: Column, folds: int) -> Column:
+    """crc32 of an id as text, modulo the number of folds."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
+
+
+def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> np.ndarray:
+    """Weights of a logistic curve, the constant last, by Newton's method."""
+    a = np.hstack([x, np.ones((len(x), 1))])
+    w, ridge = np.zeros(a.shape[1]), np.diag([penalty] * x.shape[1] + [1e-6])
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+        step = np.linalg.solve((a * (p * (1 - p) + 1e-9)[:, None]).T @ a + ridge, a.T @ (y - p) - ridge @ w)
+        w = w + step
+        if np.abs(step).max() < 1e-8:
+            break
+    return w
+
+
+@contextmanager
+def table_of(df: DataFrame, what: str) -> Iterator[DataFrame]:
+    """df written once and read back, for the length of a block; deleted at its end."""
+    back, path = saved_at(df, what)
+    try:
+        yield back
+    finally:
+        delete(df.sparkSession, path)
+
+
 _made: list[str] = []
 
 

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, line_dedup, mixing, multi_index, packing, personal_data, quality_rules, similarity, toxicity, url_filter
-from .common import table
+from . import fill_middle, license_scan, line_dedup, mixing, multi_index, packing, personal_data, quality_classifier, quality_rules, similarity, toxicity, url_filter
+from .common import id_fold, table
 
 URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
 UP = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -166,6 +166,43 @@ WITH r AS (
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM j WHERE k = 1
 """
 
+
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"), learn=id_fold(F.col("_id"), 3) != 1)
+    scored = quality_classifier.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", (id_fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    again = fill_middle.restored(F.col("output"), F.col("form"))
+    return made.select("_row.doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(again, 256).alias("restored_sha256"))
+
+
+OP13_SQL = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
+         sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS s
+  FROM documents
+), h AS (
+  SELECT *, CAST(len(u) AS BIGINT) AS n, CAST('0x' || substr(s, 1, 8) AS BIGINT) % (len(u) + 1) AS x, CAST('0x' || substr(s, 9, 8) AS BIGINT) % (len(u) + 1) AS y,
+         CAST('0x' || substr(s, 17, 8) AS BIGINT) % 100 AS h3, CAST('0x' || substr(s, 25, 8) AS BIGINT) % 100 AS h4
+  FROM d
+), p AS (
+  SELECT doc_id, n, t, array_to_string(u[1:least(x, y)], '') AS prefix, array_to_string(u[least(x, y) + 1:greatest(x, y)], '') AS middle,
+         array_to_string(u[greatest(x, y) + 1:], '') AS suffix,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 >= 90 THEN 'plain' WHEN h4 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM h
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+              ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_multi_index": op1_multi_index,
     "op2_license_scan": op2_license_scan,
@@ -177,6 +214,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_personal_data": op8_personal_data,
     "op9_url_filter": op9_url_filter,
     "op10_quality_rules": op10_quality_rules,
+    "op12_quality_classifier": op12_quality_classifier,
+    "op13_fill_middle": op13_fill_middle,
     "quality_ablation": quality_ablation,
 }
-ORACLES: dict[str, str] = {"op4_mixing": OP4_SQL, "op5_line_dedup": OP5_SQL, "op9_url_filter": OP9_SQL, "op10_quality_rules": OP10_SQL, "quality_ablation": ABLATION_SQL}
+ORACLES: dict[str, str] = {"op4_mixing": OP4_SQL, "op5_line_dedup": OP5_SQL, "op9_url_filter": OP9_SQL, "op10_quality_rules": OP10_SQL, "op13_fill_middle": OP13_SQL, "quality_ablation": ABLATION_SQL}
