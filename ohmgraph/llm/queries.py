@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fill_middle, license_scan, line_dedup, mixing, multi_index, packing, personal_data, quality_classifier, quality_rules, similarity, toxicity, url_filter
+from . import fill_middle, license_scan, line_dedup, mixing, multi_index, packing, personal_data, quality_classifier, quality_rules, similarity, toxicity, url_filter, vector_codes
 from .common import id_fold, table
 
 URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
@@ -167,6 +167,47 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM j W
 """
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    out = vector_codes.with_label_error(codes).withColumn("codebooks_sha256", F.lit(vector_codes.digest(books)))
+    return out.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op11_sql(rounds: int = 4) -> str:
+    """Plain Lloyd iterations, a step for each; squared distances and indexes share a number, whose least is the nearest entry."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+a{r} AS MATERIALIZED (
+  SELECT row, x.p, min(CAST(x.xx - 2 * list_dot_product(x.x, b.c) + list_dot_product(b.c, b.c) AS BIGINT) * 256 + e) AS m
+  FROM x JOIN b{r} b ON x.p = b.p GROUP BY row, x.p
+)""")
+        if r < rounds:
+            steps.append(f"""
+b{r + 1} AS MATERIALIZED (
+  WITH s AS (SELECT p, e, i, CAST(sum(v) AS BIGINT) AS s, count(*) AS n FROM (
+         SELECT a.p, m % 256 AS e, unnest(range(1, w + 1)) AS i, unnest(x.x) AS v FROM a{r} a JOIN x ON a.row = x.row AND a.p = x.p) GROUP BY p, e, i),
+  n AS (SELECT p, e, list(CAST((s - ((s % n) + n) % n) // n AS DOUBLE) ORDER BY i) AS c FROM s GROUP BY p, e)
+  SELECT b.p, b.e, coalesce(n.c, b.c) AS c FROM b{r} b LEFT JOIN n ON b.p = n.p AND b.e = n.e
+)""")
+    return f"""
+WITH k AS MATERIALIZED (
+  SELECT *, row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) - 1 AS row, len(embedding) // 4 AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), x AS MATERIALIZED (
+  SELECT *, list_dot_product(x, x) AS xx FROM (
+    SELECT row, w, p, list_transform(embedding[p * w + 1:(p + 1) * w], lambda v: floor(1024 * CAST(v AS DOUBLE))) AS x FROM k, range(4) AS r(p))
+), b0 AS MATERIALIZED (SELECT p, row AS e, x AS c FROM x WHERE row < 256
+), {", ".join(steps)}
+, o AS (SELECT row, string_agg(format('{{:02x}}', m % 256), '' ORDER BY p) AS code, CAST(sum(m // 256) AS BIGINT) AS error FROM a{rounds} GROUP BY row
+), h AS (
+  SELECT sha256(string_agg(CAST(CAST(v AS BIGINT) AS VARCHAR), ',' ORDER BY p, e, i)) AS s
+  FROM (SELECT p, e, unnest(range(len(c))) AS i, unnest(c) AS v FROM b{rounds})
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, s AS codebooks_sha256 FROM k JOIN o USING (row), h
+"""
+
+
 def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"), learn=id_fold(F.col("_id"), 3) != 1)
@@ -214,8 +255,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_personal_data": op8_personal_data,
     "op9_url_filter": op9_url_filter,
     "op10_quality_rules": op10_quality_rules,
+    "op11_vector_codes": op11_vector_codes,
     "op12_quality_classifier": op12_quality_classifier,
     "op13_fill_middle": op13_fill_middle,
     "quality_ablation": quality_ablation,
 }
-ORACLES: dict[str, str] = {"op4_mixing": OP4_SQL, "op5_line_dedup": OP5_SQL, "op9_url_filter": OP9_SQL, "op10_quality_rules": OP10_SQL, "op13_fill_middle": OP13_SQL, "quality_ablation": ABLATION_SQL}
+ORACLES: dict[str, str] = {"op4_mixing": OP4_SQL, "op5_line_dedup": OP5_SQL, "op9_url_filter": OP9_SQL, "op10_quality_rules": OP10_SQL, "op11_vector_codes": op11_sql(), "op13_fill_middle": OP13_SQL, "quality_ablation": ABLATION_SQL}
