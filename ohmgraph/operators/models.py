@@ -1,7 +1,7 @@
 """Models, their evaluation on folds, and ablation.
 
-Linear models with a ridge penalty come from one pass: the sums that a least-squares fit needs are added by fold, and a
-fold's training sums are the total's less its own. Tree models are Spark's, fitted on the rows outside a fold.
+Linear models come from one pass: the sums that a least-squares fit needs are added by fold, and a fold's training sums
+are the total's less its own (linear.py does the arithmetic, also for whole grids of penalties).
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from ..functions.columns import correlation
 from ..schema import FEATURE_GROUPS
 from ..storage import saved
 from . import folds as cv
+from . import linear
+from .linear import scores as scores_from_gram  # noqa: F401  (its older name)
 
 ID = "mutation_id"
 LEAST = 4  # rows under which a model is not evaluated
@@ -47,16 +49,18 @@ def gram_by_fold(df: DataFrame, cols: list[str], label: str, fold: str = "fold")
     upper = np.triu_indices(p)
 
     def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, np.ndarray] = {}
+        at, g = None, None  # rows come fold by fold, so one matrix is held, however many folds there are
         for f in frames:
             for k, part in f.groupby("_f"):
                 a = np.column_stack([np.ones(len(part)), part.drop(columns="_f").to_numpy(float)])
-                held[k] = held.get(k, 0) + a.T @ a
-        for k, g in held.items():
-            yield pd.DataFrame({"fold": k, "i": upper[0], "j": upper[1], "value": g[upper]})
+                if at is not None and k != at:
+                    yield pd.DataFrame({"fold": at, "i": upper[0], "j": upper[1], "value": g[upper]})
+                g, at = a.T @ a + (g if k == at else 0), k
+        if at is not None:
+            yield pd.DataFrame({"fold": at, "i": upper[0], "j": upper[1], "value": g[upper]})
 
     flat = df.select(F.col(fold).cast("int").alias("_f"), *[F.col(c).cast("double") for c in [*cols, label]])
-    return flat.mapInPandas(sums, "fold int, i int, j int, value double").groupBy("fold", "i", "j").agg(F.sum("value").alias("value"))
+    return flat.sortWithinPartitions("_f").mapInPandas(sums, "fold int, i int, j int, value double").groupBy("fold", "i", "j").agg(F.sum("value").alias("value"))
 
 
 def gram_matrix(rows, p: int) -> np.ndarray:
@@ -86,40 +90,33 @@ def by_fold(gram: DataFrame, p: int, make, schema: str) -> DataFrame:
 
 
 def ridge_from_gram(g: np.ndarray, alpha: float = 1.0, use: list[int] | None = None) -> tuple[np.ndarray, float]:
-    """Coefficients and intercept of a ridge fit on standardised columns, from A'A with the label last. Columns outside use get 0."""
-    n, p = g[0, 0], len(g) - 2
-    at = np.array(use if use is not None else range(p), int)
-    coef = np.zeros(p)
-    mean, y_mean = g[0, 1 : p + 1] / n, g[0, -1] / n
-    cov = g[1 : p + 1, 1 : p + 1] / n - np.outer(mean, mean)
-    xy = g[1 : p + 1, -1] / n - mean * y_mean
-    sd = np.sqrt(np.maximum(np.diagonal(cov), 0))
-    sd = np.where(sd > 1e-12, sd, 1.0)
-    if len(at):
-        z = cov[np.ix_(at, at)] / np.outer(sd[at], sd[at])
-        coef[at] = np.linalg.solve(z + alpha / n * np.eye(len(at)), xy[at] / sd[at]) / sd[at]
-    return coef, float(y_mean - coef @ mean)
-
-
-def scores_from_gram(g: np.ndarray, coef: np.ndarray, intercept: float) -> tuple[float, float]:
-    """R² and mean squared error on the rows that A'A was added from."""
-    b = np.concatenate([[intercept], coef, [-1.0]])
-    sse, n = float(b @ g @ b), g[0, 0]
-    sst = float(g[-1, -1] - g[0, -1] ** 2 / n)
-    return (1 - sse / sst if sst > 0 else math.nan), sse / n
+    return linear.fit(g, "ridge", {"alpha": alpha}, use)
 
 
-def ridge_predictions(df: DataFrame, cols: list[str], label: str = "ddG", alpha: float = 1.0, fold: str = "fold", id_col: str = ID) -> DataFrame:
+def linear_predictions(df: DataFrame, cols: list[str], label: str = "ddG", model: str = "ridge", settings: dict | None = None, fold: str = "fold", id_col: str = ID) -> DataFrame:
     """(id, fold, y, yhat), each row by the fit on the rows outside its fold."""
+    chosen = MODELS[model] | (settings or {})
+
     def fit(k: int, own: np.ndarray, rest: np.ndarray) -> list[tuple]:
-        coef, b = ridge_from_gram(rest, alpha)
+        coef, b = linear.fit(rest, model, chosen)
         return [(k, coef.tolist(), b)]
 
     gram = saved(gram_by_fold(df, cols, label, fold), "gram")
-    table = saved(by_fold(gram, len(cols) + 2, fit, "_of int, _coef array<double>, _b double"), "fits")
+    return with_fits(df, saved(by_fold(gram, len(cols) + 2, fit, FITS), "fits"), cols, label, fold, id_col)
+
+
+FITS = "_of int, _coef array<double>, _b double"
+
+
+def with_fits(df: DataFrame, fits: DataFrame, cols: list[str], label: str, fold: str, id_col: str) -> DataFrame:
+    """(id, fold, y, yhat) of rows by the fit of their fold."""
     x = F.array(*[F.col(c).cast("double") for c in cols])
     dot = F.aggregate(F.zip_with(x, "_coef", lambda a, b: a * b), F.col("_b"), lambda a, b: a + b)
-    return df.join(table, F.col(fold) == F.col("_of")).select(id_col, F.col(fold).alias("fold"), F.col(label).cast("double").alias("y"), dot.alias("yhat"))
+    return df.join(fits, F.col(fold) == F.col("_of")).select(id_col, F.col(fold).alias("fold"), F.col(label).cast("double").alias("y"), dot.alias("yhat"))
+
+
+def ridge_predictions(df: DataFrame, cols: list[str], label: str = "ddG", alpha: float = 1.0, fold: str = "fold", id_col: str = ID) -> DataFrame:
+    return linear_predictions(df, cols, label, "ridge", {"alpha": alpha}, fold, id_col)
 
 
 # ---------------------------------------------------------------- Spark's models
@@ -149,8 +146,8 @@ def assembled(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def estimator(kind: str, label: str, settings: dict, seed: int = 42):
-    """Spark's estimator for a model; linear ones expect standardised columns."""
-    from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+    """Spark's estimator for a model of trees."""
+    from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 
     both = {"featuresCol": "_x", "labelCol": label, "predictionCol": "yhat"}
     s = MODELS.get(kind, {}) | settings
@@ -158,33 +155,19 @@ def estimator(kind: str, label: str, settings: dict, seed: int = 42):
         return GBTRegressor(maxIter=s["n"], maxDepth=s["depth"], stepSize=s["rate"], subsamplingRate=s["subsample"], minInstancesPerNode=s.get("leaf", 5), seed=seed, cacheNodeIds=True, checkpointInterval=20, **both)
     if kind == "rf":
         return RandomForestRegressor(numTrees=s["n"], maxDepth=s["depth"] or 30, minInstancesPerNode=s["leaf"], seed=seed, **both)
-    if kind in ("elastic_net", "lasso"):
-        a, l1 = s["alpha"] * s["l1"], s["alpha"] * (1 - s["l1"])
-        reg = a + l1 * s.get("sd", 1.0)  # Spark divides the squared part by the label's deviation
-        return LinearRegression(regParam=reg, elasticNetParam=a / reg if reg else 0.0, standardization=False, solver="l-bfgs", maxIter=500, tol=1e-10, **both)
     raise ValueError(f"unknown model: {kind}")
 
 
-def scaled(train: DataFrame, others: list[DataFrame], cols: list[str]) -> list[DataFrame]:
-    """The tables, scaled by the first one's means and population deviations."""
-    stats = train.agg(*[f(c).alias(f"{n}{c}") for c in cols for n, f in (("m_", F.avg), ("d_", F.stddev_pop))]).first()
-    by = {c: (F.col(c) - (stats[f"m_{c}"] or 0.0)) / (stats[f"d_{c}"] if (stats[f"d_{c}"] or 0.0) > 1e-12 else 1.0) for c in cols}
-    return [df.withColumns(by) for df in (train, *others)]
-
-
 def fit_predict(train: DataFrame, test: DataFrame, cols: list[str], label: str = "ddG", model: str = "gbt", settings: dict | None = None, id_col: str = ID, seed: int = 42) -> DataFrame:
     """(id, y, yhat) of the test rows."""
     settings = settings or {}
-    if model == "ridge":
+    if model in linear.KINDS:
         both = train.withColumn("_f", F.lit(0)).unionByName(test.withColumn("_f", F.lit(1)), allowMissingColumns=True)
-        return ridge_predictions(both, cols, label, settings.get("alpha", 1.0), "_f", id_col).where("fold = 1").drop("fold") if not test.isEmpty() else test.select(id_col, F.col(label).alias("y"), F.lit(None).cast("double").alias("yhat"))
+        return linear_predictions(both, cols, label, model, settings, "_f", id_col).where("fold = 1").drop("fold") if not test.isEmpty() else test.select(id_col, F.col(label).alias("y"), F.lit(None).cast("double").alias("yhat"))
     if model == "stacking":
         return stacked(train, test, cols, label, settings, id_col, seed)
-    a, b = scaled(train, [test], cols) if model in ("elastic_net", "lasso") else (train, test)
-    if model in ("elastic_net", "lasso"):
-        settings = settings | {"sd": train.agg(F.stddev_samp(label)).first()[0] or 1.0}
-    fitted = estimator(model, label, settings, seed).fit(assembled(a, cols))
-    return fitted.transform(assembled(b, cols)).select(id_col, F.col(label).cast("double").alias("y"), "yhat")
+    fitted = estimator(model, label, settings, seed).fit(assembled(train, cols))
+    return fitted.transform(assembled(test, cols)).select(id_col, F.col(label).cast("double").alias("y"), "yhat")
 
 
 def stacked(train: DataFrame, test: DataFrame, cols: list[str], label: str, settings: dict, id_col: str, seed: int) -> DataFrame:
@@ -203,9 +186,9 @@ def stacked(train: DataFrame, test: DataFrame, cols: list[str], label: str, sett
 
 
 def predictions(df: DataFrame, cols: list[str], label: str = "ddG", model: str = "ridge", settings: dict | None = None, fold: str = "fold", id_col: str = ID) -> DataFrame:
-    """(id, fold, y, yhat) out of fold; the folds of a ridge take one pass, other models are fitted fold by fold."""
-    if model == "ridge":
-        return ridge_predictions(df, cols, label, (settings or {}).get("alpha", 1.0), fold, id_col)
+    """(id, fold, y, yhat) out of fold; the folds of a linear model take one pass, other models are fitted fold by fold."""
+    if model in linear.KINDS:
+        return linear_predictions(df, cols, label, model, settings, fold, id_col)
     held = saved(df.select(id_col, label, fold, *cols), "folds")
     ks = sorted(r[0] for r in held.select(fold).distinct().collect())
     parts = [fit_predict(held.where(F.col(fold) != k), held.where(F.col(fold) == k), cols, label, model, settings, id_col).withColumn("fold", F.lit(k)) for k in ks]
@@ -364,44 +347,77 @@ def combinations(grid: dict[str, list]) -> list[dict]:
 
 def nested_cv(x: DataFrame, cols: list[str], model: str = "ridge", grid: dict[str, list] | None = None, k: int = 5, inner: int = 3, label: str = "ddG", id_col: str = ID) -> DataFrame:
     """Outer folds, each predicted with the settings that do best (R²) in inner folds of the rest."""
+    tried = combinations(grid or GRIDS.get(model, {}))
+    if model in linear.KINDS:
+        preds = nested_linear(x, cols, model, tried, k, inner, label, id_col)
+    else:
+        preds = nested_by_fits(x, cols, model, tried, k, inner, label, id_col)
+    named = preds.withColumn("model_type", F.lit(model)).withColumn("cv_strategy", F.lit("nested"))
+    return with_p_values(evaluate(named, ["model_type", "cv_strategy"], len(cols)))
+
+
+def inner_fold(place: int, outer: int, k: int, inner: int) -> int:
+    """The inner fold that a row at a place of the shuffled order has among the rows outside an outer fold, which takes every k-th place."""
+    return (place - (place + k - 1 - outer) // k) % inner
+
+
+def nested_linear(x: DataFrame, cols: list[str], model: str, tried: list[dict], k: int, inner: int, label: str, id_col: str) -> DataFrame:
+    """(id, fold, y, yhat) with the whole grid from one pass over the rows.
+
+    Outer and inner folds both follow from a row's place in one shuffled order, and repeat with k * inner places. So sums for
+    each place modulo k * inner are all that any training set of any fold needs.
+    """
+    placed = saved(x.join(cv.shuffled_rank(x.select(id_col), [], 42, id_col), id_col), "placed")
+    p, classes = len(cols) + 2, k * inner
+    rows = gram_by_fold(placed.withColumn("_class", F.pmod("_rank", F.lit(classes))), cols, label, "_class").collect()  # k * inner matrices
+    grams = np.zeros((classes, p, p))
+    for c, i, j, value in rows:
+        grams[c, i, j] = grams[c, j, i] = value
+    settings = [MODELS[model] | s for s in tried]
+
+    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for fold in f["id"]:
+                rest = [c for c in range(classes) if c % k != fold]
+                best = linear.best_setting(grams[rest], [inner_fold(c, fold, k, inner) for c in rest], model, settings)
+                coef, b = linear.fit(grams[rest].sum(0), model, settings[best])
+                yield pd.DataFrame({"_of": [fold], "_coef": [coef.tolist()], "_b": [b]})
+
+    fits = saved(x.sparkSession.range(0, k, 1, k).mapInPandas(search, FITS), "fits")
+    return with_fits(placed.withColumn("fold", F.pmod("_rank", F.lit(k)).cast("int")), fits, cols, label, "fold", id_col)
+
+
+def nested_by_fits(x: DataFrame, cols: list[str], model: str, tried: list[dict], k: int, inner: int, label: str, id_col: str) -> DataFrame:
     outer = saved(x.join(cv.kfold(x, k, True, 42, id_col), id_col), "outer")
     parts = []
     for f in range(k):
         train, test = outer.where(F.col("fold") != f).drop("fold"), outer.where(F.col("fold") == f).drop("fold")
         within = saved(train.join(cv.kfold(train, inner, True, 42, id_col), id_col), "inner")
-        tried = combinations(grid or GRIDS.get(model, {}))
-        if model == "ridge":  # every penalty is arithmetic on the same sums
-            every = list(range(len(cols)))
-            r2 = gram_scores(gram_by_fold(within, cols, label), len(cols) + 2, [(s.get("alpha", 1.0), every) for s in tried])
-        else:
-            r2 = [evaluate(predictions(within, cols, label, model, s, "fold", id_col).withColumn("m", F.lit(0)), ["m"]).first()["cv_r2_mean"] for s in tried]
+        r2 = [evaluate(predictions(within, cols, label, model, s, "fold", id_col).withColumn("m", F.lit(0)), ["m"]).first()["cv_r2_mean"] for s in tried]
         best = tried[int(np.argmax([-np.inf if v is None or math.isnan(v) else v for v in r2]))]
         parts.append(fit_predict(train, test, cols, label, model, best, id_col).withColumn("fold", F.lit(f)))
-    named = together(parts).withColumn("model_type", F.lit(model)).withColumn("cv_strategy", F.lit("nested"))
-    return with_p_values(evaluate(named, ["model_type", "cv_strategy"], len(cols)))
+    return together(parts).select(id_col, "fold", "y", "yhat")
 
 
 def feature_importances(x: DataFrame, cols: list[str], model: str = "ridge", label: str = "ddG", settings: dict | None = None) -> DataFrame:
     """(feature, importance) of a fit on all rows: the trees' importances, or a linear model's coefficients on scaled columns."""
-    if model == "ridge":
+    if model in linear.KINDS:
         g, _ = gram_total(gram_by_fold(x.withColumn("_f", F.lit(0)), cols, label, "_f"), len(cols) + 2)
         sd = np.sqrt(np.maximum(np.diagonal(g)[1:-1] / g[0, 0] - (g[0, 1:-1] / g[0, 0]) ** 2, 0))
-        values = ridge_from_gram(g, (settings or {}).get("alpha", 1.0))[0] * sd
+        values = linear.fit(g, model, MODELS[model] | (settings or {}))[0] * sd
     else:
-        (a,) = scaled(x, [], cols) if model in ("elastic_net", "lasso") else (x,)
-        fitted = estimator(model, label, settings or {}).fit(assembled(a, cols))
-        values = (fitted.featureImportances if model in ("gbt", "rf") else fitted.coefficients).toArray()
+        values = estimator(model, label, settings or {}).fit(assembled(x, cols)).featureImportances.toArray()
     return x.sparkSession.createDataFrame([(c, float(v)) for c, v in zip(cols, values, strict=True)], "feature string, importance double")
 
 
 # ---------------------------------------------------------------- ablation
 
 
-def gram_scores(gram: DataFrame, p: int, tries: list[tuple[float, list[int]]]) -> list[float]:
-    """Mean R² over folds of ridge fits (penalty, columns), each on the rows outside a fold; folds without variance do not count."""
+def gram_scores(gram: DataFrame, p: int, tries: list[tuple[str, dict, list[int]]]) -> list[float]:
+    """Mean R² over folds of linear fits (model, settings, columns), each on the rows outside a fold; folds without variance do not count."""
 
     def score(k: int, own: np.ndarray, rest: np.ndarray) -> list[tuple]:
-        r2 = [scores_from_gram(own, *ridge_from_gram(rest, alpha, use))[0] for alpha, use in tries]
+        r2 = [linear.scores(own, *linear.fit(rest, model, settings, use))[0] for model, settings, use in tries]
         return [(t, x) for t, x in enumerate(r2) if not math.isnan(x)]
 
     means = by_fold(saved(gram, "gram"), p, score, "t int, r2 double").groupBy("t").agg(F.avg("r2").alias("r2")).collect()
@@ -411,9 +427,8 @@ def gram_scores(gram: DataFrame, p: int, tries: list[tuple[float, list[int]]]) -
 
 def _without(x: DataFrame, cols: list[str], drops: dict[str, list[str]], model: str, label: str, settings: dict | None, id_col: str) -> tuple[float, dict[str, float]]:
     """Mean R² over folds (column fold) with all columns and without each set of them."""
-    if model == "ridge":  # every refit is arithmetic on the same sums
-        alpha = (settings or {}).get("alpha", 1.0)
-        tries = [(alpha, [i for i, c in enumerate(cols) if c not in gone]) for gone in [[], *drops.values()]]
+    if model in linear.KINDS:  # every refit is arithmetic on the same sums
+        tries = [(model, MODELS[model] | (settings or {}), [i for i, c in enumerate(cols) if c not in gone]) for gone in [[], *drops.values()]]
         full, *rest = gram_scores(gram_by_fold(x, cols, label), len(cols) + 2, tries)
         return full, dict(zip(drops, rest, strict=True))
     r2 = lambda left: evaluate(predictions(x, left, label, model, settings, "fold", id_col).withColumn("m", F.lit(0)), ["m"]).first()["cv_r2_mean"]

@@ -225,17 +225,44 @@ FROM e JOIN c USING (m, run) GROUP BY 1, 2 UNION ALL SELECT m, 'spectral', (SELE
 
 
 def e15_nested_cv(spark, sf_dir):
-    return shown(models.nested_cv(saved(rows(spark, sf_dir), "rows"), ["q"], "ridge", {"alpha": [0.1, 100.0]}, 3), "model_type", "cv_strategy")
+    return shown(models.nested_cv(saved(rows(spark, sf_dir), "rows"), ["q"], "ridge"), "model_type", "cv_strategy")
 
 
-E15_SQL = f"""WITH x AS ({ROWS_SQL}), o AS (SELECT *, (row_number() OVER (ORDER BY {KEY}, mutation_id) - 1) % 3 AS fold FROM x),
-i AS (SELECT k, o.*, (row_number() OVER (PARTITION BY k ORDER BY {KEY}, mutation_id) - 1) % 3 AS part FROM o, range(3) t(k) WHERE fold <> k),
-f AS (SELECT k, j, covar_pop(ddG, q) / var_pop(q) AS b, avg(ddG) AS my, avg(q) AS mq, count(*) AS n FROM i, range(3) u(j) WHERE part <> j GROUP BY 1, 2),
-v AS (SELECT i.k, j, a, 1 - sum(pow(ddG - my - b / (1 + a / n) * (q - mq), 2)) / (var_pop(ddG) * count(*)) AS r2 FROM i JOIN f ON f.k = i.k AND f.j = i.part, (VALUES (0.1::DOUBLE), (100.0::DOUBLE)) t(a) GROUP BY 1, 2, 3),
-best AS (SELECT k, a FROM (SELECT k, a, row_number() OVER (PARTITION BY k ORDER BY avg(r2) DESC, a) AS r FROM v GROUP BY 1, 2) WHERE r = 1),
-g AS (SELECT k, covar_pop(ddG, q) / (var_pop(q) * (1 + any_value(a) / count(*))) AS b, avg(ddG) AS my, avg(q) AS mq FROM i JOIN best USING (k) GROUP BY 1),
+def e15_nested_elastic_net(spark, sf_dir):
+    return shown(models.nested_cv(saved(rows(spark, sf_dir), "rows"), ["q"], "elastic_net"), "model_type", "cv_strategy")
+
+
+# How the slope of one standardised column follows from c, its covariance with the label, n rows and the settings a and l.
+SLOPES = {"ridge": "c / (1 + a / n)", "elastic_net": "sign(c) * greatest(0, abs(c) - a * l) / (1 + a * (1 - l))"}
+
+
+def nested_sql(model):
+    """Five outer folds, each with the settings that do best in three inner ones; equal settings by their order."""
+    tried = models.combinations(models.GRIDS[model])
+    values = ", ".join(f"({i}, {s['alpha']}::DOUBLE, {s.get('l1', 0)}::DOUBLE)" for i, s in enumerate(tried))
+    fit = "covar_pop(ddG, q) / stddev_pop(q) AS c, stddev_pop(q) AS sd, avg(ddG) AS my, avg(q) AS mq, count(*) AS n"
+    return f"""WITH x AS ({ROWS_SQL}), o AS (SELECT *, (row_number() OVER (ORDER BY {KEY}, mutation_id) - 1) % 5 AS fold FROM x), t AS (SELECT * FROM (VALUES {values}) t(nth, a, l)),
+i AS (SELECT k, o.*, (row_number() OVER (PARTITION BY k ORDER BY {KEY}, mutation_id) - 1) % 3 AS part FROM o, range(5) t(k) WHERE fold <> k),
+f AS (SELECT k, j, {fit} FROM i, range(3) u(j) WHERE part <> j GROUP BY 1, 2),
+v AS (SELECT i.k, j, nth, 1 - sum(pow(ddG - my - ({SLOPES[model]}) * (q - mq) / sd, 2)) / (var_pop(ddG) * count(*)) AS r2 FROM i JOIN f ON f.k = i.k AND f.j = i.part, t GROUP BY 1, 2, 3),
+best AS (SELECT k, nth FROM (SELECT k, nth, row_number() OVER (PARTITION BY k ORDER BY avg(r2) DESC, nth) AS r FROM v GROUP BY 1, 2) WHERE r = 1),
+g AS (SELECT k, ({SLOPES[model]}) / sd AS b, my, mq FROM (SELECT k, {fit} FROM i GROUP BY 1) JOIN best USING (k) JOIN t USING (nth)),
 p AS (SELECT fold, ddG AS y, my + b * (q - mq) AS yhat FROM o JOIN g ON g.k = o.fold), e AS (SELECT fold, 1 - sum((y - yhat) * (y - yhat)) / (var_pop(y) * count(*)) AS r2, avg((y - yhat) * (y - yhat)) AS mse, count(*) AS n FROM p GROUP BY 1)
-SELECT 'ridge' AS model_type, 'nested' AS cv_strategy, CAST(sum(n) AS BIGINT) AS n_samples, CAST(count(*) AS INTEGER) AS n_folds, round(avg(r2), 4) AS cv_r2_mean, round(sqrt(avg(mse)), 4) AS cv_rmse_mean, (SELECT round(corr(y, yhat), 4) FROM p) AS pearson_r FROM e"""
+SELECT '{model}' AS model_type, 'nested' AS cv_strategy, CAST(sum(n) AS BIGINT) AS n_samples, CAST(count(*) AS INTEGER) AS n_folds, round(avg(r2), 4) AS cv_r2_mean, round(sqrt(avg(mse)), 4) AS cv_rmse_mean, (SELECT round(corr(y, yhat), 4) FROM p) AS pearson_r FROM e"""
+
+
+def e5_penalised_one_column(spark, sf_dir):
+    """Elastic net and lasso on one column, as the models are set and with larger penalties."""
+    x = saved(with_folds(spark, sf_dir), "rows")
+    parts = [models.linear_predictions(x, ["q"], "ddG", m, {"alpha": a}).withColumn("model", F.lit(m)).withColumn("alpha", F.lit(a)) for m in ("elastic_net", "lasso") for a in E5_ALPHAS]
+    return rounded(models.together(parts).groupBy("model", "alpha", "fold").agg(F.avg("yhat").alias("mean"), F.max("yhat").alias("most")), "mean", "most", digits=4)
+
+
+E5_ALPHAS = [0.1, 5.0, 1000.0]
+E5_SQL = f"""WITH x AS (SELECT *, mutation_id % 5 AS fold FROM ({ROWS_SQL})),
+f AS (SELECT k, covar_pop(ddG, q) / stddev_pop(q) AS c, stddev_pop(q) AS sd, avg(ddG) AS my, avg(q) AS mq FROM x, range(5) u(k) WHERE fold <> k GROUP BY 1),
+p AS (SELECT m AS model, a AS alpha, fold, my + ({SLOPES["elastic_net"]}) * (q - mq) / sd AS yhat FROM x JOIN f ON f.k = x.fold, (VALUES ('elastic_net', 0.5::DOUBLE), ('lasso', 1.0::DOUBLE)) t(m, l), (SELECT unnest({E5_ALPHAS}::DOUBLE[]) AS a))
+SELECT model, alpha, CAST(fold AS INTEGER) AS fold, round(avg(yhat), 4) AS mean, round(max(yhat), 4) AS most FROM p GROUP BY 1, 2, 3"""
 
 
 def e16_importances(spark, sf_dir):
@@ -375,7 +402,8 @@ BOTH = {
     "c1_quantile_strata": (c1_quantile_strata, C1_SQL), "c2_c4_property_folds": (c2_c4_property_folds, C2_SQL), "c5_group_folds": (c5_group_folds, C5_SQL), "c7_kfold": (c7_kfold, C7_SQL),
     "c8_repeated_kfold": (c8_repeated_kfold, C8_SQL), "c9_leave_one_group_out": (c9_leave_one_group_out, C9_SQL), "c6_c10_all_splits": (c6_c10_all_splits, C10_SQL),
     "e1_standardize": (e1_standardize, E1_SQL), "e4_ridge_one_column": (e4_e12_ridge_one_column, E4_SQL), "e12_gram_by_fold": (e12_gram_by_fold, E12_SQL), "e7_e10_evaluate": (e7_evaluate, E7_SQL), "e9_spearman": (e9_spearman, E9_SQL),
-    "e2_e13_compare_models": (e2_e13_compare_models, None), "e8_e11_multi_cv": (e11_multi_cv, E11_SQL), "e14_models_by_strategies": (e14_models_by_strategies, E14_SQL), "e15_nested_cv": (e15_nested_cv, E15_SQL),
+    "e2_e13_compare_models": (e2_e13_compare_models, None), "e8_e11_multi_cv": (e11_multi_cv, E11_SQL), "e14_models_by_strategies": (e14_models_by_strategies, E14_SQL), "e15_nested_cv": (e15_nested_cv, nested_sql("ridge")),
+    "e15_nested_elastic_net": (e15_nested_elastic_net, nested_sql("elastic_net")), "e5_penalised_one_column": (e5_penalised_one_column, E5_SQL),
     "e16_importances": (e16_importances, E16_SQL), "e17_feature_ablation": (e17_feature_ablation, E17_SQL), "e18_group_ablation": (e18_group_ablation, E18_SQL), "e19_conductance_sensitivity": (e19_conductance_sensitivity, None),
     "t1_best_per_key": (t1_best_per_key, T1_SQL), "t2_comparison_table": (t2_comparison_table, T2_SQL), "t3_tiers": (t3_tiers, T3_SQL), "t4_metric_pivot": (t4_metric_pivot, T4_SQL), "t5_dataset_summary": (t5_dataset_summary, T5_SQL),
     "t6_feature_histograms": (t6_feature_histograms, T6_SQL), "t7_feature_target_corr": (t7_feature_target_corr, T7_SQL), "t8_prediction_summary": (t8_prediction_summary, T8_SQL), "t9_top_importances": (t9_top_importances, T9_SQL),
