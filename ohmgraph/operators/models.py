@@ -1,7 +1,8 @@
 """Models, their evaluation on folds, and ablation.
 
 Linear models come from one pass: the sums that a least-squares fit needs are added by fold, and a fold's training sums
-are the total's less its own (linear.py does the arithmetic, also for whole grids of penalties).
+are the total's less its own (linear.py does the arithmetic, also for whole grids of penalties). Trees of all folds of a
+cross-validation grow together (trees.py); a single fit of trees is Spark's.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from ..functions.columns import correlation
 from ..schema import FEATURE_GROUPS
 from ..storage import saved
 from . import folds as cv
-from . import linear
+from . import linear, trees
 from .linear import scores as scores_from_gram  # noqa: F401  (its older name)
 
 ID = "mutation_id"
@@ -125,6 +126,7 @@ def ridge_predictions(df: DataFrame, cols: list[str], label: str = "ddG", alpha:
 MODELS = {
     "gbt": {"n": 500, "depth": 5, "rate": 0.02, "subsample": 0.8, "leaf": 5},
     "rf": {"n": 300, "depth": 10, "leaf": 3},
+    "extra_trees": {"n": 300, "depth": 10, "leaf": 3},
     "ridge": {"alpha": 1.0},
     "elastic_net": {"alpha": 0.1, "l1": 0.5},
     "lasso": {"alpha": 0.1, "l1": 1.0},
@@ -132,8 +134,8 @@ MODELS = {
 }
 # What nested cross-validation tries.
 GRIDS = {
-    "gbt": {"n": [300, 500], "depth": [4, 5], "rate": [0.02, 0.05], "subsample": [0.8]},
-    "rf": {"n": [200, 300], "depth": [8, 10, None], "leaf": [2, 3]},
+    "gbt": {"n": [200, 500], "depth": [4, 5], "rate": [0.02, 0.05], "subsample": [0.8]},
+    "rf": {"n": [200, 500], "depth": [8, 12, None], "leaf": [2, 5]},
     "ridge": {"alpha": [0.01, 0.1, 1.0, 10.0, 100.0]},
     "elastic_net": {"alpha": [0.01, 0.1, 1.0], "l1": [0.2, 0.5, 0.8]},
 }
@@ -166,6 +168,9 @@ def fit_predict(train: DataFrame, test: DataFrame, cols: list[str], label: str =
         return linear_predictions(both, cols, label, model, settings, "_f", id_col).where("fold = 1").drop("fold") if not test.isEmpty() else test.select(id_col, F.col(label).alias("y"), F.lit(None).cast("double").alias("yhat"))
     if model == "stacking":
         return stacked(train, test, cols, label, settings, id_col, seed)
+    if model == "extra_trees":
+        both = train.withColumn("_f", F.lit(0)).unionByName(test.withColumn("_f", F.lit(1)), allowMissingColumns=True)
+        return tree_predictions(both, cols, label, model, settings, "_f", id_col, [1]).drop("fold")
     fitted = estimator(model, label, settings, seed).fit(assembled(train, cols))
     return fitted.transform(assembled(test, cols)).select(id_col, F.col(label).cast("double").alias("y"), "yhat")
 
@@ -174,21 +179,32 @@ def stacked(train: DataFrame, test: DataFrame, cols: list[str], label: str, sett
     """Base models' out-of-fold predictions feed a ridge; base models fitted on all training rows feed it for the test."""
     s = MODELS["stacking"] | settings
     bases = ["gbt", "rf"]
-    inner = saved(train.join(cv.kfold(train, s["folds"], True, seed, id_col).withColumnRenamed("fold", "_inner"), id_col), "inner")
+    inner = train.join(cv.kfold(train, s["folds"], True, seed, id_col).withColumnRenamed("fold", "_inner"), id_col)
+    both = train.withColumn("_f", F.lit(0)).unionByName(test.withColumn("_f", F.lit(1)), allowMissingColumns=True)
+    named = lambda make: together([make(b).drop("fold").withColumn("base", F.lit(b)) for b in bases])
+    seen = named(lambda b: tree_predictions(inner, cols, label, b, s[b], "_inner", id_col))
+    unseen = named(lambda b: tree_predictions(both, cols, label, b, s[b], "_f", id_col, [1]))
+    wide = lambda df: df.groupBy(id_col, "y").pivot("base", bases).agg(F.first("yhat")).withColumnRenamed("y", label)
+    return fit_predict(wide(seen), wide(unseen), bases, label, "ridge", {"alpha": 1.0}, id_col)
 
-    def outputs(fit_on: DataFrame, on: DataFrame) -> DataFrame:
-        parts = [fit_predict(fit_on, on, cols, label, b, s[b], id_col, seed).withColumn("base", F.lit(b)) for b in bases]
-        return reduce(DataFrame.unionByName, parts)
 
-    seen = [outputs(inner.where(F.col("_inner") != k), inner.where(F.col("_inner") == k)) for k in range(s["folds"])]
-    wide = lambda df: df.groupBy(id_col, "y").pivot("base", bases).agg(F.first("yhat")).withColumnRenamed("y", label)
-    return fit_predict(wide(reduce(DataFrame.unionByName, seen)), wide(outputs(train, test)), bases, label, "ridge", {"alpha": 1.0}, id_col)
+TREES = {"gbt": "gbt", "rf": "rf", "extra_trees": "extra"}
+
+
+def tree_predictions(df: DataFrame, cols: list[str], label: str, model: str, settings: dict | None, fold: str, id_col: str = ID, left_out: list[int] | None = None) -> DataFrame:
+    """(id, fold, y, yhat) of the rows of folds, each by the trees grown on the rows outside its fold; all folds grow together."""
+    held = saved(df.select(id_col, label, fold, *cols), "folds")
+    ks = left_out or sorted(r[0] for r in held.select(fold).distinct().collect())  # a row a fold
+    how = {"kind": TREES[model]} | MODELS[model] | (settings or {})
+    return trees.fit_folds(held, cols, label, fold, id_col, how, ks)[0].select(id_col, F.col("fold"), "y", "yhat")
 
 
 def predictions(df: DataFrame, cols: list[str], label: str = "ddG", model: str = "ridge", settings: dict | None = None, fold: str = "fold", id_col: str = ID) -> DataFrame:
-    """(id, fold, y, yhat) out of fold; the folds of a linear model take one pass, other models are fitted fold by fold."""
+    """(id, fold, y, yhat) out of fold: one pass for the folds of a linear model, one a level for those of trees. Stacking goes fold by fold."""
     if model in linear.KINDS:
         return linear_predictions(df, cols, label, model, settings, fold, id_col)
+    if model in TREES:
+        return tree_predictions(df, cols, label, model, settings, fold, id_col)
     held = saved(df.select(id_col, label, fold, *cols), "folds")
     ks = sorted(r[0] for r in held.select(fold).distinct().collect())
     parts = [fit_predict(held.where(F.col(fold) != k), held.where(F.col(fold) == k), cols, label, model, settings, id_col).withColumn("fold", F.lit(k)) for k in ks]
