@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import logistic, table_of
-from .compression import compressor, trained
+from .compression import compressor, labelled, trained
 
 #: Bytes that every text counts besides its own, so that short texts do not decide by a byte.
 FLOOR = 16
@@ -68,20 +68,6 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, learn: Column, limits: dict[int, int], id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """(_id, _y, _t, _half): a bounded sample of labelled documents of each kind, where learn (a condition on _id) holds; _half deals them in two."""
-    known = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_y")).where(learn)
-    some = [known.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(n) for y, n in limits.items()]
-    chosen = some[0].unionByName(some[1])  # as many rows as the limits say, so it may be broadcast
-    return (
-        docs.select(F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_t"))
-        .join(F.broadcast(chosen), "_id")
-        .groupBy("_id", "_y")
-        .agg(F.min("_t").alias("_t"))
-        .withColumn("_half", F.pmod(F.xxhash64(F.lit("half"), "_id"), F.lit(2)).cast("int"))
-    )
-
-
 def fit(
     docs: DataFrame, labels: DataFrame, learn: Column, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality"
 ) -> Model:

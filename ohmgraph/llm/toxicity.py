@@ -1,231 +1,284 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries of raw content are trained: one of ordinary windows, one of the same windows with the stems
-that toxic texts repeat after them (the first has zero bytes there, so that all else lies equally far). A stem is a
-run of characters, not a whole word, so changing endings do not hide it. Windows of whole words are compressed with both. Where the toxic dictionary makes a window
-shorter, the window says what toxic texts say; ordinary windows cost the same either way. How far and how often windows
-of a text get shorter goes through a logistic curve fitted on labelled texts that the dictionaries have not seen.
-
-The fit uses a bounded sample of labelled rows (Limits.toxic, Limits.ordinary), each with its whole text; scoring takes
-every window of every text, in tasks that share nothing.
-
-Defined results: a null text is empty and has one empty window, whose score is that of a text without a hit. Without any
-label, or with labels of one kind, each score is the share of toxic labels (0 without labels). Labels that are null or
-neither 0 nor 1 are not used; of repeated labels of a document the larger one counts, of texts with one doc_id the
-smallest is learnt from. Rows are scored one by one.
+Two zstandard dictionaries are trained, one on windows of ordinary texts and one on windows of toxic texts. A window is a
+word; where the toxic dictionary makes it shorter than the ordinary one does, it says what toxic texts say. Characters are
+widened to four bytes first, so that a compressed length counts the pieces that a word is put together from and a match of
+three letters is worth as much as one of ten.
+
+A toxic text is toxic in a few words only, so its windows must be found. The training texts are dealt to sides, and each
+side's windows are measured by dictionaries trained on the other sides. Windows beyond a threshold for their length, where
+they are some times as frequent in toxic texts, and the best of each toxic text train the next toxic dictionaries, and
+windows of ordinary texts beyond the threshold go to the ordinary ones again. After some rounds the dictionaries of all
+sides together are the model's.
+
+Thresholds by length are calibrated at several ratios on labelled texts that no dictionary has seen. How many windows of a
+text pass them, and how far, goes through a logistic curve fitted on the same texts.
+
+The fit takes a bounded sample of labelled rows (Limits), each with its whole text; windows are counted, measured and
+picked in tasks, and the driver sees counts by length, dictionaries and a few numbers of each text. Scoring reads every
+window of every text, in tasks that share nothing.
+
+Defined results: a null text is empty and has one empty window. Without any label, or with labels of one kind, each score
+is the share of toxic labels (0 without labels). Labels that are null or neither 0 nor 1 are not used; of repeated labels
+of a document the larger one counts, of texts with one doc_id the smallest is learnt from. Rows are scored one by one.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
-import random
-import re
 from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-import zstandard
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import id_fold, logistic, table_of
+from .compression import compressor, labelled, trained
+
 LEVEL = 12
+#: Bytes of a segment and of the runs that the trainer counts: two words, two letters.
+TRAINER = {"k": 64, "d": 8}
+#: What is stripped from words at both ends.
 EDGES = " .,;:!?*$#%&|\"'()[]{}<>"
-#: Zstandard neither compresses a block that hardly gets shorter nor searches its last 8 bytes; blanks around a window lift both.
-HEAD, TAIL = b" " * 16, b" " * 12
-#: Characters of the first pieces of stems, and of a whole stem at most.
-PIECE, STEM = 5, 16
-#: How many times as often a piece stands in toxic texts as in ordinary ones, at least.
-RATIO = 4.0
-#: A stem grows by a character that so great a share of its places has.
-GROWS = 0.75
-#: Windows that one ordinary text gives to the dictionary at most.
-SHARE = 40
+#: Zstandard does not search the last bytes of its input.
+TAIL = b"\0" * 12
+#: Windows of so many characters or more share their thresholds.
+LONGEST = 14
+#: How many times as frequent in toxic texts windows beyond a threshold are: one threshold for each.
+TIERS = (1.5, 2.5, 4.0, 8.0)
+#: Toxic texts that must hold such a window, at least.
+FEWEST = 5
+#: How many sides the training texts are dealt to.
+SIDES = 2
+ALL = -1  # the dictionaries of all sides
+#: Measured windows that a task remembers.
+REMEMBERED = 400_000
 
 
 @dataclass(frozen=True)
 class Limits:
-    """Bounds of the fit: labelled texts of each kind, bytes of dictionary, words a window at least."""
+    """Bounds of the fit: labelled texts of each kind, windows of each kind for the trainer, bytes of the dictionaries; and how the search for windows goes."""
 
     toxic: int = 2500
     ordinary: int = 6000
-    toxic_bytes: int = 16_000
-    ordinary_bytes: int = 30_000
-    window: int = 24
-
-
-def windows(text: str, least: int) -> list[bytes]:
-    """Runs of whole words, of at least so many characters but for the last."""
-    out, run, n = [], [], 0
-    for w in text.lower().split():
-        run.append(w)
-        n += len(w) + 1
-        if n >= least:
-            out.append(" ".join(run).encode())
-            run, n = [], 0
-    if run or not out:
-        out.append(" ".join(run).encode())
-    return out
+    windows: int = 60_000
+    size: int = 250_000
+    toxic_size: int = 65_536
+    rounds: int = 5
+    best: int = 8
+    again: int = 5
+    ratio: float = 4.0
 
 
-def bare(text: str) -> str:
-    """The words without their edges, a blank before and after each."""
-    return f" {' '.join(v for w in text.lower().split() if (v := w.strip(EDGES)))} "
-
-
-def pieces(texts: list[str]) -> tuple[Counter, Counter, int]:
-    """Runs of PIECE characters in bare texts: how often they stand, how many texts repeat them; and all characters."""
-    often, repeated, n = Counter(), Counter(), 1
-    for t in texts:
-        own = Counter(t[i : i + PIECE] for i in range(len(t) - PIECE + 1))
-        often.update(own)
-        repeated.update(p for p, k in own.items() if k >= 2)
-        n += len(t)
-    return often, repeated, n
-
-
-def stems(toxic: list[str], ordinary: list[str]) -> dict[str, float]:
-    """Runs of characters within words that toxic texts repeat and ordinary ones hardly, with their weights."""
-    bad, good = sorted({bare(t) for t in toxic}), sorted({bare(t) for t in ordinary})
-    (n_bad, in_bad, all_bad), (n_good, in_good, all_good) = pieces(bad), pieces(good)
-    weight = {}
-    for p, n in in_bad.items():
-        if " " not in p[1:-1] and n >= max(3, len(bad) / 100):
-            ratio = min(n_bad[p] / all_bad / ((n_good[p] + 1) / all_good), n / (len(bad) + 1) / ((in_good[p] + 0.5) / (len(good) + 1)))
-            if ratio >= RATIO:
-                weight[p] = n * math.log(ratio)
-    whole, found = "\n".join(bad), {}
-    for p in sorted(weight, key=lambda p: (-weight[p], p)):
-        if any(p.strip() in s for s in found):
-            continue
-        s = grown(p, whole)
-        if not any(k.strip() in s or s.strip() in k for k in found):
-            found[s] = weight[p]
-    return found
-
-
-def grown(s: str, whole: str) -> str:
-    """The piece with the characters that nearly always stand beside it, up to the blanks around a word."""
-    at = [m.start() for m in re.finditer(re.escape(s), whole)]
-    while len(s) < STEM:
-        left = Counter() if s[0] == " " else Counter(whole[i - 1] for i in at)
-        right = Counter() if s[-1] == " " else Counter(whole[i + len(s)] for i in at)
-        (a, n_a), (b, n_b) = (max(c.items(), key=lambda x: (x[1], x[0]), default=("", 0)) for c in (left, right))
-        if max(n_a, n_b) < GROWS * len(at) or not at:
-            break
-        if n_a > n_b:
-            at, s = [i - 1 for i in at if whole[i - 1] == a], a + s
-        else:
-            at, s = [i for i in at if whole[i + len(s)] == b], s + b
-    return s
-
-
-def dictionaries(toxic: list[str], ordinary: list[str], limits: Limits) -> tuple[bytes, bytes]:
-    """What the two dictionaries hold: ordinary windows without a stem, and after them the stems. Zstandard finds later content nearer, so the best comes last."""
-    weight, tail = stems(toxic, ordinary), b""
-    for s in sorted(weight, key=lambda s: (-weight[s], s)):
-        if len(tail) + len(s.encode()) <= limits.toxic_bytes:
-            tail = s.encode() + tail
-    told = re.compile("|".join(re.escape(s.strip()) for s in weight) or r"(?!)")
-    order, common, n = list(ordinary), [], 0
-    random.Random(3).shuffle(order)
-    for t in order:
-        if n > limits.ordinary_bytes:
-            break
-        own = [w for w in windows(t, limits.window) if not told.search(w.decode())][:SHARE]
-        common += own
-        n += sum(len(w) + 1 for w in own)
-    base = b" ".join(common)[-limits.ordinary_bytes :] or b" " * 8
-    return base + b"\0" * len(tail), base + tail
+def windows(text: str | None) -> list[str]:
+    return [v for w in (text or "").lower().split() if (v := w.strip(EDGES))] or [""]
 
 
-class Model:
-    """Both dictionaries and the curve; travels to the tasks by pickle."""
+@lru_cache(maxsize=None)  # an entry a character
+def wide(char: str) -> bytes:
+    return hashlib.md5(char.encode("utf-8", "surrogatepass")).digest()[:4]
+
+
+def widened(word: str) -> bytes:
+    return b"".join(map(wide, f" {word} "))
 
-    def __init__(self, base: bytes, toxic: bytes, window: int, weights: np.ndarray | None = None, mean=0.0, scale=1.0, prior: float | None = None):
-        self.base, self.toxic, self.window, self.weights, self.mean, self.scale, self.prior = base, toxic, window, weights, mean, scale, prior
-        self._pair = None
+
+def length_of(word: str) -> int:
+    return min(len(word), LONGEST)
+
+
+class Pair:
+    """An ordinary and a toxic dictionary: how many bytes shorter the toxic one makes a window."""
+
+    def __init__(self, ordinary: bytes, toxic: bytes):
+        self.ordinary, self.toxic = ordinary, toxic
+        self._known: dict[str, int] = {}
+        self._two = None
 
     def __getstate__(self):
-        return self.__dict__ | {"_pair": None}
+        return {"ordinary": self.ordinary, "toxic": self.toxic, "_known": {}, "_two": None}
+
+    def gain(self, word: str) -> int:
+        found = self._known.get(word)
+        if found is None:
+            if self._two is None:
+                self._two = compressor(self.ordinary, LEVEL, raw=True), compressor(self.toxic, LEVEL, raw=True)
+            if len(self._known) >= REMEMBERED:
+                self._known.clear()
+            body = widened(word) + TAIL
+            found = self._known[word] = len(self._two[0](body)) - len(self._two[1](body))
+        return found
+
+
+def thresholds(counts: Iterable[tuple[int, int, int, int]], ratio: float) -> dict[int, int]:
+    """From (length, gain, in toxic texts, in ordinary ones): the least gain of each length from which on windows are `ratio` times as frequent in toxic texts."""
+    counts = list(counts)
+    toxic, ordinary = (max(1, sum(c[i] for c in counts)) for i in (2, 3))
+    out: dict[int, int] = {}
+    for length in {c[0] for c in counts}:
+        a = b = 0
+        for _, gain, x, y in sorted((c for c in counts if c[0] == length), key=lambda c: -c[1]):
+            if gain < 1:
+                break
+            a, b = a + x, b + y
+            if a >= FEWEST and a / toxic >= ratio * (b + 1) / ordinary:
+                out[length] = gain
+    return out
 
-    def _compressors(self):
-        if self._pair is None:
-            made = lambda b: zstandard.ZstdCompressor(
-                level=LEVEL, dict_data=zstandard.ZstdCompressionDict(b, dict_type=zstandard.DICT_TYPE_RAWCONTENT),
-                write_checksum=False, write_content_size=False, write_dict_id=False,
-            )
-            self._pair = made(self.base).compress, made(self.toxic).compress
-        return self._pair
+
+class Model:
+    """Dictionaries, thresholds and the curve; travels to the tasks by pickle."""
+
+    def __init__(self, pair: Pair, tiers: list[dict[int, int]] | None = None, weights: np.ndarray | None = None, mean=0.0, scale=1.0, prior: float = 0.0):
+        self.pair, self.tiers, self.weights, self.mean, self.scale, self.prior = pair, tiers or [], weights, mean, scale, prior
 
     def measures(self, text: str | None) -> list[float]:
-        """How many bytes windows get shorter: the most, the three most, how often by 1, 2, 3 and 4 bytes."""
-        base, toxic = self._compressors()
-        gain = sorted((len(base(w)) - len(toxic(w)) for w in (HEAD + w + TAIL for w in windows(text or "", self.window))), reverse=True)
-        over = [sum(g >= k for g in gain) for k in (1, 2, 3, 4)]
-        n = len(gain)
-        return [gain[0], min(gain[0], 3), sum(gain[:3]), *[math.log1p(x) for x in over], math.log1p(n), over[1] / n, over[2] / n]
+        """Of each tier: whether a window passes, how many do, how many different ones, their share, how far at most, how often one does; and how many windows there are."""
+        own = [(self.pair.gain(w), length_of(w), n) for w, n in Counter(windows(text)).items()]
+        total = sum(n for _, _, n in own)
+        out = [math.log1p(total)]
+        for tier in self.tiers:
+            over = [(g - tier[k], n) for g, k, n in own if k in tier and g >= tier[k]]
+            hits = sum(n for _, n in over)
+            out += [hits > 0, math.log1p(hits), math.log1p(len(over)), hits / total, max((g for g, _ in over), default=-1), math.log1p(max((n for _, n in over), default=0))]
+        return [float(x) for x in out]
 
     def score(self, texts) -> np.ndarray:
         if self.weights is None:
-            return np.full(len(texts), self.prior or 0.0)
+            return np.full(len(texts), self.prior)
         x = (np.array([self.measures(t) for t in texts], float).reshape(len(texts), -1) - self.mean) / self.scale
-        z = np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)
-        return 1 / (1 + np.exp(-z))
-
-
-def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> np.ndarray:
-    """Weights, the constant last, by Newton's method."""
-    a = np.hstack([x, np.ones((len(x), 1))])
-    w, ridge = np.zeros(a.shape[1]), np.diag([penalty] * x.shape[1] + [1e-6])
-    for _ in range(25):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a * (p * (1 - p) + 1e-9)[:, None]).T @ a + ridge, a.T @ (y - p) - ridge @ w)
-        w = w + step
-        if np.abs(step).max() < 1e-8:
-            break
-    return w
-
-
-def fit_texts(texts: list[str], toxic: list[int], limits: Limits = Limits()) -> Model:
-    """Dictionaries from one half of the texts, the curve from the other."""
-    y = np.array(toxic, float)
-    if not len(y) or y.min() == y.max():
-        return Model(b" " * 8, b" " * 8, limits.window, prior=float(y.mean()) if len(y) else 0.0)
-    order = list(range(len(texts)))
-    random.Random(7).shuffle(order)
-    kind = {k: [i for i in order if toxic[i] == k] for k in (0, 1)}
-    first = {k: v[: (len(v) + 1) // 2] for k, v in kind.items()}
-    rest = [i for k, v in kind.items() for i in v[len(first[k]) :]] or order
-    model = Model(*dictionaries([texts[i] for i in first[1]], [texts[i] for i in first[0]], limits), limits.window)
-    x = np.array([model.measures(texts[i]) for i in rest], float)
-    if y[rest].min() == y[rest].max():
-        model.prior = float(y.mean())
-        return model
-    model.mean, model.scale = x.mean(0), x.std(0) + 1e-9
-    model.weights = logistic((x - model.mean) / model.scale, y[rest])
-    return model
+        return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
+
+
+# ---------------------------------------------------------------- the fit
 
 
 def fold(doc_id: Column) -> Column:
     """crc32 of doc_id as text, modulo 5: 0 is held out."""
-    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5
-
-
-def fit(docs: DataFrame, labels: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """A model from labelled documents that are not held out."""
-    known = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_y")).where(fold(F.col("_id")) != 0)
-    some = lambda y, n: known.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(n)
-    chosen = some(1, limits.toxic).unionByName(some(0, limits.ordinary))
-    rows = (
-        docs.select(F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_t"))
-        .join(F.broadcast(chosen), "_id")
-        .groupBy("_id", "_y")
-        .agg(F.min("_t").alias("_t"))  # of rows with one doc_id the smallest text
-        .collect()  # at most limits.toxic + limits.ordinary rows
+    return id_fold(doc_id, 5)
+
+
+def side_of(key: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit("side"), key), F.lit(SIDES)).cast("int")
+
+
+def counted(rows: DataFrame) -> DataFrame:
+    """(side, _y, _id, word, n): the windows of labelled texts, dealt to sides by document."""
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for side, y, key, text in f.itertuples(index=False):
+                c = Counter(windows(text))
+                yield pd.DataFrame({"side": side, "_y": y, "_id": key, "word": list(c), "n": list(c.values())})
+
+    named = rows.select(side_of(F.col("_id")).alias("side"), "_y", F.col("_id").cast("string"), "_t")
+    return named.mapInPandas(count, "side int, _y int, _id string, word string, n long")
+
+
+def samples(words: DataFrame, times: str, totals: dict[int, int], limit: int) -> DataFrame:
+    """(side, word, weight): some `limit` windows of each side, as often as they stand there; hashes decide fractions."""
+    share = F.create_map(*[x for s, n in totals.items() for x in (F.lit(s), F.lit(min(1.0, limit / n) if n else 0.0))])[F.col("side")]
+    chance = F.pmod(F.xxhash64(F.lit("sample"), "word"), F.lit(1_000_003)) / 1_000_003
+    return words.select("side", "word", F.floor(F.col(times) * share + chance).cast("long").alias("weight")).where("weight > 0")
+
+
+def trained_pairs(ordinary: DataFrame, toxic: DataFrame, size: int, toxic_size: int) -> dict[int, Pair]:
+    """For each side the pair trained, in tasks, on the windows (side, word, weight) of the other sides; and that of all."""
+
+    def train(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        own = own.groupby("word", sort=True)["weight"].sum()
+        some = [widened(w) for w, n in own.items() for _ in range(n)]
+        order = np.random.default_rng(1).permutation(len(some))
+        made = trained([some[i] for i in order], toxic_size if key[1] else size, LEVEL, **TRAINER)
+        return pd.DataFrame({"for": [key[0]], "_y": [key[1]], "d": [made]})
+
+    both = ordinary.withColumn("_y", F.lit(0)).unionByName(toxic.withColumn("_y", F.lit(1)))
+    dealt = both.withColumn("for", F.explode(F.array_remove(F.array(*[F.lit(s) for s in (ALL, *range(SIDES))]), F.col("side"))))
+    made = {(r["for"], r["_y"]): bytes(r["d"]) for r in dealt.groupBy("for", "_y").applyInPandas(train, "for int, _y int, d binary").collect()}
+    return {s: Pair(made.get((s, 0), b" " * 8), made.get((s, 1), b" " * 8)) for s in (ALL, *range(SIDES))}
+
+
+def measured(words: DataFrame, pairs: dict[int, Pair]) -> DataFrame:
+    """The words (side, word, …) with their length and their gain under the pair for their side."""
+    names = words.columns
+
+    def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield f.assign(gain=[pairs[s].gain(w) for s, w in zip(f["side"], f["word"], strict=True)], length=[length_of(w) for w in f["word"]])
+
+    kinds = dict(words.dtypes)
+    return words.mapInPandas(measure, ", ".join(f"{c} {kinds[c]}" for c in names) + ", gain int, length int")
+
+
+def found_pairs(each: DataFrame, words: DataFrame, limits: Limits) -> dict[int, Pair]:
+    """The pairs, for each side and of all, of the windows that the sides find in each other."""
+    sums = {r.side: r for r in words.groupBy("side").agg(F.sum("times1").alias("a"), F.sum("times0").alias("b")).collect()}
+    ordinary = samples(words, "times0", {s: r.b for s, r in sums.items()}, limits.windows // SIDES)
+    toxic = samples(words, "times1", {s: r.a for s, r in sums.items()}, limits.windows // SIDES)
+    pairs = trained_pairs(ordinary, toxic, limits.size, limits.size)
+    several = all(sum(bool(r[k]) for r in sums.values()) >= 2 for k in ("a", "b"))
+    for _ in range(limits.rounds if several else 0):
+        with table_of(measured(words, pairs), "toxicity-gains") as gains:
+            # the windows that are left, bounded by the limits, travel with the plan
+            toxic, hard = (words.sparkSession.createDataFrame([tuple(r) for r in p.collect()], "side int, word string, weight long") for p in picks(each, gains, limits))
+        pairs = trained_pairs(ordinary.unionByName(hard), toxic, limits.size, limits.toxic_size)
+    return pairs
+
+
+def picks(each: DataFrame, gains: DataFrame, limits: Limits) -> tuple[DataFrame, DataFrame]:
+    """(side, word, weight) for the next toxic and ordinary dictionaries; at most limits.windows of each."""
+    counts = gains.groupBy("side", "length", "gain").agg(F.sum("docs1").alias("a"), F.sum("docs0").alias("b")).collect()  # a row a length and gain
+    least = [(s, k, g) for s in range(SIDES) for k, g in thresholds([(r.length, r.gain, r.a, r.b) for r in counts if r.side == s], limits.ratio).items()]
+    passes = F.exists(
+        F.array(*[F.struct(F.lit(s).alias("s"), F.lit(k).alias("k"), F.lit(g).alias("g")) for s, k, g in [*least, (ALL, -1, 0)]]),
+        lambda t: (t["s"] == F.col("side")) & (t["k"] == F.col("length")) & (F.col("gain") >= t["g"]),
     )
-    rows.sort(key=lambda r: r._id)
-    return fit_texts([r._t for r in rows], [int(r._y) for r in rows], limits)
+    over = gains.where(passes)
+    ranked = W.partitionBy("side", "_id").orderBy(F.desc("gain"), F.desc("word"))
+    best = each.where("_y = 1").join(gains.where("gain > 0").select("side", "word", "gain"), ["side", "word"]).withColumn("_r", F.row_number().over(ranked)).where(F.col("_r") <= limits.best)
+    told = over.where("docs1 > 0").select("side", "word", F.col("docs1").alias("weight")).unionByName(best.select("side", "word", F.lit(1).cast("long").alias("weight")))
+    picked = told.groupBy("side", "word").agg(F.sum("weight").alias("weight"))
+    missed = over.where("docs0 > 0").select("side", "word", (F.col("docs0") * limits.again).alias("weight"))
+    first = lambda df: df.orderBy(F.desc("weight"), "side", "word").limit(limits.windows)
+    return first(picked), first(missed)
+
+
+def fit(docs: DataFrame, labels: DataFrame, limits: Limits = Limits(), learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+    """A model from the labelled documents for which learn, a condition on _id, holds (those not held out)."""
+    chosen = labelled(docs, labels, fold(F.col("_id")) != 0 if learn is None else learn, {1: limits.toxic, 0: limits.ordinary}, id_col, text_col, label_col)
+    with table_of(chosen, "labelled") as rows:
+        counts = {(r._y, r._half): r["count"] for r in rows.groupBy("_y", "_half").count().collect()}
+        total = sum(counts.values())
+        prior = sum(n for (y, _), n in counts.items() if y) / total if total else 0.0
+        if len({y for y, _ in counts}) < 2:
+            return Model(Pair(b" " * 8, b" " * 8), prior=prior)
+        first, rest = (rows.where(F.col("_half") == h) if len(counts) == 4 else rows for h in (0, 1))  # with very few labels both are all of them
+        with table_of(counted(first), "toxicity-windows") as each:
+            by = lambda y, c: F.sum(F.when(F.col("_y") == y, c).otherwise(0))
+            grouped = each.groupBy("side", "word").agg(by(1, F.col("n")).alias("times1"), by(0, F.col("n")).alias("times0"), by(1, 1).alias("docs1"), by(0, 1).alias("docs0"))
+            with table_of(grouped, "toxicity-words") as words:
+                model = Model(found_pairs(each, words, limits)[ALL], prior=prior)
+        own = lambda y: F.count_if(F.col("_y") == y)
+        seen = counted(rest).groupBy(F.lit(ALL).alias("side"), "word").agg(own(1).alias("docs1"), own(0).alias("docs0"))
+        tally = measured(seen, {ALL: model.pair}).groupBy("length", "gain").agg(F.sum("docs1").alias("a"), F.sum("docs0").alias("b")).collect()  # a row a length and gain
+        model.tiers = [thresholds([(r.length, r.gain, r.a, r.b) for r in tally], ratio) for ratio in TIERS]
+
+        def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                yield pd.DataFrame({"_id": f["_id"], "_y": f["_y"], "m": [model.measures(t) for t in f["_t"]]})
+
+        known = rest.select(F.col("_id").cast("string"), "_y", "_t").mapInPandas(measure, "_id string, _y int, m array<double>").collect()  # a few numbers a row of the sample
+    known.sort(key=lambda r: (r._id is None, r._id))
+    x, y = np.array([r.m for r in known]), np.array([r._y for r in known], float)
+    model.mean, model.scale = x.mean(0), x.std(0) + 1e-9
+    model.weights = logistic((x - model.mean) / model.scale, y)
+    return model
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
