@@ -228,10 +228,10 @@ def test_toxicity_recall_in_every_language(spark):
 
 def test_toxicity_trains_on_whole_texts(spark):
     texts, _, lab = labelled_prose(spark, 120)
-    late = docs(spark, ["quiet words " * 6000 + t for t in texts])
+    late = docs(spark, ["quiet words " * (2000 + i * 37 % 400) + t for i, t in enumerate(texts)])
     model = toxicity.fit(late, lab)
     assert toxicity.widened("vexgrum")[4:-4] in model.pair.toxic
-    bad, plain = model.score(["quiet words " * 9000 + texts[i] for i in (0, 1)])
+    bad, plain = model.score(["quiet words " * 2200 + texts[i] for i in (0, 1)])
     assert bad >= 0.5 > plain
 
 
