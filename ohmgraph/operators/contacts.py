@@ -34,11 +34,22 @@ def residue_nodes(atoms: DataFrame, chain: str | None = None, per_chain: bool =
 
 
 def contact_edges(nodes: DataFrame, cutoff: float = 8.0, method: str = "exponential", tau: float = 5.0) -> DataFrame:
-    """Pairs of nodes of a graph that are nearer than cutoff: graph_id, u < v, distance, weight.
+    """Pairs of nodes of a graph that are nearer than cutoff: graph_id, u < v, distance, weight."""
+    return weighted(contact_pairs(nodes, cutoff), cutoff, method, tau)
+
+
+def weighted(pairs: DataFrame, cutoff: float = 8.0, method: str = "exponential", tau: float = 5.0) -> DataFrame:
+    """The edges among pairs (graph_id, u, v, distance) that were searched for with this cutoff or a larger one. Pairs without
+    a conductance (distance 0 under an inverse square) are no edges."""
+    edges = pairs.where(F.col("distance") < cutoff).withColumn("weight", conductance(F.col("distance"), method, tau))
+    return edges.where("weight IS NOT NULL")
+
+
+def contact_pairs(nodes: DataFrame, cutoff: float = 8.0) -> DataFrame:
+    """Pairs of nodes of a graph that are nearer than cutoff: graph_id, u < v, distance.
 
     A range join: nodes fall into cubes of the cutoff's size and only meet nodes of their own cube and of the half of the
-    cubes around it that come later, so the work grows with the contacts and each pair of cubes meets once. Pairs without a conductance (distance 0 under an inverse
-    square) are no edges.
+    cubes around it that come later, so the work grows with the contacts and each pair of cubes meets once.
     """
     cube = [F.floor(F.col(c) / cutoff).alias(f"c{c}") for c in "xyz"]
     here = nodes.select("graph_id", F.col("node").alias("u"), *[F.col(c).alias(f"u{c}") for c in "xyz"], *cube)
@@ -51,8 +62,7 @@ def contact_edges(nodes: DataFrame, cutoff: float = 8.0, method: str = "exponent
     own = (F.col("da") == 0) & (F.col("db") == 0) & (F.col("dc") == 0)
     met = here.join(near, ["graph_id", "cx", "cy", "cz"]).where(~own | (F.col("u") < F.col("v"))).withColumn("distance", F.sqrt(square))
     ends = [F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")]
-    edges = met.where(F.col("distance") < cutoff).select("graph_id", *ends, "distance", conductance(F.col("distance"), method, tau).alias("weight"))
-    return edges.where("weight IS NOT NULL")
+    return met.where(F.col("distance") < cutoff).select("graph_id", *ends, "distance")
 
 
 def both_ways(edges: DataFrame, by: str = "graph_id", carry: tuple[str, ...] = ("weight",)) -> DataFrame:

@@ -5,8 +5,6 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -111,34 +109,76 @@ def repeated_kfold(df: DataFrame, k: int = 5, repeats: int = 3, seed: int = 42,
     return reduce(DataFrame.unionByName, parts)
 
 
+def name_bucket(df: DataFrame, name: str) -> Column:
+    """Ranges of names in their order: of numbers by value, of texts by how they begin."""
+    if dict(df.dtypes)[name] in ("tinyint", "smallint", "int", "bigint"):
+        return F.floor(F.col(name) / 65536)
+    return F.substring(F.col(name).cast("string"), 1, 8)
+
+
 def leave_one_group_out(df: DataFrame, group: str, k: int = 5, seed: int = 42, id_col: str = ID) -> DataFrame:
     """One fold a group, numbered by name; with under three groups plain folds."""
-    groups = df.select(group).distinct()
+    groups = saved(df.select(group).distinct(), "groups")
     if groups.count() < 3:
         return kfold(df, k, True, seed, id_col)
-    numbered = groups.withColumn("fold", (F.row_number().over(W.orderBy(group)) - 1).cast("int"))
+    numbered = ranked(groups, [], name_bucket(groups, group), [group], "fold").withColumn("fold", F.col("fold").cast("int"))
     return df.select(id_col, group).join(numbered, group).select(id_col, "fold")
 
 
+#: Runs of groups of one size whose dealing is broadcast; more of them are joined.
+RUNS = 10_000
+
+
+def dealing(loads: list[int], size: int, count: int) -> list[tuple[int, list[int]]]:
+    """How `count` groups of one size go, one by one, to the lightest fold (equals: the first): (from which group on, folds in turn), and the loads after.
+
+    Fold f takes a group whenever its load is the least, so at loads L, L + size, L + 2 size and so on: the groups go to
+    the smallest of all these numbers in order. Once a fold has joined in, the order of those that have repeats.
+    """
+    order = sorted(range(len(loads)), key=lambda f: (loads[f], f))
+    start, out = 0, []
+    for i in range(1, len(order) + 1):
+        active = order[:i]
+        turn = sorted(active, key=lambda f: (loads[f], f))
+        if i < len(order):  # until the next fold is the lightest
+            limit = (loads[order[i]], order[i])
+            takes = {f: max(0, -(-(limit[0] - loads[f]) // size) + (f < limit[1] and (limit[0] - loads[f]) % size == 0)) for f in active}
+            n = min(sum(takes.values()), count - start)
+        else:
+            n = count - start
+        if n > 0:
+            out.append((start, turn))
+            each, more = divmod(n, len(turn))
+            for j, f in enumerate(turn):
+                loads[f] += size * (each + (j < more))
+            start += n
+        if start == count:
+            break
+    return out
+
+
 def group_folds(df: DataFrame, group: str, k: int = 5, seed: int = 42, id_col: str = ID) -> DataFrame:
-    """Whole groups a fold: the largest first, each to the lightest fold. Only the counts of groups are handled one by one."""
-    counts = df.groupBy(group).agg(F.count("*").alias("_n"))
-    n = counts.count()
+    """Whole groups a fold: the largest first (equals by name), each to the lightest fold.
+
+    Groups of one size are dealt as a run, by arithmetic; there are no more sizes than the root of twice the rows, and only
+    their counts come to the driver. A group's fold follows from its place in its run.
+    """
+    counts = saved(df.groupBy(group).agg(F.count("*").alias("_size")), "groups")
+    runs = counts.groupBy("_size").agg(F.count("*").alias("n")).orderBy(F.desc("_size")).collect()  # a row a size
+    n = sum(r.n for r in runs)
     if n < 2:
         return kfold(df, k, True, seed, id_col)
-    folds = min(k, n)
-    kind = dict(df.dtypes)[group]
-
-    def deal(rows: pd.DataFrame) -> pd.DataFrame:
-        load, out = np.zeros(folds, np.int64), []
-        for name, size in rows.sort_values(["_n", group], ascending=[False, True], kind="stable")[[group, "_n"]].itertuples(index=False):
-            at = int(load.argmin())
-            load[at] += size
-            out.append((name, at))
-        return pd.DataFrame(out, columns=[group, "fold"])
-
-    dealt = counts.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(deal, f"{group} {kind}, fold int")
-    return df.select(id_col, group).join(dealt, group).select(id_col, "fold")
+    loads = [0] * min(k, n)
+    dealt = [(r._size, dealing(loads, r._size, r.n)) for r in runs]
+    table = df.sparkSession.createDataFrame(dealt, "_size long, _turns array<struct<start: long, folds: array<int>>>")
+    places = ranked(counts, ["_size"], name_bucket(counts, group), [group], "_place")
+    first = counts.groupBy("_size").agg(F.count("*").alias("_n"))
+    earlier = first.withColumn("_from", F.coalesce(F.sum("_n").over(W.orderBy("_size").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("_size", "_from")  # a row a size
+    told = table.join(earlier, "_size")
+    met = places.join(F.broadcast(told) if len(dealt) <= RUNS else told, "_size").withColumn("_place", F.col("_place") - F.col("_from"))
+    turn = F.element_at(F.filter("_turns", lambda t: t["start"] <= F.col("_place")), -1)
+    fold = F.get(turn["folds"], ((F.col("_place") - turn["start"]) % F.size(turn["folds"])).cast("int"))
+    return df.select(id_col, group).join(met.select(group, fold.alias("fold")), group).select(id_col, "fold")
 
 
 SPECTRAL = ["fiedler_component_wt", "voltage_wt", "conductance_degree_wt"]

@@ -10,12 +10,17 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 NULL_MODE = 1e-10  # eigenvalues at most this share of the largest are null modes
 TINY = 1e-15
 #: Pairs of a graph that one task answers.
 PAIRS = 100_000
+#: Terminals of a graph's runs that one task answers.
+RUNS = 2_000
+#: Sources of shortest paths in a graph that one task follows.
+SOURCES = 64
 
 
 @dataclass
@@ -100,13 +105,13 @@ class Graph:
         flow = np.sort(w[:, None] * (self.lp[k] - self.lp[near]), axis=1)
         return float(((flow @ (2 * np.arange(n) - n + 1)).sum() - (n - 1)) / ((n - 1) * (n - 2)))
 
-    def path_betweenness(self) -> np.ndarray:
-        """Shortest-path betweenness with the weights as lengths, by a heap over lists of neighbours."""
+    def path_betweenness(self, sources=None) -> np.ndarray:
+        """Shortest-path betweenness with the weights as lengths, by a heap over lists of neighbours; of paths from some sources only, if given."""
         total, near = np.zeros(self.n), [[] for _ in range(self.n)]
         for u, v, w in zip(self.u.tolist(), self.v.tolist(), self.w.tolist(), strict=True):
             near[u].append((v, w))
             near[v].append((u, w))
-        for s in range(self.n):
+        for s in range(self.n) if sources is None else sources:
             dist, paths, before = [math.inf] * self.n, [0.0] * self.n, [[] for _ in range(self.n)]
             done, order, heap = [False] * self.n, [], [(0.0, s)]
             dist[s], paths[s] = 0.0, 1.0
@@ -204,22 +209,31 @@ def effective_resistance(nodes: DataFrame, edges: DataFrame, pairs: DataFrame |
     if pairs is None:
         make = lambda g, i: {"i": np.repeat(i, g.n), "j": np.tile(i, g.n), "r": g.resistances().ravel()}
         return per_graph(nodes, edges, make, "i int, j int, r double", by)
-    graphs = per_graph(nodes, edges, lambda g, i: {"nodes": [i], "lp": [g.lp.tobytes()]}, "nodes array<int>, lp binary", by)
-    parts = pairs.groupBy(by).agg(F.ceil(F.count("*") / PAIRS).alias("_parts"))
-    asked = pairs.select(by, "i", "j").join(parts, by).withColumn("_part", F.pmod(F.xxhash64("i", "j"), F.col("_parts"))).drop("_parts")
-    copies = graphs.join(parts, by).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))).drop("_parts")
 
-    def look_up(key: tuple, some: pd.DataFrame, graph: pd.DataFrame) -> pd.DataFrame:
-        if not len(some) or not len(graph):
-            return pd.DataFrame(columns=[by, "i", "j", "r"])
-        names = np.asarray(graph.iloc[0]["nodes"])
-        lp = np.frombuffer(graph.iloc[0]["lp"]).reshape(len(names), -1)
+    def look_up(key: tuple, names: np.ndarray, lp: np.ndarray, some: pd.DataFrame) -> pd.DataFrame:
         known = some[some["i"].isin(names) & some["j"].isin(names)]
         i, j = (np.searchsorted(names, known[c]) for c in "ij")
         return pd.DataFrame({by: key[0], "i": known["i"], "j": known["j"], "r": lp[i, i] + lp[j, j] - 2 * lp[i, j]})
 
+    return asked_of_graphs(nodes, edges, pairs.select(by, "i", "j"), ["i", "j"], PAIRS, look_up, f"{by} {dict(nodes.dtypes)[by]}, i int, j int, r double", by)
+
+
+def asked_of_graphs(nodes: DataFrame, edges: DataFrame, asked: DataFrame, key: list[str], each: int, answer, schema: str, by: str = "graph_id") -> DataFrame:
+    """What answer(group, nodes, pseudoinverse, rows) gives for rows asked of graphs, some `each` rows a task; rows of one key stay together."""
+    graphs = per_graph(nodes, edges, lambda g, i: {"nodes": [i], "lp": [g.lp.tobytes()]}, "nodes array<int>, lp binary", by)
+    parts = asked.groupBy(by).agg(F.ceil(F.count("*") / each).alias("_parts"))
+    rows = asked.join(parts, by).withColumn("_part", F.pmod(F.xxhash64(*key), F.col("_parts"))).drop("_parts")
+    copies = graphs.join(parts, by).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))).drop("_parts")
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(group: tuple, some: pd.DataFrame, graph: pd.DataFrame) -> pd.DataFrame:
+        if not len(some) or not len(graph):
+            return pd.DataFrame(columns=names)
+        at = np.asarray(graph.iloc[0]["nodes"])
+        return answer(group, at, np.frombuffer(graph.iloc[0]["lp"]).reshape(len(at), -1), some)
+
     own = lambda df: df.select(*[F.col(c).alias(c) for c in df.columns]).groupBy(by, "_part")
-    return own(asked).cogroup(own(copies)).applyInPandas(look_up, f"{by} {dict(nodes.dtypes)[by]}, i int, j int, r double")
+    return own(rows).cogroup(own(copies)).applyInPandas(run, schema)
 
 
 def edge_resistance(nodes: DataFrame, edges: DataFrame, by: str = "graph_id") -> DataFrame:
@@ -261,9 +275,14 @@ def terminal_voltages(nodes: DataFrame, edges: DataFrame, terminals: DataFrame,
 
     A graph may have many runs, each with its own sources and sinks; the pseudoinverse is computed once.
     """
-    entries = pinv_entries(nodes, edges, by)
-    met = terminals.select(by, "run", F.col("node").alias("i"), "current").join(entries, [by, "i"])
-    return met.groupBy(by, "run", F.col("j").alias("node")).agg(F.sum(F.col("current") * F.col("value")).alias("voltage"))
+    run_type = dict(terminals.dtypes)["run"]
+
+    def solve(key: tuple, names: np.ndarray, lp: np.ndarray, some: pd.DataFrame) -> pd.DataFrame:
+        known = some[some["node"].isin(names)]
+        out = [pd.DataFrame({by: key[0], "run": run, "node": names, "voltage": lp[:, np.searchsorted(names, own["node"])] @ own["current"].to_numpy(float)}) for run, own in known.groupby("run")]
+        return pd.concat(out) if out else pd.DataFrame(columns=[by, "run", "node", "voltage"])
+
+    return asked_of_graphs(nodes, edges, terminals.select(by, "run", "node", "current"), ["run"], RUNS, solve, f"{by} {dict(nodes.dtypes)[by]}, run {run_type}, node int, voltage double", by)
 
 
 def current_flow_betweenness(nodes: DataFrame, edges: DataFrame, by: str = "graph_id") -> DataFrame:
@@ -275,11 +294,27 @@ def current_flow_betweenness(nodes: DataFrame, edges: DataFrame, by: str = "grap
 
 
 def betweenness_topk(nodes: DataFrame, edges: DataFrame, k: int = 5, by: str = "graph_id") -> DataFrame:
-    def make(g: Graph, i: np.ndarray) -> dict:
-        top = g.most_between(k)
-        return {"rank": range(1, len(top) + 1), "node": i[top]}
+    """(by, rank, node): the nodes of highest betweenness; equals by node."""
+    order = W.partitionBy(by).orderBy(F.desc(F.round("betweenness", 9)), "node")
+    return path_betweenness(nodes, edges, by).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(by, "rank", "node")
+
+
+def path_betweenness(nodes: DataFrame, edges: DataFrame, by: str = "graph_id") -> DataFrame:
+    """(by, node, betweenness), the paths from some SOURCES nodes of a graph to a task; what they depend on a node for is summed."""
+    numbered = nodes.select(by, "node").withColumn("_at", F.row_number().over(W.partitionBy(by).orderBy("node")) - 1)
+    parts = numbered.groupBy(by).agg(F.ceil(F.count("*") / SOURCES).alias("_parts"))
+    spread = lambda df: df.join(parts, by).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)))
+
+    def follow(key: tuple, n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        if not len(n):
+            return pd.DataFrame(columns=[by, "node", "part_sum"])
+        g, names = from_rows(n, e)
+        mine = range(int(key[1]) * SOURCES, min(g.n, (int(key[1]) + 1) * SOURCES))
+        return pd.DataFrame({by: key[0], "node": names, "part_sum": g.path_betweenness(mine)})
 
-    return per_graph(nodes, edges, make, "rank int, node int", by)
+    own = lambda df, *cols: spread(df).select(*[F.col(c).alias(c) for c in (by, "_part", *cols)]).groupBy(by, "_part")
+    sums = own(numbered, "node").cogroup(own(edges, "u", "v", "weight")).applyInPandas(follow, f"{by} {dict(nodes.dtypes)[by]}, node int, part_sum double")
+    return sums.groupBy(by, "node").agg(F.sum("part_sum").alias("betweenness"))
 
 
 WT = "n int, nodes array<int>, u array<int>, v array<int>, w array<double>, eigs array<double>, fiedler array<double>, lp binary, lp_diag array<double>, trace double, kf double, components int, active array<int>"
@@ -290,7 +325,10 @@ def wt_properties(nodes: DataFrame, edges: DataFrame, active: int = 5, by: str =
 
     def make(g: Graph, i: np.ndarray) -> dict:
         one = {"n": g.n, "nodes": i, "u": g.u, "v": g.v, "w": g.w, "eigs": g.eigs, "fiedler": g.fiedler(), "lp": g.lp.tobytes(), "lp_diag": np.diagonal(g.lp)}
-        one |= {"trace": float(np.trace(g.lp)), "kf": g.kirchhoff(), "components": g.null_modes(), "active": g.most_between(active)}
+        one |= {"trace": float(np.trace(g.lp)), "kf": g.kirchhoff(), "components": g.null_modes()}
         return {k: [v] for k, v in one.items()}
 
-    return per_graph(nodes, edges, make, WT, by)
+    wild = per_graph(nodes, edges, make, WT.removesuffix(", active array<int>"), by)
+    ranked = betweenness_topk(nodes, edges, active, by).groupBy(by).agg(F.sort_array(F.collect_list(F.struct("rank", "node"))).alias("_top"))  # `active` nodes a graph
+    place = lambda x: (F.array_position("nodes", x["node"]) - 1).cast("int")
+    return wild.join(ranked, by).withColumn("active", F.transform("_top", place)).drop("_top")

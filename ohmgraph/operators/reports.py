@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import correlation, feature_source, meets_target, performance_tier
+from .models import spearman
 
 
 def best_per_key(metrics: DataFrame, metric: str, by: list[str] | None = None, ties: list[str] | None = None) -> DataFrame:
@@ -42,8 +43,9 @@ def metric_pivot(metrics: DataFrame, metric: str, columns: list[str], rows: str
 
 
 def dataset_summary(df: DataFrame, by: str = "pdb_id", value: str = "ddG") -> tuple[DataFrame, DataFrame]:
-    """One row for the dataset, and the counts of its groups."""
-    one = df.agg(F.count("*").alias("n_mutations"), F.countDistinct(by).alias("n_proteins"), F.min(value).alias("min_value"), F.max(value).alias("max_value"))
+    """One row for the dataset, with how many of its rows are valid (have a group and a finite value), and the counts of its groups."""
+    usable = F.col(by).isNotNull() & F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")) & (F.abs(F.col(value)) < float("inf"))
+    one = df.agg(F.count("*").alias("n_mutations"), F.countDistinct(by).alias("n_proteins"), F.min(value).alias("min_value"), F.max(value).alias("max_value"), F.count_if(usable).alias("n_valid"), (F.count_if(usable) / F.count("*")).alias("valid_share"))
     return one, df.groupBy(by).agg(F.count("*").alias("n"))
 
 
@@ -70,12 +72,13 @@ def feature_target_corr(df: DataFrame, cols: list[str], target: str = "ddG", fla
 
 
 def prediction_summary(preds: DataFrame) -> DataFrame:
-    """n, r, rmse and the line y = slope * yhat + intercept of out-of-fold predictions."""
+    """n, r, rho, rmse and the line y = slope * yhat + intercept of out-of-fold predictions."""
     err = F.col("y") - F.col("yhat")
-    return preds.agg(
+    one = preds.agg(
         F.count("*").alias("n"), correlation("y", "yhat").alias("r"), F.sqrt(F.avg(err * err)).alias("rmse"),
         F.regr_slope("y", "yhat").alias("slope"), F.regr_intercept("y", "yhat").alias("intercept"),
     )
+    return one.crossJoin(spearman(preds, "y", "yhat").withColumnRenamed("spearman_r", "rho"))  # one row each
 
 
 def top(df: DataFrame, col: str, n: int, ties: list[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import contacts, features, linalg, mutate
+from ..operators import contacts, features, linalg, mutate, rowstats
 from ..operators import graphmetrics as G
 from ..plans import jobs
 from ..schema import LETTERS
@@ -154,9 +154,7 @@ FROM p a JOIN p b ON a.graph_id = b.graph_id AND abs(a.node - b.node) BETWEEN 1
 
 def r10_r11_resistance_rows(spark, sf_dir):
     n, e = path(spark, sf_dir)
-    r = saved(linalg.effective_resistance(n, e), "resistances")
-    stats = G.resistance_row_stats(r).join(G.resistance_centrality(r), ["graph_id", "i"])
-    return rounded(stats, "harmonic_mean", "median", "skewness", "kurtosis", "centrality", digits=4)
+    return rounded(rowstats.resistance_stats(n, e), "harmonic_mean", "median", "skewness", "kurtosis", "centrality", digits=4)
 
 
 R10_SQL = f"""WITH p AS ({PATH_SQL}), r AS (SELECT a.graph_id, a.node AS i, abs(a.far - b.far) AS r FROM p a JOIN p b ON a.graph_id = b.graph_id AND a.node <> b.node),
@@ -170,9 +168,9 @@ SELECT graph_id, i, round(count(*) / sum(1 / r), 4) AS harmonic_mean, round(quan
 def r12_r16_kirchhoff_and_commute(spark, sf_dir):
     """A row a source i: the longest commute from there."""
     n, e = path(spark, sf_dir)
-    r = saved(linalg.effective_resistance(n, e), "resistances")
-    c = G.commute_time(r, e).groupBy("graph_id", "i").agg(F.max("commute_time").alias("longest"))
-    return rounded(rounded(G.kirchhoff_index(r).join(c, "graph_id"), "kirchhoff", digits=2), "longest", digits=1)
+    s = saved(rowstats.source_stats(n, e), "sources")
+    whole = s.groupBy("graph_id").agg((F.sum("total_r") / 2).alias("kirchhoff"))
+    return rounded(rounded(whole.join(s.drop("total_r"), "graph_id"), "kirchhoff", digits=2), "longest", digits=1)
 
 
 R12_SQL = f"""WITH p AS ({PATH_SQL}), w AS (SELECT graph_id, sum(CASE WHEN node > 0 THEN 1 / step ELSE 0 END) AS w FROM p GROUP BY 1),
@@ -186,8 +184,7 @@ def r13_r14_pinv_rows(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("graph_id"), F.col("l_linenumber").alias("node"))
     n = li.distinct()
     e = n.select("graph_id", F.col("node").alias("u")).join(n.select("graph_id", F.col("node").alias("v")), "graph_id").where("u < v").withColumn("weight", F.lit(1.0))
-    rows = linalg.pinv_entries(n, e)
-    return rounded(G.influence_radius(rows, 0.18).join(G.row_anisotropy(rows), ["graph_id", "i"]), "anisotropy")
+    return rounded(rowstats.inverse_stats(n, e, 0.18), "anisotropy")
 
 
 R13_SQL = """SELECT l_orderkey AS graph_id, l_linenumber AS i, CAST(CASE WHEN n = 1 THEN 0 WHEN 1.0 / (n - 1) > 0.18 THEN n - 1 ELSE 0 END AS BIGINT) AS radius,
@@ -441,8 +438,5 @@ BOTH = {
     "l6_current_flow_betweenness": (l6_current_flow_betweenness, L6_SQL), "l7_betweenness_topk": (l7_betweenness_topk, L7_SQL), "l8_wt_properties": (l8_wt_properties, L8_SQL), "l9_mutant_pinv": (l9_mutant_pinv, L9_SQL),
     "f1_mutation_features": (f1_mutation_features, None), "f1_feature_identities": (f1_feature_identities, F1_SQL), "f3_derived_features": (f3_derived_features, F3_SQL), "f4_f5_scales": (f4_f5_scales, F4_SQL),
     "f6_aa_substitution": (f6_aa_substitution, F6_SQL), "f7_select_by_importance": (f7_select_by_importance, F7_SQL),
-    # further names of whole results
-    "r3_r5_all_sites": (r3_r5_currents_and_power, R3_SQL), "r8_all_hop_shells": (r8_hop_shells, R8_SQL), "r9_all_shell_means": (r9_shell_mean_resistance, R9_SQL),
-    "r12_r16_all_sources": (r12_r16_kirchhoff_and_commute, R12_SQL), "r13_r14_all_pinv_rows": (r13_r14_pinv_rows, R13_SQL),
     "f4_f5_multi_scale": (f4_f5_multi_scale, None), "l5_terminal_voltages": (l5_terminal_voltages, L5B_SQL),
 }

@@ -263,7 +263,6 @@ BOTH = {
     "u1_union_datasets": (u1_union_datasets, U1_SQL),
     "u2_dedupe_mutations": (u2_dedupe_mutations, U2_SQL),
     "u3_diverse_sample": (u3_diverse_sample, U3_SQL),
-    "u3_diverse_sample_of_all": (u3_diverse_sample, U3_SQL),
     "u4_stratified_sample": (u4_stratified_sample, U4_SQL),
     "u5_keep_available": (u5_keep_available, U5_SQL),
     "u6_distinct_structures": (u6_distinct_structures, U6_SQL),

@@ -353,10 +353,11 @@ T4_SQL = "SELECT model_type, " + ", ".join(f"round(any_value(CASE WHEN cv_strate
 
 def t5_dataset_summary(spark, sf_dir):
     one, groups = reports.dataset_summary(rows(spark, sf_dir))
-    return rounded(one.crossJoin(groups.agg(F.max("n").alias("largest"))), "min_value", "max_value")
+    return rounded(one.crossJoin(groups.agg(F.max("n").alias("largest"))), "min_value", "max_value", "valid_share")
 
 
 T5_SQL = f"""SELECT count(*) AS n_mutations, count(DISTINCT pdb_id) AS n_proteins, round(min(ddG), 6) AS min_value, round(max(ddG), 6) AS max_value,
+  count(*) FILTER (WHERE pdb_id IS NOT NULL AND isfinite(ddG)) AS n_valid, round(count(*) FILTER (WHERE pdb_id IS NOT NULL AND isfinite(ddG)) / count(*), 6) AS valid_share,
   (SELECT max(n) FROM (SELECT count(*) AS n FROM ({ROWS_SQL}) GROUP BY pdb_id)) AS largest FROM ({ROWS_SQL})"""
 
 
@@ -378,10 +379,10 @@ T7_SQL = "SELECT feature, round(r, 6) AS r, abs(r) > 0.2 AS strong FROM (" + " U
 
 
 def t8_prediction_summary(spark, sf_dir):
-    return rounded(reports.prediction_summary(given_predictions(spark, sf_dir)), "r", "rmse", "slope", "intercept")
+    return rounded(reports.prediction_summary(given_predictions(spark, sf_dir)), "r", "rho", "rmse", "slope", "intercept")
 
 
-T8_SQL = f"SELECT count(*) AS n, round(corr(y, yhat), 6) AS r, round(sqrt(avg((y - yhat) * (y - yhat))), 6) AS rmse, round(regr_slope(y, yhat), 6) AS slope, round(regr_intercept(y, yhat), 6) AS intercept FROM ({PREDS_SQL})"
+T8_SQL = f"WITH p AS ({PREDS_SQL}), k AS (SELECT rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS a, rank() OVER (ORDER BY yhat) + (count(*) OVER (PARTITION BY yhat) - 1) / 2.0 AS b FROM p) SELECT count(*) AS n, round(corr(y, yhat), 6) AS r, (SELECT round(corr(a, b), 6) FROM k) AS rho, round(sqrt(avg((y - yhat) * (y - yhat))), 6) AS rmse, round(regr_slope(y, yhat), 6) AS slope, round(regr_intercept(y, yhat), 6) AS intercept FROM p"
 
 
 def t9_top_importances(spark, sf_dir):

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,9 +39,24 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def reuse(spark: SparkSession, path: str, build) -> DataFrame:
-    """The table at path, built and saved there by build() if it is not there yet."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")):
+def fingerprint(tables: dict[str, DataFrame], settings: dict) -> str:
+    """A digest of settings and of tables: their columns, how many rows they have, and sums of the rows' hashes, so the order of rows does not matter."""
+    told = [json.dumps(settings, sort_keys=True, default=str)]
+    for name, df in sorted(tables.items()):
+        cols = sorted(df.columns)
+        half = lambda seed, cols=cols: F.sum(F.xxhash64(F.lit(seed), *[x for c in cols for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]).cast("decimal(38,0)"))
+        told.append(f"{name} {sorted(df.dtypes)} {tuple(df.agg(F.count('*'), half(1), half(2)).first())}")
+    return hashlib.sha256("\n".join(told).encode()).hexdigest()
+
+
+def reuse(spark: SparkSession, path: str, build, key: str = "") -> DataFrame:
+    """The table at path if it was finished there under the same key (such as a fingerprint); else build() is saved there."""
+    manifest = f"{path.rstrip('/')}.manifest"
+    at = spark._jvm.org.apache.hadoop.fs.Path(manifest)
+    exists = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    if not exists or [r.value for r in spark.read.text(manifest).collect()] != [f"key {key}"]:
+        if exists:
+            delete(spark, manifest)  # first, so that a broken run leaves no manifest for another table
         build().write.mode("overwrite").parquet(path)
+        spark.createDataFrame([(f"key {key}",)], "value string").coalesce(1).write.text(manifest)
     return spark.read.parquet(path)
