@@ -184,19 +184,58 @@ def group_folds(df: DataFrame, group: str, k: int = 5, seed: int = 42, id_col: s
 SPECTRAL = ["fiedler_component_wt", "voltage_wt", "conductance_degree_wt"]
 
 
-def spectral_folds(df: DataFrame, k: int = 5, seed: int = 42, id_col: str = ID, cols: list[str] = SPECTRAL, restarts: int = 10) -> DataFrame:
-    """Strata are clusters of standardised spectral features: the best of several k-means runs."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
+#: Rounds of k-means at most, and the move of a centre under which a run has settled.
+ROUNDS, SETTLED = 20, 1e-4
+
+
+def nearest(z: list[Column], centres: list[list[float]]) -> Column:
+    """(d, c): the squared distance to the nearest centre and its number; equals by number."""
+    gap = lambda centre: sum(((x - F.lit(float(v))) * (x - F.lit(float(v))) for x, v in zip(z, centre, strict=True)), F.lit(0.0))
+    return F.array_min(F.array(*[F.struct(gap(centre).alias("d"), F.lit(c).alias("c")) for c, centre in enumerate(centres)]))
+
+
+def kmeans(rows: DataFrame, cols: list[str], k: int, restarts: int, seed: int, id_col: str = ID) -> list[list[float]]:
+    """The centres of the best of several k-means runs, all advanced together: one pass over the rows a round.
 
+    A run starts from the k distinct rows with the smallest hashes of its own; a centre without rows stays.
+    """
+    z = [F.col(c) for c in cols]
+    places = rows.groupBy(*cols).agg(F.min(id_col).alias(id_col)).select(id_col, *cols)
+    starts = [[[r[c] for c in cols] for r in places.orderBy(shuffle_key(id_col, seed + i), id_col).limit(k).collect()] for i in range(restarts)]
+    runs, cost = dict(enumerate(starts)), {}
+    moving = set(runs)
+    for _ in range(ROUNDS):
+        if not moving:
+            break
+        each = F.explode(F.array(*[F.struct(F.lit(i).alias("run"), nearest(z, runs[i]).alias("at")) for i in sorted(moving)])).alias("r")
+        sums = rows.select(*cols, each).groupBy(F.col("r.run").alias("run"), F.col("r.at.c").alias("c"))
+        found = sums.agg(F.count("*").alias("n"), F.sum("r.at.d").alias("d"), *[F.avg(c).alias(f"m_{c}") for c in cols]).collect()  # a row a centre of a run
+        for i in sorted(moving):
+            own = {r.c: r for r in found if r.run == i}
+            new = [[own[c][f"m_{x}"] for x in cols] if c in own else centre for c, centre in enumerate(runs[i])]
+            cost[i] = sum(r.d for r in own.values())
+            if max(abs(a - b) for p, q in zip(new, runs[i], strict=True) for a, b in zip(p, q, strict=True)) < SETTLED:
+                moving.discard(i)
+            runs[i] = new
+    return runs[min(cost, key=lambda i: (cost[i], i))]
+
+
+def spectral_strata(df: DataFrame, k: int = 5, seed: int = 42, id_col: str = ID, cols: list[str] = SPECTRAL, restarts: int = 10) -> DataFrame:
+    """(id, stratum): clusters of standardised spectral features."""
     have = [c for c in cols if c in df.columns] or [c for c in df.columns if c != id_col][:3]
     sums = df.agg(F.count("*").alias("n"), *[f(c).alias(f"{p}{c}") for c in have for f, p in ((F.avg, "m_"), (F.stddev_pop, "s_"))]).first()
     z = {c: (F.col(c) - (sums[f"m_{c}"] or 0.0)) / (sums[f"s_{c}"] if (sums[f"s_{c}"] or 0.0) > 1e-12 else 1.0) for c in have}
-    x = VectorAssembler(inputCols=[f"_z{c}" for c in have], outputCol="_x").transform(df.select(id_col, *[v.alias(f"_z{c}") for c, v in z.items()])).select(id_col, "_x")
-    x = saved(x, "spectral")
-    runs = [KMeans(k=max(2, min(k, sums["n"])), seed=seed + i, featuresCol="_x", predictionCol="_c").fit(x) for i in range(restarts)]
-    best = min(runs, key=lambda m: m.summary.trainingCost)
-    return stratified_folds(best.transform(x).select(id_col, F.col("_c").alias("stratum")), "stratum", k, seed, id_col)
+    rows = saved(df.select(id_col, *[v.cast("double").alias(f"_z{c}") for c, v in z.items()]), "spectral")
+    names = [f"_z{c}" for c in have]
+    if not sums["n"]:
+        return rows.select(id_col, F.lit(0).alias("stratum"))
+    centres = kmeans(rows, names, min(k, sums["n"]), restarts, seed, id_col)
+    return rows.select(id_col, nearest([F.col(c) for c in names], centres)["c"].alias("stratum"))
+
+
+def spectral_folds(df: DataFrame, k: int = 5, seed: int = 42, id_col: str = ID, cols: list[str] = SPECTRAL, restarts: int = 10) -> DataFrame:
+    """Strata are clusters of standardised spectral features: the best of several k-means runs."""
+    return stratified_folds(spectral_strata(df, k, seed, id_col, cols, restarts), "stratum", k, seed, id_col)
 
 
 STRATEGIES = ("centrality", "propagation", "kirchhoff_grouped", "spectral")

@@ -19,6 +19,8 @@ TINY = 1e-15
 PAIRS = 100_000
 #: Terminals of a graph's runs that one task answers.
 RUNS = 2_000
+#: Nodes of a graph whose current-flow betweenness one task computes.
+FLOWS = 128
 #: Sources of shortest paths in a graph that one task follows.
 SOURCES = 64
 
@@ -62,6 +64,13 @@ class Graph:
     def null_modes(self) -> int:
         return int((self.eigs <= NULL_MODE * max(self.eigs[-1], 0.0)).sum())
 
+    def pieces(self) -> int:
+        """Components: a pseudoinverse times its Laplacian is 1 less the means over components, so what its trace lacks is their number."""
+        if not self.n:
+            return 0
+        at = np.diagonal(self.lp)
+        return self.n - round(float((self.w * (at[self.u] + at[self.v] - 2 * self.lp[self.u, self.v])).sum()))
+
     def fiedler(self, like: np.ndarray | None = None) -> np.ndarray:
         """The second eigenvector. Its largest entry (the first such) is positive; or it points the way of another vector."""
         if self.n < 2:
@@ -210,17 +219,21 @@ def effective_resistance(nodes: DataFrame, edges: DataFrame, pairs: DataFrame |
         make = lambda g, i: {"i": np.repeat(i, g.n), "j": np.tile(i, g.n), "r": g.resistances().ravel()}
         return per_graph(nodes, edges, make, "i int, j int, r double", by)
 
-    def look_up(key: tuple, names: np.ndarray, lp: np.ndarray, some: pd.DataFrame) -> pd.DataFrame:
+    def look_up(key: tuple, names: np.ndarray, g: Graph, some: pd.DataFrame) -> pd.DataFrame:
         known = some[some["i"].isin(names) & some["j"].isin(names)]
         i, j = (np.searchsorted(names, known[c]) for c in "ij")
-        return pd.DataFrame({by: key[0], "i": known["i"], "j": known["j"], "r": lp[i, i] + lp[j, j] - 2 * lp[i, j]})
+        return pd.DataFrame({by: key[0], "i": known["i"], "j": known["j"], "r": g.lp[i, i] + g.lp[j, j] - 2 * g.lp[i, j]})
 
     return asked_of_graphs(nodes, edges, pairs.select(by, "i", "j"), ["i", "j"], PAIRS, look_up, f"{by} {dict(nodes.dtypes)[by]}, i int, j int, r double", by)
 
 
 def asked_of_graphs(nodes: DataFrame, edges: DataFrame, asked: DataFrame, key: list[str], each: int, answer, schema: str, by: str = "graph_id") -> DataFrame:
-    """What answer(group, nodes, pseudoinverse, rows) gives for rows asked of graphs, some `each` rows a task; rows of one key stay together."""
-    graphs = per_graph(nodes, edges, lambda g, i: {"nodes": [i], "lp": [g.lp.tobytes()]}, "nodes array<int>, lp binary", by)
+    """What answer(group, nodes, graph, rows) gives for rows asked of graphs, some `each` rows a task; rows of one key stay together.
+
+    A graph's pseudoinverse is computed once and goes to the tasks with the graph.
+    """
+    held = lambda g, i: {k: [v] for k, v in {"nodes": i, "lp": g.lp.tobytes(), "u": g.u, "v": g.v, "w": g.w}.items()}
+    graphs = per_graph(nodes, edges, held, "nodes array<int>, lp binary, u array<int>, v array<int>, w array<double>", by)
     parts = asked.groupBy(by).agg(F.ceil(F.count("*") / each).alias("_parts"))
     rows = asked.join(parts, by).withColumn("_part", F.pmod(F.xxhash64(*key), F.col("_parts"))).drop("_parts")
     copies = graphs.join(parts, by).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))).drop("_parts")
@@ -229,8 +242,10 @@ def asked_of_graphs(nodes: DataFrame, edges: DataFrame, asked: DataFrame, key: l
     def run(group: tuple, some: pd.DataFrame, graph: pd.DataFrame) -> pd.DataFrame:
         if not len(some) or not len(graph):
             return pd.DataFrame(columns=names)
-        at = np.asarray(graph.iloc[0]["nodes"])
-        return answer(group, at, np.frombuffer(graph.iloc[0]["lp"]).reshape(len(at), -1), some)
+        one = graph.iloc[0]
+        at, (u, v) = np.asarray(one["nodes"]), (np.asarray(one[c], int) for c in "uv")
+        g = Graph(len(at), u, v, np.asarray(one["w"], float), _lp=np.frombuffer(one["lp"]).reshape(len(at), -1))
+        return answer(group, at, g, some)
 
     own = lambda df: df.select(*[F.col(c).alias(c) for c in df.columns]).groupBy(by, "_part")
     return own(rows).cogroup(own(copies)).applyInPandas(run, schema)
@@ -277,20 +292,22 @@ def terminal_voltages(nodes: DataFrame, edges: DataFrame, terminals: DataFrame,
     """
     run_type = dict(terminals.dtypes)["run"]
 
-    def solve(key: tuple, names: np.ndarray, lp: np.ndarray, some: pd.DataFrame) -> pd.DataFrame:
+    def solve(key: tuple, names: np.ndarray, g: Graph, some: pd.DataFrame) -> pd.DataFrame:
         known = some[some["node"].isin(names)]
-        out = [pd.DataFrame({by: key[0], "run": run, "node": names, "voltage": lp[:, np.searchsorted(names, own["node"])] @ own["current"].to_numpy(float)}) for run, own in known.groupby("run")]
+        out = [pd.DataFrame({by: key[0], "run": run, "node": names, "voltage": g.lp[:, np.searchsorted(names, own["node"])] @ own["current"].to_numpy(float)}) for run, own in known.groupby("run")]
         return pd.concat(out) if out else pd.DataFrame(columns=[by, "run", "node", "voltage"])
 
     return asked_of_graphs(nodes, edges, terminals.select(by, "run", "node", "current"), ["run"], RUNS, solve, f"{by} {dict(nodes.dtypes)[by]}, run {run_type}, node int, voltage double", by)
 
 
 def current_flow_betweenness(nodes: DataFrame, edges: DataFrame, by: str = "graph_id") -> DataFrame:
-    def make(g: Graph, i: np.ndarray) -> dict:
-        connected = g.null_modes() == 1
-        return {"node": i, "betweenness": [g.flow_betweenness(k, connected) for k in range(g.n)]}
+    """(by, node, betweenness) by currents. A node takes a sort of a graph's values for each of its edges, so a graph's nodes are dealt to tasks."""
+
+    def flow(key: tuple, names: np.ndarray, g: Graph, some: pd.DataFrame) -> pd.DataFrame:
+        connected = g.pieces() == 1
+        return pd.DataFrame({by: key[0], "node": some["node"], "betweenness": [g.flow_betweenness(int(k), connected) for k in np.searchsorted(names, some["node"])]})
 
-    return per_graph(nodes, edges, make, "node int, betweenness double", by)
+    return asked_of_graphs(nodes, edges, nodes.select(by, "node"), ["node"], FLOWS, flow, f"{by} {dict(nodes.dtypes)[by]}, node int, betweenness double", by)
 
 
 def betweenness_topk(nodes: DataFrame, edges: DataFrame, k: int = 5, by: str = "graph_id") -> DataFrame:

@@ -155,3 +155,49 @@ def test_scales_and_kinds_share_one_search(spark, monkeypatch):
     assert all(r.norton_current_wt_6A == pytest.approx(alone[r.mutation_id]) for r in both.collect())
     calls.clear()
     assert jobs.conductance_sensitivity(muts, nodes, cols=["norton_current_wt", "conductance_degree_wt"]).count() == 3 and calls == [8.0]
+
+
+def test_current_flow_in_parts(graphs, monkeypatch):
+    made, n, e = graphs
+    monkeypatch.setattr(linalg, "FLOWS", 5)
+    got = {(r.graph_id, r.node): r.betweenness for r in linalg.current_flow_betweenness(n, e).collect()}
+    assert len(got) == 54 and got["one", 7] == 0
+    for k, g in made.items():
+        assert g.pieces() == g.null_modes()
+        assert [got[k, 3 * i] for i in range(g.n)] == pytest.approx([g.flow_betweenness(i, g.null_modes() == 1) for i in range(g.n)])
+    split = linalg.Graph(7, np.array([0, 1, 3, 4]), np.array([1, 2, 4, 5]), np.array([1.0, 3.0, 2.0, 0.1]))
+    assert split.pieces() == split.null_modes() == 3
+
+
+def test_restarts_of_kmeans_go_together(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(m, 0.4, (40, 3)) for m in (0.0, 3.0, (5.0, -4.0, 1.0), -6.0)])
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(x)], ["mutation_id", *folds.SPECTRAL])
+    z = (x - x.mean(0)) / x.std(0)
+    got = {r.mutation_id: r.stratum for r in folds.spectral_strata(df, 4).collect()}
+    want = np.repeat(range(4), 40)
+    pairs = {(got[i], int(want[i])) for i in range(len(x))}
+    assert len(got) == 160 and len(pairs) == 4  # the clusters, by other numbers
+    passes = []
+    monkeypatch.setattr(folds, "nearest", lambda zs, c, f=folds.nearest: passes.append(1) or f(zs, c))
+    cols = [f"_z{c}" for c in folds.SPECTRAL]
+    rows = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(z)], ["mutation_id", *cols])
+
+    def plain(start):
+        c = np.array(start)
+        for _ in range(100):
+            at = ((z[:, None] - c) ** 2).sum(-1).argmin(1)
+            new = np.array([z[at == j].mean(0) if (at == j).any() else c[j] for j in range(len(c))])
+            if np.abs(new - c).max() < 1e-9:
+                break
+            c = new
+        return c, ((z[:, None] - c) ** 2).sum(-1).min(1).sum()
+
+    from ohmgraph.operators.sampling import shuffle_key
+
+    starts = [[[r[c] for c in cols] for r in rows.orderBy(shuffle_key("mutation_id", 7 + i), "mutation_id").limit(4).collect()] for i in range(6)]
+    best = min((plain(s) for s in starts), key=lambda r: r[1])[0]
+    assert np.allclose(folds.kmeans(rows, cols, 4, 6, 7), best, atol=1e-8)
+    one = spark.createDataFrame([(i, 1.0, 1.0, 1.0) for i in range(6)], ["mutation_id", *folds.SPECTRAL])
+    assert {r.stratum for r in folds.spectral_strata(one, 3).collect()} == {0}
+    assert folds.spectral_folds(df.limit(0), 3).count() == 0
