@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -199,17 +202,28 @@ def kmeans(rows: DataFrame, cols: list[str], k: int, restarts: int, seed: int, i
 
     A run starts from the k distinct rows with the smallest hashes of its own; a centre without rows stays.
     """
-    z = [F.col(c) for c in cols]
     places = rows.groupBy(*cols).agg(F.min(id_col).alias(id_col)).select(id_col, *cols)
     starts = [[[r[c] for c in cols] for r in places.orderBy(shuffle_key(id_col, seed + i), id_col).limit(k).collect()] for i in range(restarts)]
     runs, cost = dict(enumerate(starts)), {}
     moving = set(runs)
+    names = [f"m_{c}" for c in cols]
     for _ in range(ROUNDS):
         if not moving:
             break
-        each = F.explode(F.array(*[F.struct(F.lit(i).alias("run"), nearest(z, runs[i]).alias("at")) for i in sorted(moving)])).alias("r")
-        sums = rows.select(*cols, each).groupBy(F.col("r.run").alias("run"), F.col("r.at.c").alias("c"))
-        found = sums.agg(F.count("*").alias("n"), F.sum("r.at.d").alias("d"), *[F.avg(c).alias(f"m_{c}") for c in cols]).collect()  # a row a centre of a run
+        now = {i: np.array(runs[i]) for i in sorted(moving)}
+
+        def sums(frames: Iterator[pd.DataFrame], now=now) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                x = f.to_numpy(float)
+                for i, centres in now.items():
+                    apart = ((x[:, None] - centres) ** 2).sum(-1)
+                    at = apart.argmin(1)
+                    part = pd.DataFrame(x, columns=names).assign(run=i, c=at, n=1, d=apart[np.arange(len(x)), at])
+                    yield part.groupby(["run", "c"], as_index=False)[["n", "d", *names]].sum()[["run", "c", "n", "d", *names]]
+
+        schema = ", ".join(["run int", "c int", "n long", "d double", *[f"{m} double" for m in names]])
+        added = rows.select(*cols).mapInPandas(sums, schema).groupBy("run", "c")
+        found = added.agg(F.sum("n").alias("n"), F.sum("d").alias("d"), *[(F.sum(m) / F.sum("n")).alias(m) for m in names]).collect()  # a row a centre of a run
         for i in sorted(moving):
             own = {r.c: r for r in found if r.run == i}
             new = [[own[c][f"m_{x}"] for x in cols] if c in own else centre for c, centre in enumerate(runs[i])]
