@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -66,32 +67,40 @@ def table_of(df: DataFrame, what: str) -> Iterator[DataFrame]:
         delete(df.sparkSession, path)
 
 
-_made: list[str] = []
+_own = threading.local()
+
+
+def _made() -> list[str]:
+    """The tables of this thread: queries that run at once in other threads keep their own lists."""
+    if not hasattr(_own, "made"):
+        _own.made = []
+    return _own.made
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
     """Writes df once as Parquet in the shared folder and reads it back: lineage ends there, and lost executors lose nothing."""
     back, path = saved_at(df, what)
     back._written_to = path
-    _made.append(path)
+    _made().append(path)
     return back
 
 
 def discard(df: DataFrame) -> None:
     """Deletes what written() wrote, once nothing reads it any more."""
     delete(df.sparkSession, df._written_to)
-    _made.remove(df._written_to)
+    _made().remove(df._written_to)
 
 
 def made() -> int:
-    """How many tables written() has written and nobody deleted."""
-    return len(_made)
+    """How many tables written() has written in this thread and nobody deleted."""
+    return len(_made())
 
 
 def keep_only(since: int, *kept: DataFrame) -> None:
-    """Deletes what written() wrote since there were so many tables, but for those kept; nothing else may read them any more."""
+    """Deletes what written() wrote in this thread since there were so many tables, but for those kept; nothing else may read them any more."""
     names = [df._written_to for df in kept]
-    for path in _made[since:]:
+    mine = _made()
+    for path in mine[since:]:
         if path not in names:
             delete(kept[0].sparkSession, path)
-    _made[since:] = [path for path in _made[since:] if path in names]
+    mine[since:] = [path for path in mine[since:] if path in names]

@@ -16,6 +16,7 @@ good as others. Without labelled spans no tagger is trained and only the pattern
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 
@@ -215,47 +216,61 @@ class Tagger:
             self.p[f"c{d}"] = bias
         self.p |= {"o": rng.normal(0, 1 / np.sqrt(2 * hidden), (2 * hidden, TAGS)), "ob": np.zeros(TAGS), "t": np.zeros((TAGS, TAGS))}
 
-    def lstm(self, x: np.ndarray, d: str, keep: list | None = None) -> np.ndarray:
-        """States, (length, windows, hidden); keep gets what the way back needs."""
-        p, n, hid = self.p, len(x), self.hidden
-        gates_in = p[f"w{d}"] + p[f"c{d}"]
-        h, c = np.zeros((n, hid), gates_in.dtype), np.zeros((n, hid), gates_in.dtype)
-        out = np.empty((x.shape[1], n, hid), gates_in.dtype)
-        steps = range(x.shape[1]) if d == "f" else range(x.shape[1] - 1, -1, -1)
-        for s in steps:
-            z = gates_in[x[:, s]] + h @ p[f"u{d}"]
-            ifo, g = sigmoid(z[:, : 3 * hid]), np.tanh(z[:, 3 * hid :])
-            i, f, o = ifo[:, :hid], ifo[:, hid : 2 * hid], ifo[:, 2 * hid :]
-            if keep is not None:
-                keep.append((s, h, c, i, f, o, g))
+    def lstm(self, x: np.ndarray, keep: list | None = None) -> np.ndarray:
+        """States of both directions, (length, windows, 2 * hidden); keep gets what the way back needs.
+
+        The backward direction reads the windows from their end, so both take each step together.
+        """
+        hid, length, n = self.hidden, x.shape[1], len(x)
+        gates = np.stack([self.p[f"w{d}"] + self.p[f"c{d}"] for d in "fb"])
+        own = np.stack([self.p[f"u{d}"] for d in "fb"])
+        h, c = np.zeros((2, n, hid), gates.dtype), np.zeros((2, n, hid), gates.dtype)
+        out = np.empty((length, n, 2 * hid), gates.dtype)
+        for s in range(length):
+            z = np.stack([gates[0][x[:, s]], gates[1][x[:, length - 1 - s]]]) + h @ own
+            ifo, g = sigmoid(z[:, :, : 3 * hid]), np.tanh(z[:, :, 3 * hid :])
+            i, f, o = ifo[:, :, :hid], ifo[:, :, hid : 2 * hid], ifo[:, :, 2 * hid :]
+            before = h, c
             c = f * c + i * g
-            h = o * np.tanh(c)
-            out[s] = h
+            t = np.tanh(c)
+            h = o * t
+            if keep is not None:
+                keep.append((*before, i, f, o, g, t))
+            out[s, :, :hid], out[length - 1 - s, :, hid:] = h[0], h[1]
         return out
 
-    def lstm_back(self, x: np.ndarray, d: str, kept: list, dout: np.ndarray, grad: dict) -> None:
-        p, hid = self.p, self.hidden
-        dh, dc = np.zeros_like(dout[0]), np.zeros_like(dout[0])
-        for s, h0, c0, i, f, o, g in reversed(kept):
-            tc = np.tanh(f * c0 + i * g)
-            dh = dh + dout[s]
-            dc = dc + dh * o * (1 - tc * tc)
-            dz = np.hstack([dc * g * i * (1 - i), dc * c0 * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - g * g)])
-            np.add.at(grad[f"w{d}"], x[:, s], dz)
-            grad[f"u{d}"] += h0.T @ dz
-            grad[f"c{d}"] += dz.sum(0)
-            dh, dc = dz @ p[f"u{d}"].T, dc * f
+    def lstm_back(self, x: np.ndarray, kept: list, dout: np.ndarray, grad: dict) -> None:
+        hid, length, n = self.hidden, x.shape[1], len(x)
+        own = np.stack([self.p[f"u{d}"] for d in "fb"]).transpose(0, 2, 1)
+        dh = dc = np.zeros((2, n, hid), dout.dtype)
+        every = np.empty((length, 2, n, 4 * hid), dout.dtype)
+        for s in range(length - 1, -1, -1):
+            _, c0, i, f, o, g, t = kept[s]
+            dh = dh + np.stack([dout[s, :, :hid], dout[length - 1 - s, :, hid:]])
+            dc = dc + dh * o * (1 - t * t)
+            dz = every[s]
+            dz[:, :, :hid], dz[:, :, hid : 2 * hid] = dc * g * i * (1 - i), dc * c0 * f * (1 - f)
+            dz[:, :, 2 * hid : 3 * hid], dz[:, :, 3 * hid :] = dh * t * o * (1 - o), dc * i * (1 - g * g)
+            dh, dc = dz @ own, dc * f
+        h0 = np.stack([k[0] for k in kept])
+        for k, d in enumerate("fb"):
+            dz = every[:, k].reshape(length * n, -1)
+            read = (x if d == "f" else x[:, ::-1]).T.ravel()
+            seen = np.zeros((CLASSES, length * n), dz.dtype)
+            seen[read, np.arange(length * n)] = 1
+            grad[f"w{d}"], grad[f"u{d}"], grad[f"c{d}"] = seen @ dz, h0[:, k].reshape(length * n, hid).T @ dz, dz.sum(0)
 
     def emissions(self, x: np.ndarray) -> np.ndarray:
         """(length, windows, tags)"""
-        return np.concatenate([self.lstm(x, "f"), self.lstm(x, "b")], 2) @ self.p["o"] + self.p["ob"]
+        return self.lstm(x) @ self.p["o"] + self.p["ob"]
 
     def step(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean negative log likelihood of the tags, and its gradient."""
         p, n, length = self.p, len(x), x.shape[1]
-        kf, kb = [], []
-        h = np.concatenate([self.lstm(x, "f", kf), self.lstm(x, "b", kb)], 2)
-        e, t = h @ p["o"] + p["ob"], p["t"] + allowed()
+        kept: list = []
+        h = self.lstm(x, kept)
+        e = h @ p["o"] + p["ob"]
+        t = (p["t"] + allowed()).astype(e.dtype)
         alpha, beta = forward_backward(e, t)
         z = log_sum(alpha[-1], 1)
         at, rows = np.arange(length)[:, None], np.arange(n)
@@ -267,13 +282,12 @@ class Tagger:
         de, grad = de / n, {k: np.zeros_like(v) for k, v in p.items()}
         grad["t"] = np.where(allowed() < 0, 0, pair / n)
         grad["o"], grad["ob"] = np.einsum("lnh,lnt->ht", h, de), de.sum((0, 1))
-        dh = de @ p["o"].T
-        self.lstm_back(x, "f", kf, dh[:, :, : self.hidden], grad)
-        self.lstm_back(x, "b", kb, dh[:, :, self.hidden :], grad)
+        self.lstm_back(x, kept, de @ p["o"].T, grad)
         return float((z - gold).mean()), grad
 
     def train(self, x: np.ndarray, y: np.ndarray, steps: int = 500, batch: int = 32, rate: float = 0.02, seed: int = 5) -> float:
-        """Adam over shuffled batches, as many steps for few examples as for many, at a falling rate; the mean loss of the last tenth."""
+        """Adam over shuffled batches in single precision, as many steps for few examples as for many, at a falling rate; the mean loss of the last tenth."""
+        self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
         rng, m, v, order, losses = np.random.default_rng(seed), {}, {}, np.empty(0, np.int64), []
         for k in range(1, steps + 1):
             if len(order) < batch:
@@ -362,6 +376,8 @@ def tagged(texts: list[str], tagger: Tagger | None, sure: float = 0.8) -> tuple[
 
 EXAMPLES = 2000
 SOURCE_DOCS = 20_000
+#: Windows with planted spans that the tagger learns from, whatever the table holds.
+PLANTED = 2000
 
 
 def written_as(spans: list[Span]) -> str:
@@ -445,10 +461,10 @@ def planted(windows: list[str], n: int, rng: np.random.Generator) -> list[tuple[
 
 
 def train_tagger(examples: list[tuple[str, list[Span]]], steps: int = 1000) -> Tagger | None:
-    """A tagger from windows with their spans, and as many with planted ones."""
+    """A tagger from windows with their spans, and PLANTED ones with planted spans, as many for a small table as for a large one."""
     if not any(spans for _, spans in examples):
         return None
-    made = examples + planted([w for w, _ in examples], len(examples), np.random.default_rng(11))
+    made = examples + planted([w for w, _ in examples], PLANTED, np.random.default_rng(11))
     x = np.concatenate([padded(w[:LENGTH], [0]) for w, _ in made])
     y = np.stack([tags_of([s for s in spans if s[2] <= LENGTH], 0) for _, spans in made])
     tagger = Tagger()
@@ -456,6 +472,23 @@ def train_tagger(examples: list[tuple[str, list[Span]]], steps: int = 1000) -> T
     return single(tagger)
 
 
+def fitted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Tagger | None:
+    """A tagger for the documents. It is trained in a task, which has a thread of its own; the examples and the weights are bounded, whatever the table holds."""
+    examples = labelled_windows(docs, EXAMPLES, id_col, text_col)
+
+    def train(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            tagger = train_tagger(examples)
+            yield pd.DataFrame({"id": f["id"], "tagger": [pickle.dumps(tagger.p) if tagger else None] * len(f)})
+
+    made = docs.sparkSession.range(0, 1, 1, 1).mapInPandas(train, "id long, tagger binary").first().tagger
+    if made is None:
+        return None
+    tagger = Tagger()
+    tagger.p = pickle.loads(bytes(made))
+    return tagger
+
+
 def find(docs: DataFrame, tagger: Tagger | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (of the patterns), base and spans as kind:start:end, comma-joined."""
     names = [f"n_{k}" for k in KINDS]

@@ -142,8 +142,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    tagger = personal_data.train_tagger(personal_data.labelled_windows(docs))
-    found = personal_data.find(docs, tagger)
+    found = personal_data.find(docs, personal_data.fitted(docs))
     counts = [f"n_{k}" for k in personal_data.KINDS]
     return found.select("doc_id", *counts, F.sha2("base", 256).alias("base_sha256"), "spans")
 
