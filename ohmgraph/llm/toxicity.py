@@ -58,7 +58,7 @@ FEWEST = 5
 SIDES = 2
 ALL = -1  # the dictionaries of all sides
 #: Measured windows that a task remembers.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 
 
 @dataclass(frozen=True)
