@@ -2,32 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..schema import AMINO_ACIDS, LETTERS
 
 
+#: A graph's rows come from one block of ids, so that more rows give more graphs, none of them larger: vectors, events
+#: that change their graphs, and events of a path.
+VECTORS, MUTATED, STEPS = 2_000, 100_000, 10_000
+#: Labels, and users modulo that, are below the first, users below the second.
+KINDS, USERS = 10, 1_000_000_000
+
+
+def graph(kind: Column, number: str, block: int, kinds: int = KINDS) -> Column:
+    """The graph of a row: its kind in the block of its own number."""
+    return (F.floor(F.col(number) / block) * kinds + kind).cast("string")
+
+
+def graph_sql(kind: str, number: str, block: int, kinds: int = KINDS) -> str:
+    return f"CAST({number} // {block} * {kinds} + {kind} AS VARCHAR)"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def nodes(spark: SparkSession, sf_dir: str, size: float = 40.0) -> DataFrame:
-    """Residues: a graph a label, coordinates from the first three components."""
-    e = table(spark, sf_dir, "embeddings")
-    order = W.partitionBy("label").orderBy("vec_id")
+    """Residues: a graph a label and block of vectors, coordinates from the first three components."""
+    e = table(spark, sf_dir, "embeddings").withColumn("graph_id", graph(F.col("label"), "vec_id", VECTORS))
+    order = W.partitionBy("graph_id").orderBy("vec_id")
     letter = F.substring(F.lit(LETTERS), F.pmod("vec_id", F.lit(20)).cast("int") + 1, F.lit(1))
     xyz = [(F.get("embedding", F.lit(i)).cast("double") * size).alias(c) for i, c in enumerate("xyz")]
     node = (F.row_number().over(order) - 1).cast("int")
-    return e.select(F.col("label").cast("string").alias("graph_id"), node.alias("node"), F.lit("A").alias("chain"), node.alias("resseq"), letter.alias("aa1"), *xyz)
+    return e.select("graph_id", node.alias("node"), F.lit("A").alias("chain"), node.alias("resseq"), letter.alias("aa1"), *xyz)
 
 
 def nodes_sql(size: float = 40.0) -> str:
     xyz = ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) * {size} AS {c}" for i, c in enumerate("xyz"))
     return (
-        "SELECT CAST(label AS VARCHAR) AS graph_id, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS INTEGER) AS node, "
-        f"substr('{LETTERS}', CAST(vec_id % 20 AS INTEGER) + 1, 1) AS aa1, {xyz} FROM embeddings"
+        "SELECT graph_id, CAST(row_number() OVER (PARTITION BY graph_id ORDER BY vec_id) - 1 AS INTEGER) AS node, "
+        f"substr('{LETTERS}', CAST(vec_id % 20 AS INTEGER) + 1, 1) AS aa1, {xyz} FROM (SELECT *, {graph_sql('label', 'vec_id', VECTORS)} AS graph_id FROM embeddings)"
     )
 
 
@@ -45,7 +61,7 @@ def mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
     letter = lambda i: F.substring(F.lit(LETTERS), F.pmod(i, F.lit(20)).cast("int") + 1, F.lit(1))
     return e.select(
         F.col("event_id").alias("mutation_id"),
-        F.pmod("user_id", F.lit(10)).cast("string").alias("graph_id"),
+        graph(F.pmod("user_id", F.lit(10)), "event_id", MUTATED).alias("graph_id"),
         F.lit("A").alias("chain"),
         F.pmod(F.col("event_id") * 7, F.lit(50)).cast("int").alias("position"),
         letter(F.col("event_id")).alias("wild_type"),
@@ -54,7 +70,7 @@ def mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-MUTATIONS_SQL = f"""SELECT event_id AS mutation_id, CAST(user_id % 10 AS VARCHAR) AS graph_id, 'A' AS chain, CAST((event_id * 7) % 50 AS INTEGER) AS position,
+MUTATIONS_SQL = f"""SELECT event_id AS mutation_id, {graph_sql('user_id % 10', 'event_id', MUTATED)} AS graph_id, 'A' AS chain, CAST((event_id * 7) % 50 AS INTEGER) AS position,
   substr('{LETTERS}', CAST(event_id % 20 AS INTEGER) + 1, 1) AS wild_type,
   substr('{LETTERS}', CAST((event_id * 3 + user_id + 1) % 20 AS INTEGER) + 1, 1) AS mutation, value AS ddG FROM events"""
 
@@ -63,11 +79,11 @@ FACTOR_SQL = "1 + 0.1 * (t.h - f.h) + 0.3 * abs(t.c - f.c) + 0.002 * abs(t.v - f
 
 
 def path_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A path a user: its events in time."""
-    order = W.partitionBy("user_id").orderBy("ts", "event_id")
-    e = table(spark, sf_dir, "events")
+    """A path a user and block of events: these in time."""
+    order = W.partitionBy("graph_id").orderBy("ts", "event_id")
+    e = table(spark, sf_dir, "events").withColumn("graph_id", graph(F.col("user_id"), "event_id", STEPS, USERS))
     step = 1 + F.abs(F.col("value") - F.lag("value").over(order))
-    return e.select(F.col("user_id").cast("string").alias("graph_id"), (F.row_number().over(order) - 1).cast("int").alias("node"), step.alias("step"))
+    return e.select("graph_id", (F.row_number().over(order) - 1).cast("int").alias("node"), step.alias("step"))
 
 
 def path_edges(path: DataFrame) -> DataFrame:
@@ -75,8 +91,9 @@ def path_edges(path: DataFrame) -> DataFrame:
     return link.select("graph_id", (F.col("node") - 1).alias("u"), F.col("node").alias("v"), F.lit(1.0).alias("distance"), (1 / F.col("step")).alias("weight"))
 
 
-PATH_SQL = """SELECT CAST(user_id AS VARCHAR) AS graph_id, node, step, sum(coalesce(step, 0)) OVER (PARTITION BY user_id ORDER BY node) AS far FROM (
-  SELECT user_id, CAST(row_number() OVER w - 1 AS INTEGER) AS node, 1 + abs(value - lag(value) OVER w) AS step FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))"""
+PATH_SQL = f"""SELECT graph_id, node, step, sum(coalesce(step, 0)) OVER (PARTITION BY graph_id ORDER BY node) AS far FROM (
+  SELECT graph_id, CAST(row_number() OVER w - 1 AS INTEGER) AS node, 1 + abs(value - lag(value) OVER w) AS step
+  FROM (SELECT *, {graph_sql('user_id', 'event_id', STEPS, USERS)} AS graph_id FROM events) WINDOW w AS (PARTITION BY graph_id ORDER BY ts, event_id))"""
 
 
 def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
