@@ -207,7 +207,7 @@ def l1_l2_foster(spark, sf_dir):
     return rounded(r.groupBy("graph_id").agg(F.sum(F.col("weight") * F.col("r")).alias("foster"), F.count("*").alias("n_edges")), "foster")
 
 
-L1_SQL = f"""WITH e AS ({edges_sql(24.0)}), n AS (SELECT graph_id, count(*) AS n FROM ({nodes_sql(24.0)}) GROUP BY 1)
+L1_SQL = f"""WITH e AS ({edges_sql(24.0)}), n AS (SELECT graph_id, count(DISTINCT node) AS n FROM (SELECT graph_id, u AS node FROM e UNION ALL SELECT graph_id, v FROM e) GROUP BY 1)
 SELECT graph_id, CAST(any_value(n) - 1 AS DOUBLE) AS foster, count(*) AS n_edges FROM e JOIN n USING (graph_id) GROUP BY 1"""
 
 
