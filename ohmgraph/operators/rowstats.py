@@ -30,6 +30,8 @@ def moment(x: np.ndarray, k: int) -> np.ndarray:
 
 def resistance_rows(g: Graph, rows: np.ndarray) -> np.ndarray:
     """Some rows of the resistances: as many as asked for, never all pairs."""
+    if g.tree:
+        return g.tree.rows(rows)
     d = np.diagonal(g.lp)
     r = np.maximum(d[rows, None] + d[None, :] - 2 * g.lp[rows], 0.0)
     r[np.arange(len(rows)), rows] = 0.0
@@ -80,6 +82,8 @@ def source_stats(nodes: DataFrame, edges: DataFrame, by: str = "graph_id") -> Da
     """(by, i, total_r, longest): the sum of a node's resistances, and the longest commute from there, in steps of a random walk."""
 
     def make(g: Graph, names: np.ndarray) -> dict:
+        if g.tree:
+            return {"i": names, "total_r": g.tree.totals(), "longest": 2 * g.w.sum() * g.tree.longest()}
         total, most = [], []
         for a in range(0, g.n, CHUNK):
             r = resistance_rows(g, np.arange(a, min(a + CHUNK, g.n)))
