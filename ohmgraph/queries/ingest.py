@@ -243,7 +243,7 @@ def u6_distinct_structures(spark, sf_dir):
     return sampling.distinct_structures(as_proteins(spark, sf_dir), 40)
 
 
-U6_SQL = f"SELECT pdb_id, min(mutation_id) AS first_id FROM ({PROTEINS_SQL}) GROUP BY pdb_id ORDER BY first_id LIMIT 40"
+U6_SQL = f"SELECT pdb_id, min(mutation_id) AS first_id FROM ({PROTEINS_SQL}) GROUP BY pdb_id ORDER BY first_id, pdb_id LIMIT 40"
 
 BOTH = {
     "n1_normalize_mutations": (n1_normalize_mutations, NORMAL_SQL),
