@@ -123,3 +123,20 @@ def test_ablation_and_importances_of_lasso(rows):
 def test_registered_linear_queries(spark, name):
     made, expected = against_sql(spark, registry.QUERIES[name], registry.ORACLES[name])
     assert made == expected
+
+
+def test_plain_folds_are_dealt_and_ranked_once(rows, monkeypatch):
+    """kfold and repeated share the plain folds, whose predictions are made once; only three of five evaluations rank."""
+    dealt, ranked = [], []
+    kfold, spearman = models.cv.kfold, models.spearman
+    monkeypatch.setattr(models.cv, "kfold", lambda df, k=5, shuffle=True, seed=42, *a: dealt.append(seed) or kfold(df, k, shuffle, seed, *a))
+    monkeypatch.setattr(models, "spearman", lambda *a: ranked.append(1) or spearman(*a))
+    got = {r.cv_strategy: r for r in models.multi_cv_evaluate(rows, COLS, "pdb_id", "ridge").collect()}
+    assert dealt == [42, 43, 44] and len(ranked) == 3
+    assert got["repeated"].pearson_r == got["kfold"].pearson_r and got["repeated"].n_folds == 3 * got["kfold"].n_folds
+
+
+def test_sums_of_few_columns_are_those_of_numpy(rows):
+    x = rows.withColumn("fold", (F.col("mutation_id") % 3).cast("int"))
+    plain, fast = ({(r.fold, r.i, r.j): r.value for r in make(x, COLS, "ddG").collect()} for make in (models.gram_by_fold, models.gram_sums))
+    assert fast == pytest.approx(plain, rel=1e-12, abs=1e-9)
