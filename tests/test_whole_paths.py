@@ -1,11 +1,14 @@
 """Paths of events are whole, and trees are solved without dense matrices."""
 
+import duckdb
 import numpy as np
 import pytest
 
 from ohmgraph.operators import linalg, rowstats
 from ohmgraph.operators.linalg import Graph, Tree
-from ohmgraph.queries import data
+from ohmgraph.queries import data, registry
+
+from .conftest import plain
 
 
 def random_tree(n, seed=0):
@@ -60,3 +63,28 @@ def test_voltages_need_source_and_sinks(spark):
     e = n.where("node > 0").selectExpr("graph_id", "node - 1 AS u", "node AS v", "1.0D AS weight")
     volts = {(r.graph_id, r.node): r.voltage for r in linalg.node_voltages(n, e, 0, [5]).collect()}
     assert {k for k, _ in volts} == {"long"} and volts["long", 0] - volts["long", 5] == pytest.approx(5)
+
+
+PATHS = ["r3_r5_currents_and_power"]
+
+
+@pytest.fixture(scope="module")
+def long_paths(tmp_path_factory):
+    """Users with 503 events, whose ids cross a multiple of 100,000, and one with 3 events."""
+    folder = tmp_path_factory.mktemp("paths")
+    events = """SELECT 99500 + i AS event_id, TIMESTAMP '2024-01-01' + to_seconds(i) AS ts, CASE WHEN i < 1006 THEN i % 2 ELSE 2 END AS user_id, (hash(i) % 100000) / 1000.0::DOUBLE AS value FROM range(1009) t(i)"""
+    duckdb.connect().sql(f"COPY ({events}) TO '{folder}/events.parquet'")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", PATHS)
+def test_long_paths_equal_their_sql(spark, long_paths, name):
+    df = registry.QUERIES[name](spark, long_paths)
+    con = duckdb.connect()
+    con.sql("SET TimeZone='UTC'")
+    con.sql(f"CREATE VIEW events AS FROM '{long_paths}/events.parquet'")
+    rel = con.sql(f"SELECT {', '.join(df.columns)} FROM ({registry.ORACLES[name]})")
+    key = lambda r: tuple(map(str, r))
+    left, right = (sorted((tuple(map(plain, r)) for r in rows), key=key) for rows in (df.collect(), rel.fetchall()))
+    assert left == right
+    assert {r[df.columns.index("graph_id")] for r in left} == ({"0", "1"} if name == PATHS[0] else {"0", "1", "2"})
