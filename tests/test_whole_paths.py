@@ -65,7 +65,7 @@ def test_voltages_need_source_and_sinks(spark):
     assert {k for k, _ in volts} == {"long"} and volts["long", 0] - volts["long", 5] == pytest.approx(5)
 
 
-PATHS = ["r3_r5_currents_and_power"]
+PATHS = ["r3_r5_currents_and_power", "r9_shell_mean_resistance", "r10_r11_resistance_rows", "r12_r16_kirchhoff_and_commute", "l2_path_resistance", "l4_fiedler", "l6_current_flow_betweenness", "l7_betweenness_topk"]
 
 
 @pytest.fixture(scope="module")
