@@ -118,3 +118,12 @@ def test_extra_trees_and_stacking_evaluate(spark):
     assert m.n_folds == 3 and m.n_samples == 200 and m.pearson_r > 0.5
     got = models.fit_predict(x.where("mutation_id < 150"), x.where("mutation_id >= 150"), COLS, model="extra_trees", settings={"n": 8, "depth": 5})
     assert got.count() == 50 and set(got.columns) == {"mutation_id", "y", "yhat"}
+
+
+def test_binary_columns_are_read_in_place():
+    values = [np.arange(i, i + 3, dtype=float).tobytes() for i in range(5)]
+    for kind in (pa.binary(), pa.large_binary()):
+        column = pa.array(values, kind)
+        for part in (column, column.slice(1, 3), column.slice(4), column.slice(0, 0)):
+            assert trees.held_bytes(part, np.float64).tobytes() == b"".join(part.to_pylist())
+    assert len(trees.held_bytes(pa.array([b"", b""], pa.binary()), np.float64)) == 0
