@@ -4,7 +4,9 @@ import duckdb
 import pytest
 
 from ohmgraph.operators import sampling
-from ohmgraph.queries import learning
+from ohmgraph.queries import graphs, learning
+
+from .conftest import plain
 
 
 def test_structures_that_share_a_first_id_go_by_name(spark):
@@ -25,3 +27,19 @@ def test_equal_sums_tie_in_whatever_order_they_are_added(spark, tmp_path, fallin
     got = learning.e7_evaluate(spark, str(tmp_path)).first()["spearman_r"]
     want = con.sql(f"SELECT spearman_r FROM ({learning.E7_SQL})").fetchall()[0][0]
     assert got == want == pytest.approx(0.039135)  # before: 0.038433 or 0.038865 by the order of the lines
+
+
+@pytest.mark.parametrize("falling", [False, True])
+def test_events_of_one_time_and_id_go_by_value(spark, tmp_path, falling):
+    order = "DESC" if falling else "ASC"
+    events = f"""SELECT i // 4 AS event_id, CASE WHEN i > 7 THEN TIMESTAMP '2024-01-01' + to_seconds(i // 8) END AS ts, 1 AS user_id, (i * 37 % 11)::DOUBLE AS value FROM range(24) t(i) ORDER BY i {order}"""
+    con = duckdb.connect()
+    con.sql("SET threads = 1")
+    con.sql("SET TimeZone = 'UTC'")
+    con.sql(f"COPY ({events}) TO '{tmp_path}/events.parquet'")
+    con.sql(f"CREATE VIEW events AS FROM '{tmp_path}/events.parquet'")
+    cols = ["v", "node", "current", "power"]
+    got = sorted(tuple(map(plain, r)) for r in graphs.r3_r5_currents_and_power(spark, str(tmp_path)).select(*cols).collect())
+    want = sorted(tuple(map(plain, r)) for r in con.sql(f"SELECT {', '.join(cols)} FROM ({graphs.R3_SQL})").fetchall())
+    # the values in order: 0, 1, 4, 8 of id 0 and 2, 5 of id 1
+    assert got == want and [r[3] for r in got if r[0] == r[1]][:5] == [plain(float(x)) for x in (2, 4, 5, 7, 4)]
