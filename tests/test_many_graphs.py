@@ -6,6 +6,7 @@ import pytest
 
 from ohmgraph.operators import linalg, rowstats
 from ohmgraph.operators.linalg import Graph
+from ohmgraph.plans import jobs
 from ohmgraph.queries import registry
 
 from .conftest import against_sql
@@ -44,3 +45,32 @@ def test_complete_graphs_and_their_rows(spark):
 def test_rows_of_orders_equal_their_sql(spark):
     left, right = against_sql(spark, registry.QUERIES["r13_r14_pinv_rows"], registry.ORACLES["r13_r14_pinv_rows"], "sf0.01")
     assert left and left == right
+
+
+@pytest.mark.parametrize("n,share,unit", [(12, 0.9, True), (30, 0.5, True), (30, 0.5, False), (25, 0.12, True), (40, 0.15, False)])
+def test_paths_by_matrix_equal_those_by_heap(monkeypatch, n, share, unit):
+    g = random_graph(n, share, n)
+    g.w = np.ones(len(g.w)) if unit else g.w
+    some = [0, 3, n - 1]
+    by_matrix = linalg.between_by_matrix(g.lengths(), np.arange(n)), linalg.between_by_matrix(g.lengths(), np.array(some))
+    monkeypatch.setattr(linalg, "BY_MATRIX", 0)
+    assert by_matrix[0].tolist() == g.path_betweenness(range(n)).tolist() and by_matrix[1].tolist() == g.path_betweenness(some).tolist()
+
+
+@pytest.mark.parametrize("share", [0.2, 0.9])
+def test_a_changed_graph_equals_one_made_anew(share):
+    g = random_graph(30, share, 5)
+    wild = Graph(30, g.u, g.v, g.w, _spectrum=g.spectrum(), _fiedler=g.fiedler(), _lp=g.lp)
+    for k, factor in ((0, 0.4), (7, 1.7), (29, 1.0)):
+        new, at = wild.changed(k, factor), (g.u == k) | (g.v == k)
+        matrix = Graph(30, g.u, g.v, np.where(at, g.w * factor, g.w)).laplacian()
+        lam, vec = np.linalg.eigh(matrix)
+        assert np.allclose(wild.changed_matrix(k, factor), matrix) and np.allclose(new.eigs, lam) and np.allclose(new.lp, np.linalg.pinv(matrix), atol=1e-9)
+        assert np.allclose(new.fiedler(vec[:, 1]), vec[:, 1], atol=1e-9)
+
+
+def test_only_graphs_that_are_asked_for_are_solved(spark):
+    nodes = spark.sql("SELECT g AS graph_id, n AS node, 'A' AS chain, n AS resseq, 'A' AS aa1, n * 3.0D AS x, 0.0D AS y, 0.0D AS z FROM VALUES ('a'), ('b') t(g), (SELECT explode(sequence(0, 4)) AS n)")
+    asked = spark.sql("SELECT i AS mutation_id, 'a' AS graph_id, IF(i = 3, NULL, 'A') AS chain, 2 AS position, 'A' AS wild_type, 'W' AS mutation, 1.0D AS ddG FROM (SELECT explode(sequence(1, 4)) AS i)")
+    assert {r.graph_id for r in jobs.usable_nodes(asked, nodes).collect()} == {"a"}
+    assert [r.mutation_id for r in jobs.features_of_graphs(asked, nodes).orderBy("mutation_id").collect()] == [1, 2, 3, 4]
