@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from ohmgraph.operators import linalg, rowstats
+from ohmgraph.operators import graphmetrics, linalg, rowstats
 from ohmgraph.operators.linalg import Graph
 from ohmgraph.plans import jobs
 from ohmgraph.queries import registry
@@ -74,3 +74,24 @@ def test_only_graphs_that_are_asked_for_are_solved(spark):
     asked = spark.sql("SELECT i AS mutation_id, 'a' AS graph_id, IF(i = 3, NULL, 'A') AS chain, 2 AS position, 'A' AS wild_type, 'W' AS mutation, 1.0D AS ddG FROM (SELECT explode(sequence(1, 4)) AS i)")
     assert {r.graph_id for r in jobs.usable_nodes(asked, nodes).collect()} == {"a"}
     assert [r.mutation_id for r in jobs.features_of_graphs(asked, nodes).orderBy("mutation_id").collect()] == [1, 2, 3, 4]
+
+
+@pytest.mark.parametrize("cells", [1_000_000, 40])
+def test_rings_equal_distances(monkeypatch, cells):
+    monkeypatch.setattr(graphmetrics, "CELLS", cells)
+    g = random_graph(30, 0.1, 4)
+    far = np.where(np.eye(30, dtype=bool), 0.0, np.inf)
+    far[g.u, g.v] = far[g.v, g.u] = 1.0
+    for k in range(30):
+        far = np.minimum(far, far[:, [k]] + far[[k]])
+    sites = np.array([2, 3, 11, 29, 77])
+    got = sorted(t for d in graphmetrics.rings(sites, g.u, g.v, 3) for t in zip(d["site"].tolist(), d["node"].tolist(), d["hop"].tolist(), strict=True))
+    assert got == sorted((s, n, int(far[s, n])) for s in (2, 3, 11, 29) for n in range(30) if 1 <= far[s, n] <= 3)
+
+
+def test_rings_are_not_found_by_shuffled_joins(spark):
+    e = spark.createDataFrame([("a", 0, 1), ("a", 1, 2), ("a", 5, 6), (None, 0, 1)], "graph_id string, u int, v int")
+    seeds = spark.createDataFrame([("a", 0), ("a", 0), ("a", 9), ("b", 0), (None, 0)], "graph_id string, node int")
+    shells = graphmetrics.hop_shells(e, seeds, 3)
+    assert sorted(map(tuple, shells.select("graph_id", "site", "node", "hop").collect())) == [("a", 0, 1, 1), ("a", 0, 2, 2)]
+    assert "Join" not in shells._jdf.queryExecution().optimizedPlan().toString()
